@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import simhash
+from loomgraph.llm import fingerprint, simhash
 
 
 def queries() -> dict:
-    return {"op10_simhash": simhash.op10_simhash}
+    return {"op1_fingerprint": fingerprint.op1_fingerprint, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
