@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, simhash
+from loomgraph.llm import fingerprint, packing, simhash, sstable
 
 
 def queries() -> dict:
-    return {"op1_fingerprint": fingerprint.op1_fingerprint, "op10_simhash": simhash.op10_simhash}
+    return {
+        "op1_fingerprint": fingerprint.op1_fingerprint,
+        "op2_sstable": sstable.op2_sstable,
+        "op9_packing": packing.op9_packing,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
