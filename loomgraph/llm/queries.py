@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, packing, simhash, sstable
+from loomgraph.llm import fingerprint, packing, sentencepiece_bpe, simhash, sstable
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_sstable": sstable.op2_sstable,
+        "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
