@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, packing, sentencepiece_bpe, simhash, sstable
+from loomgraph.llm import fingerprint, licenses, packing, sentencepiece_bpe, simhash, sstable, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_sstable": sstable.op2_sstable,
+        "op4_licenses": licenses.op4_licenses,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
