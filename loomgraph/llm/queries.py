@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, licenses, packing, sentencepiece_bpe, simhash, sstable, token_counts
+from loomgraph.llm import fingerprint, licenses, packing, sentencepiece_bpe, simhash, sstable, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_licenses": licenses.op4_licenses,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
