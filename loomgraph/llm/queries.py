@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, licenses, packing, sentencepiece_bpe, simhash, sstable, token_counts, toxicity
+from loomgraph.llm import fingerprint, licenses, packing, quality, sentencepiece_bpe, simhash, sstable, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_sstable": sstable.op2_sstable,
+        "op3_quality": quality.op3_quality,
         "op4_licenses": licenses.op4_licenses,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
