@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import fingerprint, licenses, packing, quality, sentencepiece_bpe, simhash, sstable, token_counts, toxicity
+from loomgraph.llm import ann, fingerprint, licenses, packing, quality, sentencepiece_bpe, simhash, sstable, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
