@@ -189,6 +189,14 @@ def with_score(docs: DataFrame, model: Additive, text_col: str = "text", name: s
     return docs.withColumn(name, score(F.col(text_col)))
 
 
+def keep(docs: DataFrame, model: Additive, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows judged of good quality, with the columns they came with."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, model, text_col, name).where(F.col(name) >= threshold).drop(name)
+
+
 def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

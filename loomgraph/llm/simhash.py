@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
@@ -174,6 +174,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, chunk: int | None = None) -> DataFrame:
+    """One row of each component with all its columns: that of the smallest id (null ids last), then of the smallest text hash.
+
+    Of rows with the kept row's id and text, the one with the smallest hash of all columns stays.
+    """
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), tie.alias("tie")).alias("row"), fingerprint(F.col(text_col), words).alias("fp"))
+    rows, _ = materialize(rows, "simhash-rows")
+    first, _ = materialize(rows.groupBy("fp").agg(F.min("row").alias("row")), "simhash-first")
+    linked, _ = materialize(classes(first.select("fp"), radius, chunk), "simhash-classes")
+    root = F.coalesce("root", "fp")
+    kept = first.join(linked, "fp", "left").groupBy(root.alias("root")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.tie").alias("kept_tie"))
+    kept, _ = materialize(kept, "simhash-kept")
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"), F.col(id_col).alias("own_id"), tie.alias("own_tie"))
+    held = held.join(kept, held["own_id"].eqNullSafe(kept["kept_id"]) & (held["own_tie"] == kept["kept_tie"]), "left_semi")
+    order = Window.partitionBy("own_id", "own_tie").orderBy(F.xxhash64("all"))
+    return held.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("all.*")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
