@@ -63,7 +63,7 @@ def merge_attributes(rows: DataFrame, keys: list[str]) -> DataFrame:
 def fold_pairs(edges: DataFrame) -> DataFrame:
     """One edge for each undirected pair: in the order of (src, dst, relation) the last wins, but a reverse edge of the surviving relation is dropped."""
     item = F.struct("src", "dst", "relation", "confidence")
-    pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_list(item)).alias("es"))
+    pairs = edges.select("src", "dst", "relation", "confidence").distinct().groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_list(item)).alias("es"))
     last = F.aggregate(F.slice("es", 2, 1 << 30), F.element_at("es", 1), lambda kept, e: F.when((kept["relation"] == e["relation"]) & (kept["src"] == e["dst"]) & (kept["src"] != e["src"]), kept).otherwise(e))
     return pairs.select(last.alias("e")).select("e.*")
 
