@@ -13,7 +13,7 @@ HALF_LIFE, CORROBORATION, PROVENANCE = 30.0, 2, 5
 
 def decay(date: Column, now: Column, half_life: float = HALF_LIFE) -> Column:
     """A half for every half-life of age; undated and future signals count in full."""
-    days = (F.unix_micros(now) - F.unix_micros(date)) / 86_400e6
+    days = (F.unix_micros(now) - F.unix_micros(date.cast("timestamp"))) / 86_400e6
     return F.when(date.isNull(), 1.0).otherwise(F.pow(F.lit(0.5), F.greatest(days, F.lit(0.0)) / half_life))
 
 

@@ -97,7 +97,7 @@ def score(nodes: DataFrame, terms: list[str], ascii_only: bool = False) -> DataF
     total = F.when(exact, EXACT * 10 * weight).when(begins, PREFIX * 10 * weight).otherwise(0.0)
     norm = 1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / (stats["avg"] or 1.0)
     for t in unique:
-        f = F.size(F.filter("tokens", lambda x, t=t: x == t))
+        f = F.size("tokens") - F.size(F.array_remove("tokens", t))
         total = total + F.lit(idf[t]) * f * (K1 + 1) / (f + K1 * norm) + F.when(F.lower("source_file").contains(t), SOURCE * idf[t]).otherwise(0.0)
     return j.select("id", "label", total.alias("score")).where("score > 0").orderBy(F.desc("score"), F.length("label"), "id").select("id", "score")
 
@@ -154,8 +154,11 @@ def find_tiers(nodes: DataFrame, query: str) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """``(word, n)``: tokens and runs of two or three of them."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - (k - 1), F.lit(0))), lambda i, k=k: F.array_join(F.slice("tokens", i, k), "")) for k in (2, 3)]
-    runs = [F.when(F.size("tokens") >= k, r).otherwise(F.array().cast("array<string>")) for k, r in zip((2, 3), runs, strict=True)]
+    def run(k: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, k), ""))
+        return F.when(F.size("tokens") >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(2), run(3)]
     return docs.select(F.explode(F.array_distinct(F.concat("tokens", *runs))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 

@@ -1,19 +1,14 @@
-"""Named queries over the derived graph and tables, each with the SQL that states the same result."""
+"""Named queries over the derived graph and tables, each with the SQL that states the same result where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomgraph.plans import graph_queries, table_queries  # noqa: F401  they register their queries
+from loomgraph.plans.registry import Query, query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph_queries
-
-MODULES = (graph_queries,)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return dict(query.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return dict(query.sql)

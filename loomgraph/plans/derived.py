@@ -33,6 +33,12 @@ UNION ALL SELECT concat('p:', l_partkey), concat('s:', l_suppkey), 'imports_from
 GRAPH_SQL = f"nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
 
 
+#: Scores and contexts of edges, and communities, in both forms.
+SCORED_SQL = "scored AS (SELECT *, CASE confidence WHEN 'EXTRACTED' THEN 1.0 WHEN 'INFERRED' THEN 0.9 ELSE 0.2 END AS confidence_score FROM edges)"
+COMMUNITY_SQL = "comm AS (SELECT id, community FROM nodes WHERE community IS NOT NULL)"
+DEGREE_SQL = "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the named tables; scans stay lazy and column-pruned."""
     for name in names or TABLES:
@@ -47,3 +53,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem")
     return spark.sql(EDGES_SQL)
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and communities."""
+    n = nodes(spark, sf_dir)
+    return n, edges(spark, sf_dir), n.where("community IS NOT NULL").select("id", "community")

@@ -1,23 +1,419 @@
-"""Degree queries over the derived graph."""
+"""Queries over the derived graph: structure, cleaning, analysis, traversal."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans import derived
+from loomgraph.functions import rules, text
+from loomgraph.operators import analysis, components, graph, resolve, traversal
+from loomgraph.operators import community as communities
+from loomgraph.plans.derived import COMMUNITY_SQL, DEGREE_SQL, GRAPH_SQL, SCORED_SQL
+from loomgraph.plans.derived import edges as derived_edges
+from loomgraph.plans.derived import graph as derived_graph
+from loomgraph.plans.derived import nodes as derived_nodes
+from loomgraph.plans.registry import query
+from loomgraph.sources import graph_json
 
+_NOISE = ", ".join(f"'{x}'" for x in rules.NOISE_LABELS)
+_SCORE = F.when(F.col("confidence") == "EXTRACTED", 1.0).when(F.col("confidence") == "INFERRED", 0.9).otherwise(0.2)
 
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM nodes")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_nodes(spark, sf_dir)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_edges(spark, sf_dir)
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT community) FROM nodes) AS communities, count(*) AS edges,
+count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous FROM edges""")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return analysis.graph_stats(n, e)
+
+
+@query(f"""WITH {GRAPH_SQL}, c AS (SELECT confidence, count(*) AS n FROM edges GROUP BY confidence)
+SELECT confidence, n, CAST(round_even(100.0 * n / (SELECT sum(n) FROM c), 0) AS INTEGER) AS percent FROM c""")
+def confidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.confidence_breakdown(derived_edges(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH_SQL}, {DEGREE_SQL} SELECT id, degree FROM deg")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(derived_edges(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY id")
+def in_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_out_degrees(derived_edges(spark, sf_dir))
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL} SELECT n.id, n.label, degree FROM nodes n JOIN deg USING (id)
+WHERE source_file LIKE '%.%' AND label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1) AND label NOT IN ({_NOISE})
+ORDER BY degree DESC, n.id LIMIT 10""")
 def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best-connected code entities; ties by id."""
-    e = derived.edges(spark, sf_dir)
-    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
-    n = derived.nodes(spark, sf_dir).where("file_type = 'code'").select("id", "label")
-    return n.join(ends, "id").orderBy(F.desc("degree"), "id").limit(10).select("id", "label", "degree")
-
-
-QUERIES = {"god_nodes": god_nodes}
-SQL = {
-    "god_nodes": f"""WITH {derived.GRAPH_SQL}, ends AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
-SELECT n.id, n.label, e.degree FROM nodes n JOIN ends e ON n.id = e.id WHERE n.file_type = 'code' ORDER BY e.degree DESC, n.id LIMIT 10""",
-}
+    n, e, _ = derived_graph(spark, sf_dir)
+    return analysis.god_nodes(n, e)
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+b AS (SELECT src AS id, count(DISTINCT y.community) AS bridged FROM both_ways JOIN comm x ON x.id = src JOIN comm y ON y.id = dst WHERE x.community <> y.community GROUP BY src)
+SELECT n.id, label, bridged, degree FROM b JOIN nodes n USING (id) JOIN deg USING (id) WHERE label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1)
+ORDER BY bridged DESC, degree DESC, n.id LIMIT 10""")
+def cross_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.cross_cutting(*_part_communities(spark, sf_dir))
+
+
+def _part_communities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return derived_graph(spark, sf_dir)
+
+
+@query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL}, pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
+m AS (SELECT x.community, count(*) AS m FROM pairs JOIN comm x ON x.id = a JOIN comm y ON y.id = b WHERE x.community = y.community GROUP BY x.community), s AS (SELECT community, count(*) AS n FROM comm GROUP BY community)
+SELECT s.community, n, round(CASE WHEN n <= 1 THEN 1.0 ELSE coalesce(m, 0) / (n * (n - 1) / 2.0) END, 9) AS cohesion FROM s LEFT JOIN m ON s.community = m.community""")
+def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e, c = derived_graph(spark, sf_dir)
+    return analysis.cohesion(e, c).withColumn("cohesion", F.round("cohesion", 9))
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL} SELECT community, regexp_replace(label, '\\(\\)$', '') AS label FROM (
+SELECT c.community, n.label, row_number() OVER (PARTITION BY c.community ORDER BY coalesce(degree, 0) DESC, c.id) AS r FROM comm c JOIN nodes n USING (id) LEFT JOIN deg USING (id)) WHERE r = 1""")
+def hub_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, c = derived_graph(spark, sf_dir)
+    return analysis.hub_labels(n, e, c)
+
+
+@query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL} SELECT least(x.community, y.community) AS c1, greatest(x.community, y.community) AS c2, count(*) AS n
+FROM edges JOIN comm x ON x.id = src JOIN comm y ON y.id = dst WHERE x.community <> y.community GROUP BY 1, 2""")
+def community_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e, c = derived_graph(spark, sf_dir)
+    return analysis.community_links(e, c)
+
+
+@query(f"WITH {GRAPH_SQL}, {COMMUNITY_SQL} SELECT community, left(sha256(string_agg(id || chr(0), '' ORDER BY id)), 16) AS signature FROM comm GROUP BY community")
+def member_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.member_signatures(derived_graph(spark, sf_dir)[2])
+
+
+@query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL}, s AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS k FROM comm GROUP BY community)
+SELECT id, CAST(k AS INTEGER) AS community FROM comm JOIN s USING (community)""")
+def community_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.reindex(derived_graph(spark, sf_dir)[2])
+
+
+@query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL} SELECT community AS old, community % 3 AS new, count(*) AS n FROM comm GROUP BY 1, 2""")
+def community_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derived_graph(spark, sf_dir)[2]
+    return analysis.overlap(c, c.select("id", (F.col("community") % 3).alias("community")))
+
+
+@query()
+def community_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derived_graph(spark, sf_dir)[2]
+    return analysis.remap(c, c.select("id", (F.col("community") % 3).alias("community")))
+
+
+_EVENT_NODES = "SELECT concat('u:', user_id) AS id, event_type AS label, CASE WHEN value > 50 THEN props END AS props, event_id AS seq FROM events"
+_EVENT_EDGES = "SELECT concat('u:', user_id) AS src, concat('k:', event_id % 20) AS dst, event_type AS relation, event_id AS seq FROM events"
+
+
+def _events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(sql)
+
+
+@query(f"SELECT id, label, props, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS r FROM ({_EVENT_NODES})) WHERE r = 1")
+def dedupe_nodes_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_first(_events(spark, sf_dir, _EVENT_NODES))
+
+
+@query(f"SELECT id, label, props, place AS seq FROM (SELECT *, min(seq) OVER (PARTITION BY id) AS place, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM ({_EVENT_NODES})) WHERE r = 1")
+def dedupe_nodes_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_last(_events(spark, sf_dir, _EVENT_NODES))
+
+
+@query(f"SELECT src, dst, relation, seq FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, relation ORDER BY seq) AS r FROM ({_EVENT_EDGES})) WHERE r = 1")
+def dedupe_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_first(_events(spark, sf_dir, _EVENT_EDGES))
+
+
+@query(f"SELECT id, arg_max(label, seq) AS label, arg_max(props, seq) FILTER (props IS NOT NULL) AS props, min(seq) AS seq FROM ({_EVENT_NODES}) GROUP BY id")
+def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.merge_attributes(_events(spark, sf_dir, _EVENT_NODES), ["id"])
+
+
+_TWO_WAY = """SELECT CASE WHEN l_linenumber % 2 = 0 THEN concat('p:', l_partkey) ELSE concat('s:', l_suppkey) END AS src, CASE WHEN l_linenumber % 2 = 0 THEN concat('s:', l_suppkey) ELSE concat('p:', l_partkey) END AS dst,
+CASE l_returnflag WHEN 'N' THEN 'imports' ELSE 'calls' END AS relation, CASE l_linestatus WHEN 'O' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM lineitem"""
+
+
+@query(f"""SELECT e.src AS src, e.dst AS dst, e.relation AS relation, e.confidence AS confidence FROM (
+SELECT list_reduce(list_sort(list(DISTINCT {{'src': src, 'dst': dst, 'relation': relation, 'confidence': confidence}})), lambda k, e: CASE WHEN k.relation = e.relation AND k.src = e.dst AND k.src <> e.src THEN k ELSE e END) AS e
+FROM ({_TWO_WAY}) GROUP BY least(src, dst), greatest(src, dst))""")
+def pair_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return graph.fold_pairs(spark.sql(_TWO_WAY))
+
+
+@query(f"""WITH pairs AS (SELECT src, dst, count(*) AS n, count(DISTINCT relation) AS r, count(DISTINCT confidence) AS c FROM ({_TWO_WAY}) GROUP BY src, dst), exact AS (SELECT count(*) AS n FROM ({_TWO_WAY}) GROUP BY src, dst, relation, confidence)
+SELECT 'same_endpoints' AS measure, CAST(sum(n - 1) AS BIGINT) AS value FROM pairs UNION ALL SELECT 'relation_variants', count(*) FROM pairs WHERE r > 1 UNION ALL SELECT 'confidence_variants', count(*) FROM pairs WHERE c > 1
+UNION ALL SELECT 'exact_duplicates', CAST(sum(n - 1) AS BIGINT) FROM exact""")
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return analysis.diagnostics(spark.sql(_TWO_WAY))
+
+
+@query(f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE id NOT LIKE 'c:%7') SELECT * FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)")
+def dangling_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return graph.prune_dangling(e, n.where("id NOT LIKE 'c:%7'"))
+
+
+@query(f"""WITH {GRAPH_SQL}, fresh AS (SELECT id, upper(label) AS label, source_file FROM nodes WHERE source_file LIKE 'customer/1%')
+SELECT id, label, source_file FROM nodes WHERE source_file NOT IN (SELECT source_file FROM fresh) AND source_file <> 'part/3.py' UNION ALL SELECT * FROM fresh""")
+def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir).select("id", "label", "source_file")
+    fresh = n.where("source_file LIKE 'customer/1%'").withColumn("label", F.upper("label"))
+    return graph.replace_by_source(n, fresh, spark.createDataFrame([("part/3.py",)], "source_file string"))
+
+
+@query(f"""WITH {GRAPH_SQL}, new AS (SELECT id, source_file FROM nodes WHERE id NOT LIKE 'o:%3') SELECT id, source_file FROM nodes WHERE id NOT IN (SELECT id FROM new) AND source_file NOT LIKE 'orders/1%'""")
+def shrink_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir).select("id", "source_file")
+    return graph.unexplained_losses(n, n.where("id NOT LIKE 'o:%3'"), n.where("source_file LIKE 'orders/1%'")).select("id", "source_file")
+
+
+@query(f"""WITH {GRAPH_SQL}, n2 AS (SELECT * FROM nodes WHERE id NOT LIKE 'p:%5'), e2 AS (SELECT * FROM edges WHERE dst NOT LIKE 'p:%5' AND relation <> 'in_region')
+SELECT 'node removed' AS change, id AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS relation FROM nodes WHERE id NOT IN (SELECT id FROM n2)
+UNION ALL SELECT 'edge removed', src, dst, relation FROM (SELECT DISTINCT src, dst, relation FROM edges EXCEPT SELECT src, dst, relation FROM e2)""")
+def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return graph.graph_diff(n, n.where("id NOT LIKE 'p:%5'"), e, e.where("dst NOT LIKE 'p:%5' AND relation <> 'in_region'"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, CASE WHEN id LIKE 'c:%' THEN upper(label) ELSE label END AS label, source_file FROM nodes")
+def compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir).select("id", "label", "source_file")
+    return graph.compose(n, n.where("id LIKE 'c:%'").select("id", F.upper("label").alias("label"), F.lit(None).cast("string").alias("source_file")), ["id"])
+
+
+@query(f"""WITH {GRAPH_SQL}, loose AS (SELECT regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS norm, min(id) AS id FROM nodes GROUP BY 1),
+raw AS (SELECT CASE WHEN relation = 'calls' THEN upper(replace(src, ':', '-')) ELSE src END AS src, CASE WHEN relation = 'located_in' THEN concat(dst, 'x') ELSE dst END AS dst, relation, confidence FROM edges)
+SELECT coalesce(s.id, sl.id) AS src, coalesce(d.id, dl.id) AS dst, relation, confidence FROM raw LEFT JOIN nodes s ON s.id = src LEFT JOIN loose sl ON sl.norm = regexp_replace(regexp_replace(lower(src), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')
+LEFT JOIN nodes d ON d.id = dst LEFT JOIN loose dl ON dl.norm = regexp_replace(regexp_replace(lower(dst), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') WHERE coalesce(s.id, sl.id) IS NOT NULL AND coalesce(d.id, dl.id) IS NOT NULL""")
+def endpoint_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    raw = e.select(F.when(F.col("relation") == "calls", F.upper(F.replace("src", F.lit(":"), F.lit("-")))).otherwise(F.col("src")).alias("src"), F.when(F.col("relation") == "located_in", F.concat("dst", F.lit("x"))).otherwise(F.col("dst")).alias("dst"), "relation", "confidence")
+    return graph.resolve_endpoints(raw, n).select("src", "dst", "relation", "confidence")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT e.src, e.dst, e.relation, coalesce(CASE WHEN e.relation = 'calls' THEN 'given.py' END, CASE WHEN s.id LIKE 'p:%' THEN NULL ELSE s.source_file END, d.source_file, '') AS source_file FROM edges e LEFT JOIN nodes s ON s.id = e.src LEFT JOIN nodes d ON d.id = e.dst")
+def source_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    e = e.select("src", "dst", "relation", F.when(F.col("relation") == "calls", "given.py").alias("source_file"))
+    return graph.backfill_source(e, n.select("id", F.when(~F.col("id").startswith("p:"), F.col("source_file")).alias("source_file")))
+
+
+@query(f"""WITH {GRAPH_SQL}, k AS (SELECT id, string_split(source_file, '/')[-1] AS base, lower(left(label, 12)) AS low, CASE WHEN id LIKE 's:%' THEN 'ast' END AS origin FROM nodes WHERE id LIKE 's:%' OR id LIKE 'c:%'),
+k2 AS (SELECT CASE WHEN id LIKE 's:%' THEN id ELSE id END AS id, concat(length(base), '') AS base, right(id, 2) AS low, origin FROM k), real_ AS (SELECT base, low, min(id) AS target FROM k2 WHERE origin = 'ast' GROUP BY base, low HAVING count(*) = 1)
+SELECT k2.id AS ghost, target FROM k2 JOIN real_ USING (base, low) WHERE origin IS NULL""")
+def ghost_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir).where("id LIKE 's:%' OR id LIKE 'c:%'")
+    base = F.length(text.base_name(F.col("source_file"))).cast("string")
+    return graph.ghost_targets(n.select("id", F.when(F.col("id").startswith("s:"), "ast").alias("origin"), base.alias("source_file"), F.expr("right(id, 2)").alias("label")))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT e.src, e.dst, e.relation, e.confidence FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst
+WHERE NOT (relation = 'calls' AND confidence = 'INFERRED' AND CASE WHEN e.src LIKE 'o:%1' THEN 'go' ELSE 'py' END <> CASE WHEN d.source_file LIKE '%.py' THEN 'py' ELSE 'go' END)""")
+def cross_language_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return graph.drop_cross_language(e, n.withColumn("source_file", F.when(F.col("id").like("o:%1"), F.replace("source_file", F.lit(".py"), F.lit(".go"))).otherwise(F.col("source_file"))))
+
+
+@query(f"""WITH {GRAPH_SQL}, n AS (SELECT id, CASE WHEN id LIKE 'p:%9' THEN 'gizmo' ELSE file_type END AS file_type, CASE WHEN id LIKE 's:%4' THEN NULL ELSE label END AS label, source_file FROM nodes WHERE id NOT LIKE 'c:%8'),
+e AS (SELECT src, dst, CASE WHEN relation = 'in_region' THEN 'SURE' ELSE confidence END AS confidence FROM edges)
+SELECT 'node' AS kind, id, 'invalid file_type' AS error FROM n WHERE file_type NOT IN ('code', 'document', 'paper', 'image', 'rationale', 'concept') UNION ALL SELECT 'node', id, 'missing field' FROM n WHERE label IS NULL
+UNION ALL SELECT 'edge', concat(src, '->', dst), 'invalid confidence' FROM e WHERE confidence NOT IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS')
+UNION ALL SELECT 'edge', concat(src, '->', dst), 'dangling source' FROM e WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge', concat(src, '->', dst), 'dangling target' FROM e WHERE dst NOT IN (SELECT id FROM n)""")
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    n = n.where("id NOT LIKE 'c:%8'").withColumns({"file_type": F.when(F.col("id").like("p:%9"), "gizmo").otherwise(F.col("file_type")), "label": F.when(~F.col("id").like("s:%4"), F.col("label"))})
+    return graph.validate(n, e.withColumn("confidence", F.when(F.col("relation") == "in_region", "SURE").otherwise(F.col("confidence"))))
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, j AS (SELECT e.*, a.source_file AS fa, b.source_file AS fb, x.degree AS da, y.degree AS db, p.community AS ca, q.community AS cb,
+string_split(a.source_file, '.')[-1] AS xa, string_split(b.source_file, '.')[-1] AS xb FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst LEFT JOIN deg x ON x.id = src LEFT JOIN deg y ON y.id = dst LEFT JOIN comm p ON p.id = src LEFT JOIN comm q ON q.id = dst
+WHERE relation NOT IN ('imports', 'imports_from', 'contains', 'method') AND a.source_file <> b.source_file),
+s AS (SELECT *, CASE WHEN confidence = 'INFERRED' AND relation IN ('calls', 'uses') AND ((xa <> xb AND xa <> 'md' AND xb <> 'md') OR ((xa = 'md') <> (xb = 'md'))) THEN 0 ELSE
+CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN (xa = 'md') <> (xb = 'md') THEN 2 ELSE 0 END + CASE WHEN string_split(fa, '/')[1] <> string_split(fb, '/')[1] THEN 2 ELSE 0 END + CASE WHEN ca <> cb THEN 1 ELSE 0 END END
++ CASE WHEN least(da, db) <= 2 AND greatest(da, db) >= 5 THEN 1 ELSE 0 END AS score FROM j) SELECT src, dst, relation, confidence, score FROM s ORDER BY score DESC, src, dst, relation LIMIT 5""")
+def surprising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, c = derived_graph(spark, sf_dir)
+    return analysis.surprising(n, e, c)
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, n AS (SELECT nodes.*, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (id)), plain AS (SELECT * FROM n WHERE label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1)),
+vague AS (SELECT 0 AS part, concat_ws('|', src, dst, relation) AS key, 'ambiguous_edge' AS type, concat('What is the exact relationship between `', a.label, '` and `', b.label, '`?') AS question FROM (SELECT * FROM edges WHERE confidence = 'AMBIGUOUS' ORDER BY src, dst, relation LIMIT 7) e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst)
+SELECT type, question FROM vague ORDER BY part, key LIMIT 7""")
+def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, c = derived_graph(spark, sf_dir)
+    return analysis.questions(n, e, c)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT array_to_string(p[1:k], '/') AS prefix, count(*) AS n FROM (SELECT string_split(source_file, '/') AS p FROM nodes), generate_series(1, 2) t(k) WHERE k <= len(p) GROUP BY 1")
+def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.directory_rollup(derived_nodes(spark, sf_dir))
+
+
+@query(f"""WITH {GRAPH_SQL}, {SCORED_SQL}, s AS (SELECT src, dst, confidence_score + CASE WHEN confidence = 'EXTRACTED' THEN 2.0 ELSE 0.0 END + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1.0 WHEN relation IN ('imports', 'imports_from') THEN 0.6 ELSE 0.0 END AS score FROM scored)
+SELECT id, round(sum(score), 6) AS score FROM (SELECT src AS id, score FROM s UNION ALL SELECT dst, score FROM s) GROUP BY id""")
+def weighted_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE)
+    return analysis.weighted_degrees(e).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {GRAPH_SQL}, {SCORED_SQL} SELECT src, dst, relation, confidence FROM scored WHERE (confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_score >= 0.85)) AND relation IN ('calls', 'uses', 'method', 'imports', 'imports_from')")
+def preferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.preferred_edges(derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE)).select("src", "dst", "relation", "confidence")
+
+
+@query(f"""WITH {GRAPH_SQL}, sec AS (SELECT id, string_split(source_file, '/')[1] AS section FROM nodes WHERE id NOT LIKE 'r:%') SELECT CASE WHEN a.section IS NULL OR b.section IS NULL THEN 'orphan' WHEN a.section = b.section THEN 'intra' ELSE 'inter' END AS section, a.section AS section_a, b.section AS section_b, relation, count(*) AS n
+FROM edges LEFT JOIN sec a ON a.id = src LEFT JOIN sec b ON b.id = dst GROUP BY ALL""")
+def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    marked = resolve.classify_sections(e, n.where("id NOT LIKE 'r:%'").select("id", text.top_dir(F.col("source_file")).alias("section")))
+    return marked.groupBy("section", "section_a", "section_b", "relation").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL} SELECT c1, c2, src, dst, relation, confidence FROM (SELECT least(x.community, y.community) AS c1, greatest(x.community, y.community) AS c2, e.*,
+row_number() OVER (PARTITION BY least(x.community, y.community), greatest(x.community, y.community) ORDER BY CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END, src, dst, relation) AS r
+FROM edges e JOIN comm x ON x.id = src JOIN comm y ON y.id = dst WHERE x.community <> y.community) WHERE r = 1""")
+def community_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e, c = derived_graph(spark, sf_dir)
+    return resolve.best_per_pair(e, c)
+
+
+# Traversals. Seeds are fixed; whole tables are searched.
+_BOTH = "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+
+
+def _one(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_BOTH}, walk(id, hop) AS (SELECT 'c:1', 0 UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = id WHERE hop < 2) SELECT id, min(hop) AS hop FROM walk GROUP BY id""")
+def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.hops(derived_edges(spark, sf_dir), _one(spark, "c:1"), 2)
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_BOTH}, {DEGREE_SQL}, sorted_ AS (SELECT degree, row_number() OVER (ORDER BY degree, id) - 1 AS i, count(*) OVER () AS n FROM deg),
+cut AS (SELECT greatest(50, max(degree) FILTER (i = least(n - 1, CAST(floor(n * 0.99) AS BIGINT)))) AS hub FROM sorted_),
+walk(id, hop) AS (SELECT 'c:1', 0 UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = walk.id JOIN deg ON deg.id = walk.id WHERE hop < 3 AND (hop = 0 OR degree < (SELECT hub FROM cut))) SELECT id, min(hop) AS hop FROM walk GROUP BY id""")
+def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.bfs(derived_edges(spark, sf_dir), _one(spark, "c:1"), 3)[0]
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT * FROM edges WHERE relation IN ('calls', 'references', 'imports_from')), walk(id, hop) AS (SELECT 's:1', 0 UNION SELECT src, hop + 1 FROM walk JOIN e ON dst = id WHERE hop < 2),
+f AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id) SELECT f.id, f.hop, min(relation) AS relation FROM f JOIN e ON e.src = f.id JOIN f g ON g.id = e.dst AND g.hop = f.hop - 1 WHERE f.hop > 0 GROUP BY f.id, f.hop""")
+def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.affected(derived_edges(spark, sf_dir), _one(spark, "s:1"))
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(id, hop) AS (SELECT 'p:1', 0 UNION SELECT src, hop + 1 FROM walk JOIN edges ON dst = id WHERE hop < 2) SELECT id, min(hop) AS hop FROM walk GROUP BY id HAVING min(hop) > 0 ORDER BY hop, id LIMIT 200""")
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.blast_radius(derived_edges(spark, sf_dir), _one(spark, "p:1"), 2)
+
+
+@query(f"""WITH {GRAPH_SQL}, calls AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'calls') SELECT id, concat(CASE WHEN id LIKE '%5' THEN '_' ELSE '' END, label) AS label, source_file FROM nodes
+WHERE file_type = 'code' AND id LIKE '%5' AND id NOT IN (SELECT dst FROM calls WHERE src NOT LIKE '%5')""")
+def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    n = n.where("file_type = 'code'").withColumn("label", F.concat(F.when(F.col("id").endswith("5"), "_").otherwise(""), "label"))
+    return traversal.unreachable_functions(n, e)
+
+
+_FILE_EDGES = "SELECT DISTINCT concat('m', l_partkey % 23) AS src, concat('m', (l_partkey + l_suppkey) % 19) AS dst FROM lineitem WHERE l_quantity > 48"
+
+
+@query(f"""WITH RECURSIVE e AS ({_FILE_EDGES}), walk(first, path, tip) AS (SELECT src, [src], dst FROM e WHERE dst >= src UNION ALL SELECT first, list_append(path, tip), e.dst FROM walk JOIN e ON e.src = tip WHERE tip > first AND NOT list_contains(path, tip) AND len(path) < 3 AND e.dst >= first)
+SELECT array_to_string(path, ' > ') AS cycle, CAST(len(path) AS INTEGER) AS length FROM walk WHERE tip = first""")
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return traversal.import_cycles(spark.sql(_FILE_EDGES), 3)
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT src, dst FROM edges WHERE relation = 'located_in' AND src LIKE 'c:%'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+walk(id, root) AS (SELECT src, src FROM b UNION SELECT dst, root FROM walk JOIN b ON src = id) SELECT id, min(root) AS component FROM walk GROUP BY id""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(derived_edges(spark, sf_dir).where("relation = 'located_in' AND src LIKE 'c:%'"))
+
+
+_RANKS = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS rank FROM n)"] + [
+    f"r{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM out_)) / (SELECT count(*) FROM n) + 0.85 * coalesce(got, 0) AS rank FROM n LEFT JOIN (SELECT b.dst AS id, sum(r.rank / o.total) AS got FROM b JOIN out_ o ON o.src = b.src JOIN r{i - 1} r ON r.id = b.src GROUP BY b.dst) g ON g.id = n.id)"
+    for i in range(1, 6)
+]
+
+
+@query(f"WITH {GRAPH_SQL}, n AS (SELECT id FROM nodes), b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst), out_ AS (SELECT src, count(*) AS total FROM b GROUP BY src), {', '.join(_RANKS)} SELECT id, round(rank, 12) AS rank FROM r5")
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), rounds=5).select("id", F.round("rank", 12).alias("rank"))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT direction, relation, id, label FROM (SELECT 'out' AS direction, relation, dst AS id FROM edges WHERE src = 'n:3' UNION ALL SELECT 'in', relation, src FROM edges WHERE dst = 'n:3') JOIN nodes USING (id)""")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return traversal.neighbors(e, n, "n:3").select("direction", "relation", "id", "label")
+
+
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL} SELECT id, direction, relation, label, degree FROM (SELECT 'out' AS direction, relation, dst AS id FROM edges WHERE src = 'p:7' UNION ALL SELECT 'in', relation, src FROM edges WHERE dst = 'p:7') JOIN nodes USING (id) JOIN deg USING (id) ORDER BY degree DESC, id, direction, relation LIMIT 20""")
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return traversal.explain(e, n, "p:7").select("id", "direction", "relation", "label", "degree")
+
+
+@query()
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = traversal.shortest_path(derived_edges(spark, sf_dir), "c:1", "s:1", longest=6)
+    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
+
+
+@query()
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return communities.cluster(n.where("id NOT LIKE 'o:%'"), e.where("relation IN ('in_region', 'located_in')"))
+
+
+@query()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived_edges(spark, sf_dir).where("relation IN ('in_region', 'located_in')")
+    return communities.betweenness(e, samples=100).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT concat('MERGE (n:', upper(left(file_type, 1)), substr(file_type, 2), ' {{id: ''', id, ''', label: ''', replace(label, '''', '\\'''), '''}});') AS value FROM nodes
+UNION ALL SELECT concat('MATCH (a {{id: ''', src, '''}}), (b {{id: ''', dst, '''}}) MERGE (a)-[:', upper(relation), ' {{confidence: ''', confidence, '''}}]->(b);') FROM edges""")
+def cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return graph_json.cypher(n, e)
+
+
+@query(f"""WITH {GRAPH_SQL}, d AS (SELECT concat('<data key="label">', label, '</data><data key="file_type">', file_type, '</data><data key="source_file">', source_file, '</data><data key="community">', coalesce(CAST(community AS VARCHAR), ''), '</data>') AS x, id FROM nodes)
+SELECT concat('<node id="', id, '">', x, '</node>') AS value FROM d UNION ALL SELECT concat('<edge source="', src, '" target="', dst, '"><data key="relation">', relation, '</data><data key="confidence">', confidence, '</data></edge>') FROM edges""")
+def graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return graph_json.graphml_elements(n, e)
+
+
+@query()
+def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, c = derived_graph(spark, sf_dir)
+    return graph_json.wiki_articles(n, e, c, analysis.hub_labels(n, e, c))
+
+
+@query(f"""WITH {GRAPH_SQL}, {SCORED_SQL}, s AS (SELECT *, confidence_score + CASE WHEN confidence = 'EXTRACTED' THEN 2.0 ELSE 0.0 END + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1.0 WHEN relation IN ('imports', 'imports_from') THEN 0.6 ELSE 0.0 END AS score FROM scored ORDER BY score DESC, src, dst, relation LIMIT 40)
+SELECT concat('  ', replace(src, ':', '_'), ' -->|', relation, '| ', replace(dst, ':', '_')) AS value FROM s""")
+def diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_json.mermaid(derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE))
