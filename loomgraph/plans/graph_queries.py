@@ -16,7 +16,10 @@ from loomgraph.plans.registry import query
 from loomgraph.sources import graph_json
 
 _NOISE = ", ".join(f"'{x}'" for x in rules.NOISE_LABELS)
-_SCORE = F.when(F.col("confidence") == "EXTRACTED", 1.0).when(F.col("confidence") == "INFERRED", 0.9).otherwise(0.2)
+
+
+def _scored(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("confidence_score", F.when(F.col("confidence") == "EXTRACTED", 1.0).when(F.col("confidence") == "INFERRED", 0.9).otherwise(0.2))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT * FROM nodes")
@@ -244,12 +247,11 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.validate(n, e.withColumn("confidence", F.when(F.col("relation") == "in_region", "SURE").otherwise(F.col("confidence"))))
 
 
-@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, j AS (SELECT e.*, a.source_file AS fa, b.source_file AS fb, x.degree AS da, y.degree AS db, p.community AS ca, q.community AS cb,
-string_split(a.source_file, '.')[-1] AS xa, string_split(b.source_file, '.')[-1] AS xb FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst LEFT JOIN deg x ON x.id = src LEFT JOIN deg y ON y.id = dst LEFT JOIN comm p ON p.id = src LEFT JOIN comm q ON q.id = dst
-WHERE relation NOT IN ('imports', 'imports_from', 'contains', 'method') AND a.source_file <> b.source_file),
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, info AS MATERIALIZED (SELECT n.id, n.source_file AS f, string_split(n.source_file, '.')[-1] AS x, string_split(n.source_file, '/')[1] AS t, n.community AS c, coalesce(degree, 0) AS d FROM nodes n LEFT JOIN deg ON deg.id = n.id),
+j AS MATERIALIZED (SELECT e.src, e.dst, e.relation, e.confidence, a.f AS fa, b.f AS fb, a.d AS da, b.d AS db, a.c AS ca, b.c AS cb, a.x AS xa, b.x AS xb, a.t AS ta, b.t AS tb FROM edges e JOIN info a ON a.id = src JOIN info b ON b.id = dst),
 s AS (SELECT *, CASE WHEN confidence = 'INFERRED' AND relation IN ('calls', 'uses') AND ((xa <> xb AND xa <> 'md' AND xb <> 'md') OR ((xa = 'md') <> (xb = 'md'))) THEN 0 ELSE
-CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN (xa = 'md') <> (xb = 'md') THEN 2 ELSE 0 END + CASE WHEN string_split(fa, '/')[1] <> string_split(fb, '/')[1] THEN 2 ELSE 0 END + CASE WHEN ca <> cb THEN 1 ELSE 0 END END
-+ CASE WHEN least(da, db) <= 2 AND greatest(da, db) >= 5 THEN 1 ELSE 0 END AS score FROM j) SELECT src, dst, relation, confidence, score FROM s ORDER BY score DESC, src, dst, relation LIMIT 5""")
+CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN (xa = 'md') <> (xb = 'md') THEN 2 ELSE 0 END + CASE WHEN ta <> tb THEN 2 ELSE 0 END + CASE WHEN ca <> cb THEN 1 ELSE 0 END END
++ CASE WHEN least(da, db) <= 2 AND greatest(da, db) >= 5 THEN 1 ELSE 0 END AS score FROM j WHERE fa <> fb AND relation NOT IN ('imports', 'imports_from', 'contains', 'method')) SELECT src, dst, relation, confidence, score FROM s ORDER BY score DESC, src, dst, relation LIMIT 5""")
 def surprising(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, c = derived_graph(spark, sf_dir)
     return analysis.surprising(n, e, c)
@@ -271,13 +273,12 @@ def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL}, {SCORED_SQL}, s AS (SELECT src, dst, confidence_score + CASE WHEN confidence = 'EXTRACTED' THEN 2.0 ELSE 0.0 END + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1.0 WHEN relation IN ('imports', 'imports_from') THEN 0.6 ELSE 0.0 END AS score FROM scored)
 SELECT id, round(sum(score), 6) AS score FROM (SELECT src AS id, score FROM s UNION ALL SELECT dst, score FROM s) GROUP BY id""")
 def weighted_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE)
-    return analysis.weighted_degrees(e).select("id", F.round("score", 6).alias("score"))
+    return analysis.weighted_degrees(_scored(derived_edges(spark, sf_dir))).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {GRAPH_SQL}, {SCORED_SQL} SELECT src, dst, relation, confidence FROM scored WHERE (confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_score >= 0.85)) AND relation IN ('calls', 'uses', 'method', 'imports', 'imports_from')")
 def preferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.preferred_edges(derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE)).select("src", "dst", "relation", "confidence")
+    return analysis.preferred_edges(_scored(derived_edges(spark, sf_dir))).select("src", "dst", "relation", "confidence")
 
 
 @query(f"""WITH {GRAPH_SQL}, sec AS (SELECT id, string_split(source_file, '/')[1] AS section FROM nodes WHERE id NOT LIKE 'r:%') SELECT CASE WHEN a.section IS NULL OR b.section IS NULL THEN 'orphan' WHEN a.section = b.section THEN 'intra' ELSE 'inter' END AS section, a.section AS section_a, b.section AS section_b, relation, count(*) AS n
@@ -416,4 +417,4 @@ def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL}, {SCORED_SQL}, s AS (SELECT *, confidence_score + CASE WHEN confidence = 'EXTRACTED' THEN 2.0 ELSE 0.0 END + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1.0 WHEN relation IN ('imports', 'imports_from') THEN 0.6 ELSE 0.0 END AS score FROM scored ORDER BY score DESC, src, dst, relation LIMIT 40)
 SELECT concat('  ', replace(src, ':', '_'), ' -->|', relation, '| ', replace(dst, ':', '_')) AS value FROM s""")
 def diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_json.mermaid(derived_edges(spark, sf_dir).withColumn("confidence_score", _SCORE))
+    return graph_json.mermaid(_scored(derived_edges(spark, sf_dir)))
