@@ -35,6 +35,8 @@ MARGIN = 2.0
 WINDOW = 8
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
+#: Labels of up to this many documents are broadcast (three numbers each), so texts stay where they are; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: Words remembered per worker.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,9 +95,14 @@ def _interpolate(table: list[np.ndarray], gram: np.ndarray, context: np.ndarray,
     return np.where(seen, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * low) / divisor, low).clip(1e-12)
 
 
-def training_words(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``(y, half, word, n)`` of the labelled documents: counted on the map side before anything is shuffled."""
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, y, half)`` of the labelled documents, marked for broadcast if they are few enough."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+    return F.broadcast(known) if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else known
+
+
+def training_words(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(y, half, word, n)`` of the labelled documents: counted on the map side before anything is shuffled."""
     words = docs.join(known, "doc_id").select("y", "half", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))).alias("word"))
     return words.groupBy("y", "half", "word").agg(F.count("*").alias("n"))
 
@@ -233,15 +240,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """``docs (doc_id, text)`` and ``labels (doc_id, label)``: all rows given are training rows."""
     from loomgraph.plans.storage import discard, materialize
 
-    labels = labels.select("doc_id", label)
-    words, path = materialize(training_words(docs, labels, label), "toxicity-words")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = known_labels(labels.select("doc_id", label), label)
+    words, path = materialize(training_words(docs, known), "toxicity-words")
     totals = {r["y"]: r["n"] for r in docs.join(known, "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(None, None, totals.get(1, 0) / sum(totals.values()) if totals else 0.5)
     models = fit_counts(words)
     discard(docs.sparkSession, path)
-    few = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
+    few = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
     cross = docs.sparkSession.sparkContext.broadcast(models[:2])
 
     @F.pandas_udf("array<double>")
