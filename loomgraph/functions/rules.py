@@ -131,6 +131,15 @@ def pr_status(base_branch: Column, ci: Column, review: Column, draft: Column, da
     )
 
 
+def ci_status(conclusions: Column, statuses: Column) -> Column:
+    """One state of a pull request's checks from arrays of their conclusions and states."""
+    # Conclusions that are failures.
+    failed = F.array(*map(F.lit, ("FAILURE", "CANCELLED", "TIMED_OUT", "ACTION_REQUIRED", "STARTUP_FAILURE")))
+    running = F.array(F.lit("IN_PROGRESS"), F.lit("QUEUED"))
+    has = lambda a, b: F.coalesce(F.arrays_overlap(F.array_compact(a), b), F.lit(False))
+    return F.when(has(conclusions, failed), "FAILURE").when(has(statuses, running), "PENDING").when(has(conclusions, F.array(F.lit("SUCCESS"))), "SUCCESS").otherwise("NONE")
+
+
 def edge_included(confidence: Column, score: Column) -> Column:
     return (F.upper(confidence) == "EXTRACTED") | ((F.upper(confidence) == "INFERRED") & (score >= 0.85))
 

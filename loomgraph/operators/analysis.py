@@ -195,3 +195,15 @@ def within_budget(lines: DataFrame, tokens: int) -> DataFrame:
     """Lines ``(group, place, line)`` of each group while their running length stays within four characters a token."""
     w = Window.partitionBy("group").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("used", F.sum(F.length("line") + 1).over(w)).where(F.col("used") <= 4 * tokens)
+
+
+def community_samples(nodes: DataFrame, community: DataFrame, gods: DataFrame, most: int = 100, top: int = 12, length: int = 60) -> DataFrame:
+    """``(community, names)``: labels that stand for the largest communities, central entities first, each name once."""
+    order = community.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(most)
+    held = community.join(order, "community").join(nodes.select("id", "label"), "id").join(gods.select("id", F.lit(0).alias("god")), "id", "left")
+    name = F.substring(F.regexp_replace(F.trim("label"), r"^[()]+|[()]+$", ""), 1, length)
+    named = held.select("community", "n", name.alias("name"), F.coalesce("god", F.lit(1)).alias("god"), "id").where("name <> ''")
+    once = first_by(named.withColumn("low", F.lower("name")), ["community", "low"], "god", "id")
+    w = Window.partitionBy("community").orderBy("god", "id")
+    ranked = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
+    return ranked.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("names"))

@@ -204,3 +204,33 @@ def add_to_global(total: DataFrame, graph: DataFrame, repo: str) -> DataFrame:
     """Nodes of one repository under its prefix, in place of those it had."""
     own = graph.select(F.concat(F.lit(f"{repo}::"), F.col("id")).alias("id"), "label", "source_file", F.lit(repo).alias("repo"), F.col("id").alias("local_id"))
     return total.where(F.col("repo") != repo).unionByName(own)
+
+
+def legacy_ids(nodes: DataFrame) -> DataFrame:
+    """``(old, new)``: ids that begin with a short form of their file (its name, or folder and name) get the whole path's form instead.
+
+    Parsed nodes keep theirs. The longer short form is tried first.
+    """
+    bare = F.regexp_replace("source_file", r"\.[^./]+$", "")
+    parts = F.split(bare, "/")
+    stem, name = text.ascii_id(bare), text.ascii_id(F.element_at(parts, -1))
+    parent = F.when(F.size(parts) > 1, text.ascii_id(F.concat_ws("_", F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1))))
+    begins = lambda short: (F.col("id") == short) | F.col("id").startswith(F.concat(short, F.lit("_")))
+    moved = lambda short: F.concat(stem, F.expr("substring(id, 1)").substr(F.length(short) + 1, F.lit(1 << 30)))
+    kept = nodes.where("origin IS NULL AND coalesce(source_file, '') <> '' AND NOT source_file LIKE '/%'").where(~begins(stem))
+    new = F.when(parent.isNotNull() & begins(parent), moved(parent)).when(begins(name), moved(name))
+    return kept.select(F.col("id").alias("old"), new.alias("new")).where("new IS NOT NULL AND new <> old")
+
+
+def merge_fragments(fragments: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of all fragments, the first record of an id first; edges concatenated."""
+    nodes, edges = fragments[0]
+    nodes = nodes.withColumn("part", F.lit(0))
+    for i, (n, e) in enumerate(fragments[1:], 1):
+        nodes, edges = nodes.unionByName(n.withColumn("part", F.lit(i)), allowMissingColumns=True), edges.unionByName(e, allowMissingColumns=True)
+    return first_by(nodes, ["id"], "part", "seq").drop("part"), edges
+
+
+def expired(versions: DataFrame, today: str, keep_days: int = 14) -> DataFrame:
+    """Dated snapshots ``(path, day)`` that are older than the days kept."""
+    return versions.where(F.datediff(F.to_date(F.lit(today)), F.col("day")) > keep_days)

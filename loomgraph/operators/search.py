@@ -102,6 +102,20 @@ def score(nodes: DataFrame, terms: list[str], ascii_only: bool = False) -> DataF
     return j.select("id", "label", total.alias("score")).where("score > 0").orderBy(F.desc("score"), F.length("label"), "id").select("id", "score")
 
 
+def weigh(scored: DataFrame, nodes: DataFrame, ranks: DataFrame | None = None, similar: DataFrame | None = None) -> DataFrame:
+    """``(id, score)`` after small corrections: concepts and prose yield to code, central and similar nodes gain at most 15 % each."""
+    from loomgraph.functions import rules
+
+    source = F.coalesce("source_file", F.lit(""))
+    factor = F.when(rules.is_concept_node(source), CONCEPT).when(text.suffix(source).isin(*rules.DOCS), PROSE).otherwise(1.0)
+    out = scored.join(nodes.select("id", "source_file"), "id").withColumn("score", F.col("score") * factor).select("id", "score")
+    for extra, name, boost in ((ranks, "rank", RANK_BOOST), (similar, "similarity", VECTOR_BOOST)):
+        if extra is not None:
+            top = F.broadcast(extra.agg(F.max(name).alias("top")))
+            out = out.join(extra.select("id", name), "id", "left").crossJoin(top).withColumn("score", F.col("score") * (1 + boost * F.coalesce(F.col(name) / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0)))).select("id", "score")
+    return out
+
+
 def pick_seeds(scored: DataFrame, most: int = MAX_SEEDS, gap: float = SEED_GAP) -> DataFrame:
     """The first few of ``(id, score)`` that stay close to the best, by score and id."""
     top = scored.orderBy(F.desc("score"), "id").limit(most)

@@ -418,3 +418,53 @@ def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT concat('  ', replace(src, ':', '_'), ' -->|', relation, '| ', replace(dst, ':', '_')) AS value FROM s""")
 def diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_json.mermaid(_scored(derived_edges(spark, sf_dir)))
+
+
+@query(f"""WITH {GRAPH_SQL}, n AS (SELECT id, source_file, regexp_replace(regexp_replace(lower(regexp_replace(source_file, '\\.[^./]+$', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS stem, string_split(regexp_replace(source_file, '\\.[^./]+$', ''), '/')[-1] AS name FROM nodes WHERE id NOT LIKE 's:%')
+SELECT concat(name, '_', replace(id, ':', '_')) AS old, concat(stem, '_', replace(id, ':', '_')) AS new FROM n""")
+def legacy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir)
+    name = F.element_at(F.split(F.regexp_replace("source_file", r"\.[^./]+$", ""), "/"), -1)
+    raw = n.select(F.concat_ws("_", name, F.replace("id", F.lit(":"), F.lit("_"))).alias("id"), "source_file", F.when(F.col("id").like("s:%"), "ast").alias("origin"))
+    return graph.legacy_ids(raw)
+
+
+@query(f"""WITH {GRAPH_SQL}, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst), {DEGREE_SQL} SELECT id, anchor FROM (SELECT b.src AS id, n.source_file AS anchor, row_number() OVER (PARTITION BY b.src ORDER BY degree DESC, b.dst) AS r
+FROM both_ways b JOIN nodes n ON n.id = b.dst JOIN deg ON deg.id = b.dst WHERE (b.src LIKE 'r:%' OR b.src LIKE 'n:%') AND n.file_type <> 'concept') WHERE r = 1""")
+def concept_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    bare = n.withColumn("source_file", F.when(F.col("file_type") != "concept", F.col("source_file")))
+    return traversal.concept_anchor(bare, e)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT concat('shop::', id) AS id, label, source_file, 'shop' AS repo, id AS local_id FROM nodes WHERE id LIKE 's:%' UNION ALL SELECT concat('other::', id), label, source_file, 'other', id FROM nodes WHERE id LIKE 'n:%'")
+def global_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived_nodes(spark, sf_dir)
+    none = n.limit(0).select("id", "label", "source_file", F.lit("").alias("repo"), F.col("id").alias("local_id"))
+    total = graph.add_to_global(none, n.where("id LIKE 'r:%'"), "shop")
+    return graph.add_to_global(graph.add_to_global(total, n.where("id LIKE 'n:%'"), "other"), n.where("id LIKE 's:%'"), "shop")
+
+
+@query(f"WITH {GRAPH_SQL}, n AS (SELECT o_orderkey % 9 AS seed, count(*) FILTER (o_orderkey % 9 >= 3 AND (o_orderkey % 9 > 5 OR o_orderkey < 40)) AS n FROM orders GROUP BY 1) SELECT CAST(seed AS BIGINT) AS seed, n, CASE WHEN n = 0 THEN 'isolated' WHEN n <= 5 THEN 'contained' ELSE 'high' END AS risk FROM n")
+def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, seed = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey") % 9
+    return analysis.risk_bands(o.select(seed.alias("seed"), F.when((seed >= 3) & ((seed > 5) | (F.col("o_orderkey") < 40)), F.col("o_orderkey")).alias("id")))
+
+
+@query(f"""WITH {GRAPH_SQL}, w AS (SELECT string_split(source_file, '/')[1] AS section, unnest(list_transform(regexp_extract_all(label, '[A-Z]+[a-z]*|[a-z]+|[0-9]+'), lambda t: lower(t))) AS word FROM nodes), c AS (SELECT section, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ('the', 'and', 'for', 'with', 'from') GROUP BY 1, 2)
+SELECT section, word, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, word) AS r FROM c) WHERE r <= 5""")
+def section_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.section_keywords(derived_nodes(spark, sf_dir).select(text.top_dir(F.col("source_file")).alias("section"), "label"))
+
+
+@query(f"""WITH t AS (SELECT source AS section, lower(text) AS x FROM documents), h AS (SELECT section, 'en' AS archetype, sum(len(regexp_extract_all(x, '\\b(the)\\b')) + len(regexp_extract_all(x, '\\b(that)\\b'))) AS hits FROM t GROUP BY 1 UNION ALL SELECT section, 'fr', sum(len(regexp_extract_all(x, '\\b(les)\\b'))) FROM t GROUP BY 1)
+SELECT section, archetype FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY hits DESC, archetype) AS r FROM h WHERE hits >= 2) WHERE r = 1""")
+def keyword_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("section")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    return analysis.keyword_archetypes(docs, {"en": ("the", "that"), "fr": ("les",)})
+
+
+@query()
+def community_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, c = derived_graph(spark, sf_dir)
+    return analysis.community_samples(n, c, analysis.god_nodes(n, e))

@@ -372,3 +372,58 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(_read(spark, sf_dir, "events"))
 
 
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'FAILURE' WHEN o_orderkey % 3 = 0 THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'SUCCESS' ELSE 'NONE' END AS ci FROM orders""")
+def ci_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.array(F.when(F.col("o_orderstatus") == "P", "TIMED_OUT").when(F.col("o_orderstatus") == "F", "SUCCESS"), F.lit(None).cast("string"))
+    running = F.array(F.when(F.col("o_orderkey") % 3 == 0, "QUEUED").otherwise("COMPLETED"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", rules.ci_status(done, running).alias("ci"))
+
+
+@query(f"""WITH s AS ({_RANKED}), w AS (SELECT id, score * CASE WHEN id LIKE '%1' THEN 0.85 WHEN id LIKE '%2' THEN 0.9 ELSE 1 END AS score FROM s) SELECT id, round(score * (1 + 0.15 * length(id) / (SELECT max(length(id)) FROM w)), 6) AS score FROM w""")
+def weighed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    scored = spark.sql(_RANKED)
+    source = F.when(F.col("id").like("%1"), "").when(F.col("id").like("%2"), "a.md").otherwise("a.py")
+    return search.weigh(scored, scored.select("id", source.alias("source_file")), scored.select("id", F.length("id").cast("double").alias("rank"))).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH s AS ({_RANKED}), c AS (SELECT concat('c:', c_custkey) AS id, c_nationkey AS community FROM customer), t AS (SELECT *, 0 AS later FROM s ORDER BY score DESC, id LIMIT 2), used AS (SELECT community FROM t JOIN c USING (id)),
+m AS (SELECT id, score, 1 AS later FROM (SELECT s.*, row_number() OVER (PARTITION BY community ORDER BY score DESC, id) AS r FROM s JOIN c USING (id) WHERE community NOT IN (SELECT community FROM used)) WHERE r = 1) SELECT id, score FROM (SELECT * FROM t UNION ALL SELECT * FROM m ORDER BY later, score DESC, id LIMIT 5)""")
+def filled_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    scored = spark.sql(_RANKED)
+    c = spark.table("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").alias("community"))
+    return search.fill_communities(scored.orderBy(F.desc("score"), "id").limit(2), scored, c)
+
+
+@query(f"WITH {GRAPH_SQL}, v AS (SELECT concat('v', x) AS node, x FROM generate_series(1, 9) t(x)), m AS (SELECT CASE WHEN x % 2 = 0 THEN concat('s:', x) ELSE concat('Supplier#', lpad(CAST(x AS VARCHAR), 9, '0')) END AS node, x FROM v) SELECT concat('s:', x) AS id, 'preferred' AS status, x / 2.0 AS score FROM m WHERE concat('s:', x) IN (SELECT id FROM nodes)")
+def learning_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, x = derived_nodes(spark, sf_dir), F.col("id").cast("string")
+    cited = spark.range(1, 10).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("s:"), x)).otherwise(F.concat(F.lit("Supplier#"), F.lpad(x, 9, "0"))).alias("node"), F.lit("preferred").alias("status"), (F.col("id") / 2.0).alias("score"))
+    return feedback.overlay(n, cited)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, 0 AS tier FROM nodes WHERE id = 'n:4'")
+def resolved_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_seed(derived_nodes(spark, sf_dir), "n:4")
+
+
+@query("""SELECT DISTINCT concat('o', o_orderkey) AS src, concat('p', p_partkey) AS dst, 'http_calls' AS relation FROM orders JOIN part ON concat('act', o_custkey % 300) = concat('act', p_partkey % 280) WHERE o_orderkey % 10 <> 0""")
+def http_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.concat(F.lit("act"), (F.col("o_custkey") % 300).cast("string"))
+    sites = _read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.when(F.col("o_orderkey") % 10 == 0, F.concat(action, F.lit("${x}"))).otherwise(action).alias("action"))
+    handlers = _read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("act"), (F.col("p_partkey") % 280).cast("string")).alias("action"))
+    return resolve.http_links(sites, handlers)
+
+
+@query(f"""WITH {GRAPH_SQL}, sym AS (SELECT regexp_replace(string_split(source_file, '/')[-1], '\\.[^.]*$', '') AS module, lower(label) AS name, min(id) AS dst FROM nodes WHERE file_type = 'code' GROUP BY 1, 2 HAVING count(*) = 1), k AS (SELECT o_orderkey, CAST(o_custkey % 97 AS VARCHAR) AS module, concat('customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS name FROM orders)
+SELECT DISTINCT concat('o:', o_orderkey) AS src, dst FROM k JOIN sym USING (module, name)""")
+def import_guided_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    file, alias = F.concat(F.lit("f"), key), F.concat(F.lit("a"), F.col("o_custkey").cast("string"))
+    calls = o.select(F.concat(F.lit("o:"), key).alias("caller"), file.alias("file"), alias.alias("callee"))
+    imports = o.select(file.alias("file"), alias.alias("alias"), (F.col("o_custkey") % 97).cast("string").alias("module"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
+    return resolve.import_guided_calls(calls, imports, derived_nodes(spark, sf_dir))
