@@ -137,3 +137,50 @@ def best_per_pair(edges: DataFrame, community: DataFrame) -> DataFrame:
     j = edges.join(a, "src").join(b, "dst").where("ca <> cb").withColumns({"c1": F.least("ca", "cb"), "c2": F.greatest("ca", "cb")})
     rank = F.when(F.col("confidence") == "AMBIGUOUS", 0).when(F.col("confidence") == "INFERRED", 1).otherwise(2)
     return first_by(j, ["c1", "c2"], rank, "src", "dst", "relation").select("c1", "c2", "src", "dst", "relation", "confidence")
+
+
+def types_in_scope(uses: DataFrame, scopes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``(src, name, dst)``: a type named in a file ``(src, file, name)`` is the one definition ``(id, namespace, name)`` in the namespaces the file sees ``(file, namespace)``.
+
+    Parts of one definition count as their smallest id. With no or several definitions in scope ``dst`` is a stub.
+    """
+    once = definitions.groupBy("namespace", "name").agg(F.min("id").alias("id"))
+    seen = uses.join(scopes, "file").join(once, ["namespace", "name"]).groupBy("src", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return uses.select("src", "name").distinct().join(seen, ["src", "name"], "left").select("src", "name", F.coalesce("id", F.concat(F.lit("stub:"), "name")).alias("dst"))
+
+
+def member_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """``(src, dst)`` of calls ``(caller, receiver, receiver_type, method)``: ``Name.new`` is the only class of that name ``(id, name)``; another method is the only one
+    of that name ``(id, class_id, name)`` in the only class of the receiver's type."""
+    one = classes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("class_id")).where("n = 1").drop("n")
+    made = calls.where("method = 'new'").join(one, F.col("receiver") == F.col("name")).select(F.col("caller").alias("src"), F.col("class_id").alias("dst"))
+    own = methods.groupBy("class_id", F.col("name").alias("method")).agg(F.count("*").alias("n"), F.min("id").alias("dst")).where("n = 1").drop("n")
+    run = calls.where("method <> 'new'").join(one, F.col("receiver_type") == F.col("name")).join(own, ["class_id", "method"]).select(F.col("caller").alias("src"), "dst")
+    return made.union(run).where("src <> dst").distinct()
+
+
+def join_path(folder: Column, path: Column) -> Column:
+    """A relative path from a folder, without ``.`` and ``..`` parts; null if it leaves the root."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, path), "/"), lambda p: (p != "") & (p != "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+
+    def step(s: Column, p: Column) -> Column:
+        up = p == ".."
+        at = F.when(up, F.slice(s["at"], 1, F.greatest(F.size(s["at"]) - 1, F.lit(0)))).otherwise(F.concat(s["at"], F.array(p)))
+        return F.struct(at.alias("at"), (s["ok"] & (~up | (F.size(s["at"]) > 0))).alias("ok"))
+
+    return F.aggregate(parts, start, step, lambda s: F.when(s["ok"], F.array_join(s["at"], "/")))
+
+
+def import_targets(imports: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None, endings: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".sh", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")) -> DataFrame:
+    """``(file, spec, target)``: the file ``(path)`` an import ``(file, spec)`` means: relative to the importing file or below an alias, with the first ending that exists.
+
+    Also resolves sourced shell files, whose paths are literals.
+    """
+    folder = F.regexp_replace("file", "/?[^/]*$", "")
+    base = F.when(F.col("spec").rlike(r"^\.\.?(/|$)"), join_path(folder, F.col("spec")))
+    for prefix, to in sorted((aliases or {}).items(), key=lambda a: len(a[0])):
+        base = F.when(F.col("spec").startswith(prefix), join_path(F.lit(to), F.expr(f"substring(spec, {len(prefix) + 1})"))).otherwise(base)
+    tried = F.posexplode(F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(base, e)))
+    j = imports.select("file", "spec", tried.alias("rank", "target")).join(known.select(F.col("path").alias("target")).distinct(), "target")
+    return j.where("file <> target").groupBy("file", "spec").agg(F.min_by("target", "rank").alias("target"))

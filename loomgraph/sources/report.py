@@ -29,3 +29,21 @@ def answer(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, to
     # Every line is a character at least, so no more than this many can fit.
     few = rows.orderBy("place").limit(4 * tokens)
     return "\n".join(r["line"] for r in analysis.within_budget(few, tokens).orderBy("place").collect())
+
+
+def token_cost(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 3) -> int:
+    """Tokens (four characters each) of what a plain search from the three labels with most of a question's words reaches."""
+    from loomgraph.operators import traversal
+
+    terms = search.query_terms(question)
+    hits = sum((F.col("low").contains(t).cast("int") for t in terms), F.lit(0))
+    seeds = nodes.select("id", F.lower("label").alias("low")).select("id", hits.alias("n")).where("n > 0").orderBy(F.desc("n"), F.desc("id")).limit(3)
+    found = traversal.hops(edges, seeds, depth)
+    held = found.join(nodes.select("id", "label", "source_file", "source_location"), "id")
+    line = F.length(F.concat_ws(" ", F.lit("NODE"), "label", F.concat(F.lit("src="), F.coalesce("source_file", F.lit(""))), F.concat(F.lit("loc="), F.coalesce("source_location", F.lit("")))))
+    a, b = found.toDF("src", "ha"), found.toDF("dst", "hb")
+    label = nodes.select("id", "label")
+    links = edges.join(a, "src").join(b, "dst").where("abs(ha - hb) = 1").join(label.toDF("src", "la"), "src").join(label.toDF("dst", "lb"), "dst")
+    text = F.length(F.concat(F.lit("EDGE "), "la", F.lit(" --"), "relation", F.lit("--> "), "lb"))
+    total = held.agg(F.coalesce(F.sum(line + 1), F.lit(0))).first()[0] + links.agg(F.coalesce(F.sum(text + 1), F.lit(0))).first()[0]
+    return max(0, total - 1) // 4

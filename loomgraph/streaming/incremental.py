@@ -1,6 +1,6 @@
 """Streams: watched files that update a graph, decayed feedback, and windows over events.
 
-Watching by micro-batches stands for the reference's quiet period. Watermarks and windows over events are extensions.
+Watching works in micro-batches. Watermarks and windows over events are extensions.
 """
 
 from __future__ import annotations

@@ -220,3 +220,42 @@ def test_memories(spark, tmp_path):
 def test_surprise_order_of_steps(spark):
     row = spark.createDataFrame([("semantically_similar_to", "INFERRED", "a/x.py", "b/y.md", 1, 2, 1, 9)], "r string, c string, fa string, fb string, ca int, cb int, da int, db int")
     assert row.select(rules.surprise(*map(F.col, row.columns))).first()[0] == int((2 + 2 + 2 + 1) * 1.5) + 1
+
+
+def test_types_in_scope(spark):
+    uses = spark.createDataFrame([("a", "f", "T"), ("a", "f", "U"), ("b", "g", "T")], "src string, file string, name string")
+    scopes = spark.createDataFrame([("f", "N"), ("f", "M"), ("g", "X")], "file string, namespace string")
+    defs = spark.createDataFrame([("t2", "N", "T"), ("t1", "N", "T"), ("u1", "N", "U"), ("u2", "M", "U")], "id string, namespace string, name string")
+    assert got(resolve.types_in_scope(uses, scopes, defs)) == [("a", "T", "t1"), ("a", "U", "stub:U"), ("b", "T", "stub:T")]
+
+
+def test_member_calls(spark):
+    calls = spark.createDataFrame([("m", "Dog", None, "new"), ("m", "d", "Dog", "bark"), ("m", "c", "Cat", "run"), ("m", "Cat", None, "new")], "caller string, receiver string, receiver_type string, method string")
+    classes = spark.createDataFrame([("dog", "Dog"), ("cat1", "Cat"), ("cat2", "Cat")], "id string, name string")
+    methods = spark.createDataFrame([("dog_bark", "dog", "bark"), ("cat_run", "cat1", "run")], "id string, class_id string, name string")
+    assert got(resolve.member_calls(calls, classes, methods)) == [("m", "dog"), ("m", "dog_bark")]
+
+
+def test_import_targets(spark):
+    imports = spark.createDataFrame([("src/a/x.ts", "./y"), ("src/a/x.ts", "../b"), ("src/a/x.ts", "@/lib/z"), ("src/a/x.ts", "react"), ("src/a/x.ts", "../../../out"), ("run.sh", "./lib.sh")], "file string, spec string")
+    known = spark.createDataFrame([("src/a/y.js",), ("src/a/y.ts",), ("src/b/index.ts",), ("src/lib/z.tsx",), ("lib.sh",)], "path string")
+    assert got(resolve.import_targets(imports, known, {"@/": "src"})) == [("run.sh", "./lib.sh", "lib.sh"), ("src/a/x.ts", "../b", "src/b/index.ts"), ("src/a/x.ts", "./y", "src/a/y.ts"), ("src/a/x.ts", "@/lib/z", "src/lib/z.tsx")]
+
+
+def test_token_cost(spark):
+    from loomgraph.sources import report
+
+    n = nodes(spark, ("a", "alpha"), ("b", "beta"), ("c", "gamma"))
+    e = edges(spark, ("a", "b"))
+    lines = "NODE alpha src=a.py loc=\nNODE beta src=a.py loc=\nEDGE alpha --calls--> beta"
+    assert report.token_cost(n, e, "what is alpha?") == len(lines) // 4 and report.token_cost(n, e, "zzz") == 0
+
+
+def test_samples_and_versions(spark):
+    n = nodes(spark, ("a", "One()"), ("b", "one"), ("c", "Two"))
+    c = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "id string, community long")
+    assert got(analysis.community_samples(n, c, n.where("id = 'c'"))) == [(1, "Two, One")]
+    v = spark.createDataFrame([("p1", "2024-01-01"), ("p2", "2024-01-20")], "path string, day string")
+    assert got(graph.expired(v, "2024-01-21").select("path")) == [("p1",)]
+    a, b = graph.merge_fragments([(n.limit(1), edges(spark, ("a", "b"))), (n, edges(spark, ("b", "c")))])
+    assert a.count() == 3 and b.count() == 2
