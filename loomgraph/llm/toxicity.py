@@ -53,12 +53,16 @@ def _grams(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
-def _slots(grams: list[str]) -> np.ndarray:
-    """A slot for each n-gram: FNV-1a over its code points, vectorised; all of one length."""
+def _codes(grams: list[str]) -> np.ndarray:
+    """Code points, an n-gram a row; all of one length."""
     n = len(grams[0]) if grams else 0
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), n).astype(np.uint64)
-    h = np.full(len(grams), 14695981039346656037 ^ n, np.uint64)
-    for k in range(n):
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), n).astype(np.uint64)
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """A slot for each row: FNV-1a over its code points, vectorised."""
+    h = np.full(len(codes), 14695981039346656037 ^ codes.shape[1], np.uint64)
+    for k in range(codes.shape[1]):
         h = (h ^ codes[:, k]) * np.uint64(1099511628211)
     return ((h ^ (h >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -79,11 +83,10 @@ class Counts:
         flat = [g for gs in grams for g in gs]
         if not flat:
             return np.zeros(len(words))
-        low = np.full(len(flat), 1.0 / self.base)
+        codes, low = _codes(flat), np.full(len(flat), 1.0 / self.base)
         for k in range(ORDER - 3, -1, -1):
-            part = [g[k + 1 :] for g in flat]
-            low = _interpolate(self.shared[k], _slots(part), _slots([g[:-1] for g in part]), low)
-        gram, context = _slots(flat), _slots([g[:-1] for g in flat])
+            low = _interpolate(self.shared[k], _hashed(codes[:, k + 1 :]), _hashed(codes[:, k + 1 : -1]), low)
+        gram, context = _hashed(codes), _hashed(codes[:, :-1])
         ordinary, toxic = (_interpolate(t, gram, context, low) for t in self.own)
         return np.add.reduceat(np.log(toxic / ordinary), np.cumsum(size) - size)
 
@@ -140,8 +143,8 @@ def _summed(types: DataFrame) -> DataFrame:
         for part in parts:
             if not len(part):
                 continue
-            grams = part["gram"].tolist()
-            gram, context, n = _slots(grams), _slots([g[:-1] for g in grams]), part["n"].to_numpy()
+            codes, n = _codes(part["gram"].tolist()), part["n"].to_numpy()
+            gram, context = _hashed(codes), _hashed(codes[:, :-1])
             kind, half = part["kind"].to_numpy().astype(np.int64), part["half"].to_numpy()
             cell = np.concatenate([(_number(kind, half, t) << 32) | slot for t, slot in enumerate((gram, context, context))])
             cell, where = np.unique(cell, return_inverse=True)
