@@ -165,10 +165,13 @@ def section_summary(classified: DataFrame) -> DataFrame:
 
 
 def keyword_archetypes(sections: DataFrame, keywords: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``(section, archetype)``: whose words occur most in ``(section, text)``, at least twice; ties by name."""
+    """``(section, archetype)``: whose words occur most in the texts of a section ``(section, text)``, at least twice; ties by name.
+
+    Words are counted where the texts are; only counts are shuffled.
+    """
     rows = [F.struct(F.lit(name).alias("archetype"), sum((F.size(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b({w})\b"), F.lit(1))) for w in words), F.lit(0)).alias("hits")) for name, words in keywords.items()]
-    scored = sections.select("section", F.explode(F.array(*rows)).alias("r")).select("section", "r.*").where("hits >= 2")
-    return first_by(scored, ["section"], F.desc("hits"), "archetype").select("section", "archetype")
+    counted = sections.select("section", F.explode(F.array(*rows)).alias("r")).select("section", "r.*").groupBy("section", "archetype").agg(F.sum("hits").alias("hits"))
+    return first_by(counted.where("hits >= 2"), ["section"], F.desc("hits"), "archetype").select("section", "archetype")
 
 
 def section_keywords(labels: DataFrame, top: int = 5, stop: tuple[str, ...] = ("the", "and", "for", "with", "from")) -> DataFrame:

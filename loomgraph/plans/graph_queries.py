@@ -460,7 +460,7 @@ def section_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT source AS section, lower(text) AS x FROM documents), h AS (SELECT section, 'en' AS archetype, sum(len(regexp_extract_all(x, '\\b(the)\\b')) + len(regexp_extract_all(x, '\\b(that)\\b'))) AS hits FROM t GROUP BY 1 UNION ALL SELECT section, 'fr', sum(len(regexp_extract_all(x, '\\b(les)\\b'))) FROM t GROUP BY 1)
 SELECT section, archetype FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY hits DESC, archetype) AS r FROM h WHERE hits >= 2) WHERE r = 1""")
 def keyword_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("section")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("section"), "text")
     return analysis.keyword_archetypes(docs, {"en": ("the", "that"), "fr": ("les",)})
 
 
