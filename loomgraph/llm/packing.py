@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
 from loomgraph.llm.tokens import encoder, vocabulary
 from loomgraph.plans.storage import materialize
 
@@ -104,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
                         seen[n] += 1
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long, part long, number long")
 
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
+
 FIT_ROWS = 20_000
 BINS, PAIR_BINS = 32, 8
 ROUNDS, PAIR_ROUNDS = 300, 100
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Additiv
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([features_of(t) for t in texts])
 
-    rows = docs.join(F.broadcast(few), "doc_id").select("y", measured("text").alias("x")).toPandas()
+    rows = bounded(docs).join(F.broadcast(few), "doc_id").select("y", measured("text").alias("x")).toPandas()
     return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES)), rows["y"].to_numpy(float))
 
 
@@ -186,7 +188,7 @@ def with_score(docs: DataFrame, model: Additive, text_col: str = "text", name: s
         for texts in parts:
             yield pd.Series(model.score(matrix(texts.tolist())))
 
-    return docs.withColumn(name, score(F.col(text_col)))
+    return bounded(docs).withColumn(name, score(F.col(text_col)))
 
 
 def keep(docs: DataFrame, model: Additive, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

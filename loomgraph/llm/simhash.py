@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.storage import materialize
 
@@ -164,7 +165,7 @@ def classes(values: DataFrame, radius: int = 3, chunk: int | None = None) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, chunk: int | None = None) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``; the component is its smallest reachable id."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp"))
+    docs = bounded(docs).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp"))
     docs, _ = materialize(docs, "simhash")
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = classes(first.select("fp"), radius, chunk).join(first, "fp")
@@ -180,7 +181,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Of rows with the kept row's id and text, the one with the smallest hash of all columns stays.
     """
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), tie.alias("tie")).alias("row"), fingerprint(F.col(text_col), words).alias("fp"))
+    rows = bounded(docs).select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), tie.alias("tie")).alias("row"), fingerprint(F.col(text_col), words).alias("fp"))
     rows, _ = materialize(rows, "simhash-rows")
     first, _ = materialize(rows.groupBy("fp").agg(F.min("row").alias("row")), "simhash-first")
     linked, _ = materialize(classes(first.select("fp"), radius, chunk), "simhash-classes")

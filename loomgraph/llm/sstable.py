@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
 from loomgraph.llm.tokens import encoder, vocabulary
 from loomgraph.plans.storage import fresh_path, materialize
 
@@ -181,7 +182,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     ``width``: bytes of an id (2 up to 65,536 ids). Memory: one Arrow batch and one open block a task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, int(str(stored)) // SHARD_BYTES))
 

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
+
 ORDER = 5
 SLOTS = 1 << 19
 DISCOUNT = 0.75
@@ -38,7 +40,7 @@ THRESHOLD = 0.3
 #: Labels of up to this many documents are broadcast (three numbers each), so texts stay where they are; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Words remembered per worker.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD = "\x02"
 _END = "\x03"
@@ -262,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 out[i] = row
         return pd.Series(out)
 
-    rows = docs.join(F.broadcast(few), "doc_id").select("y", judged(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"), "text").alias("x")).toPandas()
+    rows = bounded(docs).join(F.broadcast(few), "doc_id").select("y", judged(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"), "text").alias("x")).toPandas()
     cross.unpersist()
     return Model(models[2], fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy(float)), totals[1] / sum(totals.values()))
 
@@ -279,7 +281,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
             texts = texts.tolist()
             yield pd.Series(np.concatenate([m.scores(judge, texts[at : at + 1000]) for at in range(0, len(texts), 1000)] or [np.zeros(0)]))
 
-    return docs.withColumn(name, score(F.col(text_col)))
+    return bounded(docs).withColumn(name, score(F.col(text_col)))
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

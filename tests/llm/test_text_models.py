@@ -87,3 +87,16 @@ def test_op4(spark, tmp_path):
     got = sorted(map(tuple, licenses.op4_licenses(spark, table(spark, tmp_path, documents=clashing(docs(spark, rows)))).collect()), key=repr)
     assert got == sorted([(20, "mit", 2, 33, 1.0), (20, "mit", 2, 33, 1.0), (None, "cc-by-nc-4.0", 0, 28, 1.0)], key=repr)
     assert licenses.op4_licenses(spark, table(spark, tmp_path, documents=docs(spark, []))).collect() == []
+
+
+def test_batches_are_bounded(spark):
+    from loomgraph.llm import batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    batches.bounded(docs(spark))
+    assert spark.conf.get(key) == str(batches.ROWS)
+    spark.conf.set(key, "50")
+    batches.bounded(docs(spark))
+    assert spark.conf.get(key) == "50"
+    spark.conf.unset(key)
