@@ -6,9 +6,9 @@ is smoothed towards the same backoff in either. A word's evidence is the differe
 judged by length-normalised evidence: its mean over all words, over its best window, and what single words have beyond a
 margin; a logistic fit turns these into a score.
 
-Counts cover every labelled training document: words are counted per class in Spark, n-grams from the distinct words, and
-types are summed into tables of ``SLOTS`` hashed slots, so what is collected and broadcast has a fixed bound. The
-logistic fit takes at most ``FIT_ROWS`` labelled documents (those of smallest hashed id); half of the training documents are judged by the
+Counts cover every labelled training document: words are counted per class in Spark, n-grams from the distinct words. Every
+n-gram has a count of its own under a 64-bit hash, so what is collected and broadcast grows with the distinct n-grams of the training
+words (far slower than the text). The logistic fit takes at most ``FIT_ROWS`` labelled documents (those of smallest hashed id); half of the training documents are judged by the
 models of the other half, since a model's own documents look too certain.
 
 Defined cases: null text counts as empty; a text without words has evidence zero and still gets a score. Documents without a label
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from loomgraph.llm.batches import bounded
 
 ORDER = 5
-SLOTS = 1 << 19
 DISCOUNT = 0.75
 MARGIN = 2.0
 WINDOW = 8
@@ -62,20 +61,56 @@ def _codes(grams: list[str]) -> np.ndarray:
 
 
 def _hashed(codes: np.ndarray) -> np.ndarray:
-    """A slot for each row: FNV-1a over its code points, vectorised."""
+    """A 64-bit key for each row: FNV-1a over its code points, with its high half mixed in, vectorised."""
     h = np.full(len(codes), 14695981039346656037 ^ codes.shape[1], np.uint64)
     for k in range(codes.shape[1]):
         h = (h ^ codes[:, k]) * np.uint64(1099511628211)
-    return ((h ^ (h >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+class Table:
+    """Values by 64-bit key: open addressing, at most half full, of a size that follows the keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0))
+        #: The last row is that of a key not found.
+        self.values = np.vstack([values, np.zeros((1, values.shape[1]))])
+        bits = max(1, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        row, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(row):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = row[free]
+            left = self.slots[at] != row
+            row, at = row[left], (at[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys) - 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """A row of values for each key; zeros for a key not in the table."""
+        at = self._first(keys)
+        row = self.slots[at]
+        other = np.nonzero((row >= 0) & (self.keys[row] != keys))[0]
+        while len(other):
+            at[other] = (at[other] + 1) & self.mask
+            row[other] = self.slots[at[other]]
+            other = other[(row[other] >= 0) & (self.keys[row[other]] != keys[other])]
+        return self.values[row]
 
 
 @dataclass
 class Counts:
-    """Tables over hashed slots. ``own[c]``: class c's counts of n-grams, of contexts, and types after a context;
-    ``shared[k]``: continuation counts of order ORDER-1-k, likewise. ``base``: distinct last characters."""
+    """``own``: of n-grams the counts in class 0 and 1; of contexts the counts in class 0 and 1, and the types after them likewise.
+    ``shared[k]``: of order ORDER-1-k, continuation counts of n-grams; counts and types of contexts. ``base``: distinct last characters."""
 
-    own: list[list[np.ndarray]] = field(default_factory=lambda: [[np.zeros(SLOTS, np.float32) for _ in range(3)] for _ in range(2)])
-    shared: list[list[np.ndarray]] = field(default_factory=lambda: [[np.zeros(SLOTS, np.float32) for _ in range(3)] for _ in range(ORDER - 2)])
+    own: tuple[Table, Table]
+    shared: list[tuple[Table, Table]]
     base: int = 1
 
     def evidence(self, words: list[str]) -> np.ndarray:
@@ -87,14 +122,14 @@ class Counts:
             return np.zeros(len(words))
         codes, low = _codes(flat), np.full(len(flat), 1.0 / self.base)
         for k in range(ORDER - 3, -1, -1):
-            low = _interpolate(self.shared[k], _hashed(codes[:, k + 1 :]), _hashed(codes[:, k + 1 : -1]), low)
-        gram, context = _hashed(codes), _hashed(codes[:, :-1])
-        ordinary, toxic = (_interpolate(t, gram, context, low) for t in self.own)
+            gram, context = self.shared[k][0](_hashed(codes[:, k + 1 :])), self.shared[k][1](_hashed(codes[:, k + 1 : -1]))
+            low = _interpolate(gram[:, 0], context[:, 0], context[:, 1], low)
+        gram, context = self.own[0](_hashed(codes)), self.own[1](_hashed(codes[:, :-1]))
+        ordinary, toxic = (_interpolate(gram[:, c], context[:, c], context[:, 2 + c], low) for c in (0, 1))
         return np.add.reduceat(np.log(toxic / ordinary), np.cumsum(size) - size)
 
 
-def _interpolate(table: list[np.ndarray], gram: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
-    count, total, types = table[0][gram], table[1][context], table[2][context]
+def _interpolate(count: np.ndarray, total: np.ndarray, types: np.ndarray, low: np.ndarray) -> np.ndarray:
     seen = total > 0
     divisor = np.where(seen, total, 1)
     return np.where(seen, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * low) / divisor, low).clip(1e-12)
@@ -113,7 +148,7 @@ def training_words(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _tables(words: DataFrame) -> DataFrame:
-    """``(cell, n)``: the counts of every table; ``cell`` is table number << 32 | slot. See ``_number``."""
+    """``(number, key, n, types)``: the rows of every table. See ``_number``."""
 
     def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -130,45 +165,54 @@ def _tables(words: DataFrame) -> DataFrame:
         lower = types.groupBy("half", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
         out = out.union(_summed(lower.select(F.lit(2 + k).alias("kind"), "half", "gram", "n")))
         types = lower.select("half", "gram")
-    return out.groupBy("cell").agg(F.sum("n").alias("n"))
+    return out.groupBy("number", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
 
 
 def _number(kind, half, table):
-    """kind: class 0, class 1, then shared orders downwards; half: 0, 1, or 2 for both; table: n-grams, contexts, types."""
-    return (kind * 3 + half) * 3 + table
+    """kind: class 0, class 1, then shared orders downwards; half: 0, 1, or 2 for both; table: n-grams, contexts."""
+    return (kind * 3 + half) * 2 + table
 
 
 def _summed(types: DataFrame) -> DataFrame:
-    """Counts of n-grams, of their contexts, and types after a context, by cell; summed within a batch first."""
+    """Counts of n-grams; counts of their contexts and types after them, summed within a batch first."""
 
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if not len(part):
                 continue
             codes, n = _codes(part["gram"].tolist()), part["n"].to_numpy()
-            gram, context = _hashed(codes), _hashed(codes[:, :-1])
-            kind, half = part["kind"].to_numpy().astype(np.int64), part["half"].to_numpy()
-            cell = np.concatenate([(_number(kind, half, t) << 32) | slot for t, slot in enumerate((gram, context, context))])
-            cell, where = np.unique(cell, return_inverse=True)
-            yield pd.DataFrame({"cell": cell, "n": np.bincount(where, np.concatenate([n, n, np.ones_like(n)])).astype(np.int64)})
+            kind, half = part["kind"].to_numpy(), part["half"].to_numpy()
+            yield pd.DataFrame({"number": _number(kind, half, 0), "key": _hashed(codes).view(np.int64), "n": n, "types": 0})
+            contexts = pd.DataFrame({"number": _number(kind, half, 1), "key": _hashed(codes[:, :-1]).view(np.int64), "n": n, "types": 1})
+            yield contexts.groupby(["number", "key"], sort=False, as_index=False).sum()
 
-    return types.mapInPandas(hashed, "cell long, n long")
+    return types.mapInPandas(hashed, "number int, key long, n long, types long")
 
 
 def fit_counts(words: DataFrame) -> list[Counts]:
-    """The models of half 0, of half 1, and of all training documents. Collected: two numbers for each slot in use at most."""
-    models = [Counts() for _ in range(3)]
+    """The models of half 0, of half 1, and of all training documents. Collected: a row for each distinct n-gram and context of each."""
     found = _tables(words).toArrow()
-    cell, n = found["cell"].to_numpy(), found["n"].to_numpy()
-    number = cell >> 32
-    for kind in range(ORDER):
-        for half, m in enumerate(models):
-            for table in range(3):
-                own = number == _number(kind, half, table)
-                target = (m.own[kind] if kind < 2 else m.shared[kind - 2])[table]
-                target[cell[own] & 0xFFFFFFFF] = n[own]
-    for m in models:
-        m.base = 1 + int((m.shared[-1][0] > 0).sum())
+    number, key, n, types = (found[c].to_numpy() for c in ("number", "key", "n", "types"))
+    order = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[order], np.arange(ORDER * 6 + 1))
+
+    def rows(kind: int, half: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+        at = _number(kind, half, table)
+        own = order[starts[at] : starts[at + 1]]
+        return key[own].view(np.uint64), np.c_[n[own], types[own]].astype(float)[:, : 1 + table]
+
+    def both(half: int, table: int) -> Table:
+        sides = [rows(c, half, table) for c in (0, 1)]
+        keys, where = np.unique(np.concatenate([k for k, _ in sides]), return_inverse=True)
+        values = np.zeros((len(keys), 2 + 2 * table))
+        for c, at in enumerate(np.split(where, [len(sides[0][0])])):
+            values[at, c::2] = sides[c][1]
+        return Table(keys, values)
+
+    models = []
+    for half in range(3):
+        shared = [(Table(*rows(2 + k, half, 0)), Table(*rows(2 + k, half, 1))) for k in range(ORDER - 2)]
+        models.append(Counts((both(half, 0), both(half, 1)), shared, 1 + len(shared[-1][0])))
     return models
 
 

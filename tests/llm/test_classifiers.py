@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import ROWS, clashing, docs, table
 
@@ -96,3 +97,39 @@ def test_evidence_is_kneser_ney(spark):
     for word in ("rude", "calm", "rudely", "zzz"):
         want = sum(log(p(top[1], g, shared(g[1:])) / p(top[0], g, shared(g[1:]))) for g in toxicity._grams(word, n))
         assert model.evidence([word])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_evidence_of_many_ngrams(spark):
+    """With more distinct n-grams than a table of 2^19 cells has room for, evidence still equals that of plain dictionaries."""
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(1)
+    letters = rng.integers(0, 26, (70_000, 14))
+    words = [(i % 2, i // 2 % 2, "".join(chr(97 + c) for c in row), 1 + i % 3) for i, row in enumerate(letters)]
+    model = toxicity.fit_counts(spark.createDataFrame(pd.DataFrame(words, columns=["y", "half", "word", "n"])))[2]
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    levels = [Counter(), Counter()]
+    for y, _, w, c in words:
+        for g in toxicity._grams(w, n):
+            levels[y][g] += c
+    assert len(set(levels[0]) | set(levels[1])) > 1 << 19
+    level = set(levels[0]) | set(levels[1])
+    for _ in range(n - 2):
+        levels.append(Counter(g[1:] for g in level))
+        level = set(levels[-1])
+    totals, types = [defaultdict(int) for _ in levels], [defaultdict(int) for _ in levels]
+    for i, c in enumerate(levels):
+        for g, m in c.items():
+            totals[i][g[:-1]] += m
+            types[i][g[:-1]] += 1
+
+    def p(i, g, below):
+        total = totals[i].get(g[:-1])
+        return (max(levels[i][g] - d, 0) + d * types[i][g[:-1]] * below) / total if total else below
+
+    def shared(g, i=2):
+        return p(i, g, shared(g[1:], i + 1)) if i < len(levels) else 1 / (1 + len(levels[-1]))
+
+    some = [w for _, _, w, _ in words[:300]] + ["quietly", "zzz", "\u00e9t\u00e9"]
+    want = [sum(np.log(p(1, g, shared(g[1:])) / p(0, g, shared(g[1:]))) for g in toxicity._grams(w, n)) for w in some]
+    assert np.allclose(model.evidence(some), want, atol=1e-6)
