@@ -1,10 +1,12 @@
 """Licence scans: passages against licence templates by Dice coefficient over word bigrams.
 
 Text and templates are normalised alike: lower case, runs of letters and digits are the words. Compared are the whole text, its
-paragraphs, lines and sentences. A passage of n bigrams can reach a coefficient t only with templates of n*t/(2-t) to
+paragraphs, lines and sentences, and every window of words up to (2-t)/t times as long as a template, across line ends, so a
+notice amid other prose is compared by itself. A passage of n bigrams can reach a coefficient t only with templates of n*t/(2-t) to
 n*(2-t)/t bigrams; the others are pruned by bisection over sizes. It must also share t/(2-t) of a template's bigrams, so
-of any larger remainder it holds at least one: texts and passages without a word of those are skipped, which loses
-nothing. Of overlapping finds the best is kept (then the shorter, then the earlier, then by name).
+of any larger remainder it holds at least one: texts without a word of those, and templates of which a text (or the window
+ahead) has fewer bigrams, are skipped, which loses nothing. Of overlapping finds the best is kept (then passages before windows,
+the shorter passage or the longer window, then the earlier, then by name).
 
 Null text counts as empty; an empty text, or one of a single word, has no bigrams and no finds. Repeated rows are scanned
 each. Ids may be null. Only id and text are read.
@@ -14,10 +16,13 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,16 +81,75 @@ def passages(text: str) -> set[tuple[int, int]]:
     return spans
 
 
+class Words:
+    """The words of a text with their spans, and its bigrams by position."""
+
+    def __init__(self, text: str):
+        low = text.lower()
+        found = [(m.group(), *m.span()) for m in _WORD.finditer(low)]
+        words, self.start, self.end = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+        if len(low) != len(text):  # some characters have two in lower case
+            at = [i for i, c in enumerate(text) for _ in c.lower()]
+            self.start, self.end = [at[i] for i in self.start], [at[i - 1] + 1 for i in self.end]
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.ids = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in zip(words, words[1:], strict=False)], np.int64)
+        last = np.full(len(self.pairs), -1)
+        #: Where the same bigram stood before, or -1.
+        self.before = np.empty(len(self.ids), np.int64)
+        for i, k in enumerate(self.ids):
+            self.before[i], last[k] = last[k], i
+
+
+class Windows:
+    """The best window of one text for one template from each start. One that begins or ends with another bigram is never better."""
+
+    def __init__(self, words: Words, name: str, template: frozenset, length: int, threshold: float):
+        self.words, self.name, self.size, self.threshold = words, name, len(template), threshold
+        self.longest = int(length * (2 - threshold) / threshold + 1e-9)
+        self.shared = np.fromiter((p in template for p in words.pairs), bool, len(words.pairs))[words.ids]
+
+    def starts(self) -> Iterator[int]:
+        total = np.concatenate([[0], np.cumsum(self.shared)])
+        ahead = total[np.minimum(np.arange(len(self.shared)) + self.longest, len(self.shared))] - total[:-1]
+        return iter(np.nonzero(self.shared & (ahead >= needed(self.size, self.threshold)))[0].tolist())
+
+    def best(self, i: int, stop: int | None = None) -> tuple | None:
+        """The entry in the heap of the best window from bigram ``i`` that ends before bigram ``stop``."""
+        end = min(i + self.longest, len(self.shared) if stop is None else stop)
+        if end <= i:
+            return None
+        new = self.words.before[i:end] < i
+        score = 2 * np.cumsum(new & self.shared[i:end]) / (np.cumsum(new) + self.size)
+        if score.max() < self.threshold:
+            return None
+        # Bigrams that came before leave the score as it is; the longest window is taken.
+        k = int(np.nonzero((score == score.max()) & self.shared[i:end])[0][-1])
+        a, b = self.words.start[i], self.words.end[i + k + 1]
+        return (-float(score[k]), 1, a - b, a, self.name, b, self.size, i, self)
+
+
+def needed(size: int, threshold: float) -> int:
+    """How many of a template's bigrams any passage that reaches the threshold has."""
+    return math.ceil(threshold / (2 - threshold) * size - 1e-9)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         self.threshold = threshold
+        lengths = {b: len(_WORD.findall(t.lower())) - 1 for texts in templates.values() for t in texts if (b := bigrams(t))}
         known = sorted(((len(b), name, b) for name, texts in templates.items() for b in {bigrams(t) for t in texts} if b), key=lambda x: x[:2])
         self.sizes = [n for n, _, _ in known]
         self.templates = [(name, b) for _, name, b in known]
-        share = threshold / (2 - threshold)
+        self.lengths = [lengths[b] for _, _, b in known]
+        self.least = [needed(n, threshold) for n in self.sizes]
+        #: The templates that have a bigram.
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, (_, _, b) in enumerate(known):
+            for pair in b:
+                self.having[pair].append(i)
         self.anchors: set[str] = set()
         for n, _, b in known:
-            spare = n - math.ceil(share * n - 1e-9) + 1
+            spare = n - needed(n, threshold) + 1
             # Long words are rare words: any choice of ``spare`` bigrams would do.
             for pair in sorted(b, key=lambda p: (-max(map(len, p)), p))[:spare]:
                 self.anchors.add(max(pair, key=lambda w: (len(w), w)))
@@ -98,27 +162,53 @@ class Scanner:
         """Whether the text has one of the words without which no passage reaches the threshold."""
         return bool(self.anchors) and next(self.anchor.iter(text.lower()), None) is not None
 
-    def candidates(self, n: int) -> list[tuple[str, frozenset]]:
+    def candidates(self, n: int) -> range:
+        """Which templates a passage of n bigrams can match, by size."""
         t = self.threshold
-        return self.templates[bisect_left(self.sizes, n * t / (2 - t) - 1e-9) : bisect_right(self.sizes, n * (2 - t) / t + 1e-9)]
+        return range(bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9))
+
+    def possible(self, text: str) -> set[int]:
+        """The templates of which the text has as many bigrams as any find must have."""
+        words = _WORD.findall(text.lower())
+        seen = Counter(i for pair in self.having.keys() & set(zip(words, words[1:], strict=False)) for i in self.having[pair])
+        return {i for i, n in seen.items() if n >= self.least[i]}
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(licence, start, end, coefficient) of the finds, by start; offsets count code points."""
         text = text or ""
-        if not self.may_hold(text):
+        if not self.may_hold(text) or not (possible := self.possible(text)):
             return []
-        found = []
+        heap = []
         for start, end in passages(text):
             own = text[start:end]
             if not self.may_hold(own):
                 continue
             own = bigrams(own)
-            found += [(name, start, end, score) for name, b in self.candidates(len(own)) if (score := dice(own, b)) >= self.threshold]
-        kept: list[tuple[str, int, int, float]] = []
-        for f in sorted(found, key=lambda f: (-f[3], f[2] - f[1], f[1], f[0])):
-            if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[1])
+            heap += [(-score, 0, end - start, start, self.templates[i][0], end) for i in self.candidates(len(own)) if i in possible and (score := dice(own, self.templates[i][1])) >= self.threshold]
+        words = Words(text)
+        for i in sorted(possible):
+            windows = Windows(words, *self.templates[i], self.lengths[i], self.threshold)
+            heap += [f for at in windows.starts() if (f := windows.best(at))]
+        kept: list[tuple[int, int, str, float]] = []
+        _choose(heap, kept)
+        return [(name, start, end, score) for start, end, name, score in kept]
+
+
+def _choose(heap: list[tuple], kept: list[tuple[int, int, str, float]]) -> None:
+    """Adds the best finds that overlap no kept one, best first. A window that does is tried again as far as the next kept find."""
+    heap = [(*f[:6], *(f[6:] or (0, 0, None))) for f in heap]
+    heap = [(*f[:8], n, f[8]) for n, f in enumerate(heap)]
+    heapify(heap)
+    while heap:
+        minus, _, _, start, name, end, _, i, n, windows = heappop(heap)
+        at = bisect_right(kept, start, key=lambda k: k[0])
+        after = kept[at][0] if at < len(kept) else end
+        if at and kept[at - 1][1] > start:
+            continue
+        if end <= after:
+            insort(kept, (start, end, name, -minus))
+        elif windows is not None and (f := windows.best(i, bisect_right(windows.words.end, after) - 1)):
+            heappush(heap, (*f[:8], n, windows))
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

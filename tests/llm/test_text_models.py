@@ -100,3 +100,43 @@ def test_batches_are_bounded(spark):
     batches.bounded(docs(spark))
     assert spark.conf.get(key) == "50"
     spark.conf.unset(key)
+
+
+def test_notice_amid_other_prose():
+    header = " ".join(licenses.TEMPLATES["apache-2.0"][1:])
+    prose = "The parts of this package were put together by several people over many years, and each of them keeps what they wrote in their own name."
+    own = {"apache-2.0": licenses.TEMPLATES["apache-2.0"], "whole": (header,)}
+    for sep in (" ", "\n"):
+        text = sep.join(["Copyright 2020 Foo Inc.", prose, header, prose])
+        text = text if sep == " " else "\n".join(text.split(" ")[i] + " " + " ".join(text.split(" ")[i + 1 : i + 9]) for i in range(0, len(text.split(" ")), 9))
+        got = licenses.Scanner(own, 0.8).scan(text)
+        assert [(n, round(s, 6)) for n, _, _, s in got] == [("whole", 1.0)]
+        assert text[got[0][1] : got[0][2]].split() == header.rstrip(".").split()
+        assert {n for n, *_ in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)} == {"apache-2.0"}
+    text = "\u0130\u0130 we note that it is licensed\nunder the MIT License as of today"
+    (name, a, b, score), = licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)
+    assert (name, text[a:b], score) == ("mit", "licensed\nunder the MIT License", 1.0)
+
+
+WORD = st.lists(st.sampled_from("a b c d e f".split()), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(words=WORD, one=WORD, other=WORD)
+def test_windows_against_all_spans(words, one, other):
+    """Greedy choice over every run of words, against the heap."""
+    own = {"one": (" ".join(one),), "other": (" ".join(other),)}
+    s, text = licenses.Scanner(own, 0.8), " ".join(words)
+    every = [(-licenses.dice(licenses.bigrams(text[a:b]), g), 0, b - a, a, n, b) for a, b in licenses.passages(text) for n, g in s.templates]
+    for k, (n, g) in enumerate(s.templates):
+        for i in range(len(words) - 1):
+            for j in range(i + 2, min(len(words), i + 1 + int(s.lengths[k] * 1.5 + 1e-9)) + 1):
+                if (words[i], words[i + 1]) in g and (words[j - 2], words[j - 1]) in g:
+                    every.append((-licenses.dice(licenses.bigrams(" ".join(words[i:j])), g), 1, 1 - 2 * (j - i), 2 * i, n, 2 * j - 1))
+    kept = []
+    while True:
+        free = [f for f in every if f[0] <= -0.8 and all(f[5] <= k[3] or f[3] >= k[5] for k in kept)]
+        if not free:
+            break
+        kept.append(min(free))
+    assert s.scan(text) == sorted(((f[4], f[3], f[5], -f[0]) for f in kept), key=lambda f: f[1])
