@@ -8,6 +8,9 @@ of any larger remainder it holds at least one: texts without a word of those, an
 ahead) has fewer bigrams, are skipped, which loses nothing. Of overlapping finds the best is kept (then passages before windows,
 the shorter passage or the longer window, then the earlier, then by name).
 
+Full texts of licences (``license_texts/``) are compared first, by windows alone; what they cover is not searched for notices, as
+they quote notices and share clauses with each other.
+
 Null text counts as empty; an empty text, or one of a single word, has no bigrams and no finds. Repeated rows are scanned
 each. Ids may be null. Only id and text are read.
 """
@@ -20,6 +23,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
@@ -35,20 +39,29 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    "bsd-3-clause": (
-        "Licensed under the BSD 3-Clause License.",
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    # The opening clause is that of all BSD licences.
+    "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ),
+    "bsd-2-clause": ("Licensed under the BSD 2-Clause License.",),
+    "bsd-3-clause": ("Licensed under the BSD 3-Clause License.",),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc0-1.0": ("Released under CC0 1.0 Universal.",),
+    "epl-1.0": ("Licensed under the Eclipse Public License, Version 1.0.",),
+    "epl-2.0": ("Licensed under the Eclipse Public License, Version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "lgpl-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.",),
     "lgpl-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "mit": (
         "Released under the MIT License.",
@@ -64,6 +77,11 @@ _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^\n]+?(?:(?<=[.!?])(?=\s)|$|(?=\n))")
 
 
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The packaged texts of whole licences, by name."""
+    return {p.stem: (p.read_text("utf-8"),) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
     words = _WORD.findall(text.lower())
     return frozenset(zip(words, words[1:], strict=False))
@@ -134,14 +152,16 @@ def needed(size: int, threshold: float) -> int:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
+    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float, full: dict[str, tuple[str, ...]] | None = None):
         self.threshold = threshold
-        lengths = {b: len(_WORD.findall(t.lower())) - 1 for texts in templates.values() for t in texts if (b := bigrams(t))}
-        known = sorted(((len(b), name, b) for name, texts in templates.items() for b in {bigrams(t) for t in texts} if b), key=lambda x: x[:2])
-        self.sizes = [n for n, _, _ in known]
+        lengths = {b: len(_WORD.findall(t.lower())) - 1 for group in (templates, full or {}) for texts in group.values() for t in texts if (b := bigrams(t))}
+        known, whole = (sorted(((len(b), name, b) for name, texts in group.items() for b in {bigrams(t) for t in texts} if b), key=lambda x: x[:2]) for group in (templates, full or {}))
+        #: Sizes of notices; full texts have the numbers after them.
+        self.sizes, self.notices = [n for n, _, _ in known], len(known)
+        known += whole
         self.templates = [(name, b) for _, name, b in known]
         self.lengths = [lengths[b] for _, _, b in known]
-        self.least = [needed(n, threshold) for n in self.sizes]
+        self.least = [needed(n, threshold) for n, _, _ in known]
         #: The templates that have a bigram.
         self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
         for i, (_, _, b) in enumerate(known):
@@ -178,18 +198,18 @@ class Scanner:
         text = text or ""
         if not self.may_hold(text) or not (possible := self.possible(text)):
             return []
-        heap = []
-        for start, end in passages(text):
-            own = text[start:end]
-            if not self.may_hold(own):
-                continue
-            own = bigrams(own)
+        words, kept = Words(text), []
+
+        def windows(numbers: list[int]) -> list[tuple]:
+            every = [Windows(words, *self.templates[i], self.lengths[i], self.threshold) for i in numbers]
+            return [f for w in every for at in w.starts() if (f := w.best(at))]
+
+        notices = sorted(i for i in possible if i < self.notices)
+        _choose(windows(sorted(possible.difference(notices))), kept)
+        heap = windows(notices)
+        for start, end in passages(text) if notices else ():
+            own = bigrams(text[start:end])
             heap += [(-score, 0, end - start, start, self.templates[i][0], end) for i in self.candidates(len(own)) if i in possible and (score := dice(own, self.templates[i][1])) >= self.threshold]
-        words = Words(text)
-        for i in sorted(possible):
-            windows = Windows(words, *self.templates[i], self.lengths[i], self.threshold)
-            heap += [f for at in windows.starts() if (f := windows.best(at))]
-        kept: list[tuple[int, int, str, float]] = []
         _choose(heap, kept)
         return [(name, start, end, score) for start, end, name, score in kept]
 
@@ -212,11 +232,11 @@ def _choose(heap: list[tuple], kept: list[tuple[int, int, str, float]]) -> None:
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, license, start, end, score)`` of every find; a map without a shuffle."""
-    chosen = templates or TEMPLATES
+    """``(doc_id, license, start, end, score)`` of every find; a map without a shuffle. Templates of a caller's own stand for all."""
+    chosen, full = templates or TEMPLATES, None if templates else full_texts()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(chosen, threshold)
+        scanner = Scanner(chosen, threshold, full)
         for part in parts:
             rows = [(d, *f) for d, t in zip(part["doc_id"], part["text"], strict=True) for f in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "score"])

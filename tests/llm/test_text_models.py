@@ -140,3 +140,17 @@ def test_windows_against_all_spans(words, one, other):
             break
         kept.append(min(free))
     assert s.scan(text) == sorted(((f[4], f[3], f[5], -f[0]) for f in kept), key=lambda f: f[1])
+
+
+def test_full_texts(spark):
+    full = licenses.full_texts()
+    assert {"agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "mit", "mpl-2.0"} <= set(full)
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD, full)
+    for name, (text,) in full.items():
+        found = s.scan(f"Copyright 2020 Foo Inc. All our own work.\n{text}\nThe end of it.")
+        assert [(n, score) for n, _, _, score in found] == [(name, 1.0)], name
+    two = full["bsd-2-clause"][0]
+    opening = two[: two.index("1.")]
+    assert [f[0] for f in s.scan(opening)] == ["bsd"]
+    rows = [(i, full[n][0], "en", "a", 1) for i, n in enumerate(("gpl-3.0", "agpl-3.0", "bsd-2-clause"))]
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows)).collect()) == [(0, "gpl-3.0"), (1, "agpl-3.0"), (2, "bsd-2-clause")]
