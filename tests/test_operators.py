@@ -117,6 +117,27 @@ def test_clusters_cover_all_nodes(spark):
     assert dict(got(community.cluster(n, e))) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "d", "z": "z"}
 
 
+def modularity(pairs, found):
+    degree, inside, total = {}, 0, {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        inside += found[a] == found[b]
+    for i, d in degree.items():
+        total[found[i]] = total.get(found[i], 0) + d
+    return inside / len(pairs) - sum((t / 2 / len(pairs)) ** 2 for t in total.values())
+
+
+def test_large_components_are_clustered_as_well_as_small_ones(spark, monkeypatch):
+    """A tree of stars: what is cut apart is never put together again unless the edges between are kept."""
+    pairs = {(f"n{i // 3:04}", f"n{i:04}") for i in range(1, 400)} | {(f"n{i:04}", f"n{i + 1:04}") for i in range(0, 390, 5)}
+    n, e = nodes(spark, *((i, i) for i in sorted({x for p in pairs for x in p}))), edges(spark, *sorted(pairs))
+    in_task = modularity(pairs, dict(community.cluster(n, e).collect()))
+    monkeypatch.setattr(community, "TASK_EDGES", 60)
+    found = dict(community.cluster(n, e).collect())
+    assert len(found) == n.count() and all(c == min(i for i in found if found[i] == c) for c in set(found.values()))
+    assert modularity(pairs, found) > 0.95 * in_task
+
+
 def test_betweenness(spark):
     found = community.betweenness(edges(spark, ("a", "b"), ("b", "c"), ("c", "d")))
     assert {k: v for k, v in got(found) if v} == {"b": 2.0, "c": 2.0}
