@@ -385,13 +385,13 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, _ = derived_graph(spark, sf_dir)
-    return communities.cluster(n.where("id NOT LIKE 'o:%'"), e.where("relation IN ('in_region', 'located_in')"))
+    return communities.cluster(n, e)
 
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived_edges(spark, sf_dir).where("relation IN ('in_region', 'located_in')")
-    return communities.betweenness(e, samples=100).select("id", F.round("score", 6).alias("score"))
+    n, e, _ = derived_graph(spark, sf_dir)
+    return communities.betweenness(e, samples=100 if n.count() > 1000 else None).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT concat('MERGE (n:', upper(left(file_type, 1)), substr(file_type, 2), ' {{id: ''', id, ''', label: ''', replace(label, '''', '\\'''), '''}});') AS value FROM nodes

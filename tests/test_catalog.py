@@ -28,3 +28,14 @@ def test_entry_point(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.queries()) <= set(e.queries())
     assert e.entry(spark).count() == 10
+
+
+def test_whole_graph_is_clustered_and_measured(spark):
+    from loomgraph.plans import derived
+
+    nodes = {r["id"] for r in derived.nodes(spark, SF).select("id").collect()}
+    found = dict(catalog.queries()["clusters"](spark, SF).collect())
+    size = {c: list(found.values()).count(c) for c in set(found.values())}
+    assert set(found) == nodes and any(i.startswith("o:") and size[c] > 1 for i, c in found.items()) and any(i.startswith("p:") and size[c] > 1 for i, c in found.items())
+    scores = dict(catalog.queries()["betweenness"](spark, SF).collect())
+    assert {i[0] for i, s in scores.items() if s > 0} >= {"o", "p", "c"}
