@@ -346,12 +346,24 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.import_cycles(spark.sql(_FILE_EDGES), 3)
 
 
+@query()
+def import_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all rows, up to the operator's own length."""
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return traversal.import_cycles(spark.sql(_FILE_EDGES.split(" WHERE ")[0]))
+
+
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT src, dst FROM edges WHERE relation = 'located_in' AND src LIKE 'c:%'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 walk(id, root) AS (SELECT src, src FROM b UNION SELECT dst, root FROM walk JOIN b ON src = id) SELECT id, min(root) AS component FROM walk GROUP BY id""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(derived_edges(spark, sf_dir).where("relation = 'located_in' AND src LIKE 'c:%'"))
 
 
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(derived_edges(spark, sf_dir))
+
+
 _RANKS = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS rank FROM n)"] + [
     f"r{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM out_)) / (SELECT count(*) FROM n) + 0.85 * coalesce(got, 0) AS rank FROM n LEFT JOIN (SELECT b.dst AS id, sum(r.rank / o.total) AS got FROM b JOIN out_ o ON o.src = b.src JOIN r{i - 1} r ON r.id = b.src GROUP BY b.dst) g ON g.id = n.id)"
     for i in range(1, 6)

@@ -289,6 +289,13 @@ def shared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.shared_values(spark.sql(_VALUES))
 
 
+@query()
+def shared_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all rows; values and files grow with them."""
+    _read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return resolve.shared_values(spark.sql("SELECT concat('unit', l_suppkey, '.v', l_partkey) AS value, concat('n', l_orderkey) AS node_id, concat('f', l_orderkey, '.yaml') AS source_file FROM lineitem"))
+
+
 _RELATIONS = "SELECT DISTINCT concat('o', l_orderkey) AS src, concat('d', l_orderkey % 10) AS document, concat('sym', l_partkey % 400) AS symbol FROM lineitem"
 _SYMBOLS = "SELECT concat('S', p_partkey) AS id, concat('d', p_partkey % 10) AS document, concat('sym', p_partkey * 7 % 350) AS symbol FROM part WHERE p_partkey <= 600"
 
@@ -301,6 +308,14 @@ def scip_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.scip_relations(spark.sql(_RELATIONS), spark.sql(_SYMBOLS))
 
 
+@query()
+def scip_relations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the symbols of all parts."""
+    for name in ("lineitem", "part"):
+        _read(spark, sf_dir, name).createOrReplaceTempView(name)
+    return resolve.scip_relations(spark.sql(_RELATIONS), spark.sql(_SYMBOLS.split(" WHERE ")[0]))
+
+
 @query(f"WITH {GRAPH_SQL}, own AS (SELECT lower(label) AS low, min(id) AS new FROM nodes WHERE id NOT LIKE 'p:%' GROUP BY 1), ext AS (SELECT id AS old, lower(CASE WHEN id LIKE 'p:%1' THEN concat('supplier#', lpad(substr(id, 3), 9, '0')) ELSE label END) AS low FROM nodes WHERE id LIKE 'p:%') SELECT old, new FROM ext JOIN own USING (low)")
 def merge_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived_nodes(spark, sf_dir)

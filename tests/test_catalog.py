@@ -39,3 +39,60 @@ def test_whole_graph_is_clustered_and_measured(spark):
     assert set(found) == nodes and any(i.startswith("o:") and size[c] > 1 for i, c in found.items()) and any(i.startswith("p:") and size[c] > 1 for i, c in found.items())
     scores = dict(catalog.queries()["betweenness"](spark, SF).collect())
     assert {i[0] for i, s in scores.items() if s > 0} >= {"o", "p", "c"}
+
+
+def _rows(spark, name):
+    return catalog.queries()[name](spark, SF).collect()
+
+
+def test_components_of_the_whole_graph(spark):
+    from loomgraph.plans import derived
+
+    above = {}
+
+    def root(i):
+        while above.setdefault(i, i) != i:
+            i = above[i]
+        return i
+
+    for e in derived.edges(spark, SF).select("src", "dst").collect():
+        a, b = sorted((root(e["src"]), root(e["dst"])))
+        above[b] = a
+    assert dict(_rows(spark, "connected_components_all")) == {i: root(i) for i in list(above)}
+
+
+def test_cycles_of_all_rows(spark):
+    near = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        near.setdefault(f"m{r[0] % 23}", set()).add(f"m{(r[0] + r[1]) % 19}")
+    want = set()
+
+    def walk(path):
+        for to in near.get(path[-1], ()):
+            if to == path[0]:
+                want.add(" > ".join(path))
+            elif to > path[0] and to not in path and len(path) < 5:
+                walk([*path, to])
+
+    for first in near:
+        walk([first])
+    got = [r["cycle"] for r in _rows(spark, "import_cycles_all")]
+    assert len(got) == len(want) and set(got) == want and max(c.count(">") for c in got) == 4
+
+
+def test_values_and_symbols_of_all_rows(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
+    held = {}
+    for o, p, s in lines:
+        held.setdefault(f"unit{s}.v{p}", set()).add(o)
+    want = sorted((f"n{a}", f"n{b}", f"shares_value:{v}") for v, os in held.items() if 2 <= len(os) <= 5 for a in os for b in os if f"f{a}.yaml" < f"f{b}.yaml")
+    assert sorted(map(tuple, _rows(spark, "shared_values_all"))) == want
+    local, everywhere = {}, {}
+    for (p,) in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect():
+        local.setdefault((p % 10, p * 7 % 350), []).append(f"S{p}")
+        everywhere.setdefault(p * 7 % 350, []).append(f"S{p}")
+    want = set()
+    for o, d, s in {(o, o % 10, p % 400) for o, p, _ in lines}:
+        here, all_ = local.get((d, s)), everywhere.get(s, [])
+        want.add((f"o{o}", f"d{d}", f"sym{s}", min(here) if here else all_[0] if len(all_) == 1 else f"stub:sym{s}"))
+    assert sorted((r["src"], r["target"]) for r in _rows(spark, "scip_relations_all")) == sorted((a, t) for a, _, _, t in want)
