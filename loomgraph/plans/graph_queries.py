@@ -376,6 +376,12 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), rounds=5).select("id", F.round("rank", 12).alias("rank"))
 
 
+@query()
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), rounds=100, tolerance=1e-6 / n.count())
+
+
 @query(f"""WITH {GRAPH_SQL} SELECT direction, relation, id, label FROM (SELECT 'out' AS direction, relation, dst AS id FROM edges WHERE src = 'n:3' UNION ALL SELECT 'in', relation, src FROM edges WHERE dst = 'n:3') JOIN nodes USING (id)""")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, _ = derived_graph(spark, sf_dir)

@@ -96,3 +96,19 @@ def test_values_and_symbols_of_all_rows(spark):
         here, all_ = local.get((d, s)), everywhere.get(s, [])
         want.add((f"o{o}", f"d{d}", f"sym{s}", min(here) if here else all_[0] if len(all_) == 1 else f"stub:sym{s}"))
     assert sorted((r["src"], r["target"]) for r in _rows(spark, "scip_relations_all")) == sorted((a, t) for a, _, _, t in want)
+
+
+def test_pagerank_is_converged(spark):
+    import numpy as np
+
+    from loomgraph.plans import derived
+
+    n, e, _ = derived.graph(spark, SF)
+    ids = {r["id"]: i for i, r in enumerate(n.select("id").collect())}
+    a, b = np.array([(ids[r["src"]], ids[r["dst"]]) for r in e.select("src", "dst").collect()]).T
+    src, dst = np.r_[a, b[a != b]], np.r_[b, a[a != b]]
+    out, rank = np.bincount(src, minlength=len(ids)), np.full(len(ids), 1 / len(ids))
+    for _ in range(500):
+        rank = (0.15 + 0.85 * rank[out == 0].sum()) / len(ids) + 0.85 * np.bincount(dst, rank[src] / out[src], len(ids))
+    got = dict(_rows(spark, "pagerank_converged"))
+    assert set(got) == set(ids) and sum(abs(got[i] - rank[k]) for i, k in ids.items()) < 1e-6 * 0.85 / 0.15
