@@ -329,7 +329,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows judged not toxic, with the columns they came with."""
+    """The rows judged not toxic, with the columns they came with; all rows if the labels were too few to train a model."""
+    if model.link is None:
+        return docs
     name = "score"
     while name in docs.columns:
         name += "_"

@@ -128,7 +128,7 @@ def directory_rollup(nodes: DataFrame) -> DataFrame:
 
 
 def questions(nodes: DataFrame, edges: DataFrame, community: DataFrame, top: int = 7) -> DataFrame:
-    """``(type, question)`` in the order ambiguous, to verify, isolated, low cohesion. Bridges need betweenness (``centrality``)."""
+    """``(type, question)`` in the order ambiguous, to verify, isolated, low cohesion. Bridges are left out (README)."""
     d = degrees(edges)
     n = nodes.join(d, "id", "left").fillna(0, ["degree"])
     label = nodes.select("id", "label")

@@ -133,3 +133,8 @@ def test_evidence_of_many_ngrams(spark):
     some = [w for _, _, w, _ in words[:300]] + ["quietly", "zzz", "\u00e9t\u00e9"]
     want = [sum(np.log(p(1, g, shared(g[1:])) / p(0, g, shared(g[1:]))) for g in toxicity._grams(w, n)) for w in some]
     assert np.allclose(model.evidence(some), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.5, 1.0])
+def test_keep_without_a_model_drops_nothing(spark, prior):
+    assert toxicity.keep(docs(spark), toxicity.Model(None, None, prior)).count() == len(ROWS)
