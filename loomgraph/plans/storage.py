@@ -1,7 +1,8 @@
 """Intermediate results on storage that every executor sees.
 
-Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``.
-A lost executor then costs one task, never the chain of stages before it.
+Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``, else below the warehouse.
+A lost executor then costs one task, never the chain of stages before it. What a caller doesn't discard is deleted
+when the driver ends.
 """
 
 from __future__ import annotations
@@ -13,16 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured (tests, one machine)."""
+    """The cluster's shared folder: as configured, else in the warehouse, which all executors see; a temporary folder only on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="loomgraph-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        configured = tempfile.mkdtemp(prefix="loomgraph-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    """A path of its own, deleted with all below it when the driver ends."""
+    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)  # only what exists can be marked
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -34,7 +47,6 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes intermediate results that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
