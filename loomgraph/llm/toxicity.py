@@ -6,12 +6,14 @@ is smoothed towards the same backoff in either. A word's evidence is the differe
 judged by length-normalised evidence: its mean over all words, over its best window, and what single words have beyond a
 margin; a logistic fit turns these into a score.
 
-Counts cover every labelled training document: words are counted per class in Spark, n-grams from the distinct words. Every
-n-gram has a count of its own under a 64-bit hash, so what is collected and broadcast grows with the distinct n-grams of the training
-words (far slower than the text). The logistic fit takes at most ``FIT_ROWS`` labelled documents (those of smallest hashed id); half of the training documents are judged by the
-models of the other half, since a model's own documents look too certain.
-
-Defined cases: null text counts as empty; a text without words has evidence zero and still gets a score. Documents without a label
+Counts cover every labelled training document: words are counted per class and half in Spark, n-grams of the highest order from the distinct words;
+all lower orders follow from these. Every n-gram has a count of its own under a 64-bit hash, so what is gathered grows with the distinct n-grams of the training
+words (far slower than the text). Up to ``BROADCAST_GRAMS`` of them the tables are broadcast; beyond, they stay on shared storage, and n-grams and words meet
+their counts and evidence by joins, with the same scores. The logistic fit takes at most ``FIT_ROWS`` labelled documents (those of smallest hashed id); half of the
+training documents are judged by the models of the other half, since a model's own documents look too certain.
+
+Defined cases: null text counts as empty; a text without words has evidence zero and still gets a score. Texts of any length are read whole. Documents of one score are
+judged alike (0.3 itself counts as toxic). Documents without a label
 (or a null one) train nothing; if one class has no training document, every score is the share of label 1 there (0.5 with
 no labels at all). Repeated rows each get a row and each count. Null ids take part in scoring, not in training. Columns other than id,
 text and label are not read.
@@ -20,6 +22,7 @@ text and label are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.batches import bounded
+from loomgraph.plans.storage import discard, materialize
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -38,8 +42,12 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: Labels of up to this many documents are broadcast (three numbers each), so texts stay where they are; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Distinct n-grams that are collected and broadcast at most (about 30 bytes each on the way, 70 in a worker); more are looked up by joins.
+BROADCAST_GRAMS = 4_000_000
 #: Words remembered per worker.
 REMEMBERED = 120_000
+#: Counts by class and half of the training documents.
+CELLS = "c0 long, c1 long, c2 long, c3 long"
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD = "\x02"
 _END = "\x03"
@@ -76,6 +84,8 @@ class Table:
         self.keys = np.append(keys, np.uint64(0))
         #: The last row is that of a key not found.
         self.values = np.vstack([values, np.zeros((1, values.shape[1]))])
+        if not len(keys) or values.max() < 1 << 24:
+            self.values = self.values.astype(np.float32)  # exact for such whole numbers
         bits = max(1, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
@@ -101,7 +111,7 @@ class Table:
             at[other] = (at[other] + 1) & self.mask
             row[other] = self.slots[at[other]]
             other = other[(row[other] >= 0) & (self.keys[row[other]] != keys[other])]
-        return self.values[row]
+        return self.values[row].astype(float)
 
 
 @dataclass
@@ -142,30 +152,142 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def training_words(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``(y, half, word, n)`` of the labelled documents: counted on the map side before anything is shuffled."""
-    words = docs.join(known, "doc_id").select("y", "half", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))).alias("word"))
-    return words.groupBy("y", "half", "word").agg(F.count("*").alias("n"))
+    """``(word, c0, c1, c2, c3)`` of the labelled documents: counts by cell ``2 * y + half``, summed where the texts are before anything is shuffled."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+        for part in parts:
+            for text, cell in zip(part["text"], part["cell"], strict=True):
+                for word, n in Counter(words_of(text)).items():
+                    held.setdefault(word, [0, 0, 0, 0])[cell] += n
+            if len(held) > REMEMBERED:
+                yield _cells(held)
+                held = {}
+        yield _cells(held)
+
+    rows = bounded(docs).join(known, "doc_id").select("text", (2 * F.col("y") + F.col("half")).alias("cell"))
+    return _added(rows.mapInPandas(count, f"word string, {CELLS}"), "word")
+
+
+def _cells(held: dict[str, list[int]], name: str = "word") -> pd.DataFrame:
+    counts = np.array(list(held.values()), np.int64).reshape(len(held), 4)
+    return pd.DataFrame({name: pd.Series(list(held), dtype=object)} | {f"c{i}": counts[:, i] for i in range(4)})
 
 
-def _tables(words: DataFrame) -> DataFrame:
-    """``(number, key, n, types)``: the rows of every table. See ``_number``."""
+def _added(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(name).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
+
+
+def training_grams(words: DataFrame) -> DataFrame:
+    """``(gram, c0, c1, c2, c3)``: every distinct n-gram of the highest order. All lower orders follow from these."""
 
     def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             lists = [_grams(w, ORDER) for w in part["word"]]
-            size = [len(g) for g in lists]
-            yield pd.DataFrame({"y": np.repeat(part["y"].to_numpy(), size), "half": np.repeat(part["half"].to_numpy(), size), "gram": [g for gs in lists for g in gs], "n": np.repeat(part["n"].to_numpy(), size)})
-
-    halves = words.mapInPandas(expand, "y int, half int, gram string, n long").groupBy("y", "half", "gram").agg(F.sum("n").alias("n"))
-    whole = halves.groupBy("y", "gram").agg(F.sum("n").alias("n")).select("y", F.lit(2).alias("half"), "gram", "n")
-    own = halves.union(whole)
-    out = _summed(own.select(F.col("y").alias("kind"), "half", "gram", "n"))
-    types = own.select("half", "gram").distinct()
-    for k in range(ORDER - 2):
-        lower = types.groupBy("half", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-        out = out.union(_summed(lower.select(F.lit(2 + k).alias("kind"), "half", "gram", "n")))
-        types = lower.select("half", "gram")
-    return out.groupBy("number", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+            rows = np.repeat(np.arange(len(lists)), [len(g) for g in lists])
+            cells = part[[f"c{i}" for i in range(4)]].to_numpy()[rows].reshape(len(rows), 4)
+            yield pd.DataFrame({"gram": pd.Series([g for gs in lists for g in gs], dtype=object)} | {f"c{i}": cells[:, i] for i in range(4)})
+
+    return _added(words.mapInPandas(expand, f"gram string, {CELLS}"), "gram")
+
+
+def _grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a row of each, and the columns' sums."""
+    found, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.stack([np.bincount(where, c, len(found)) for c in columns], axis=1)
+    return found, first, sums
+
+
+def _counts(codes: np.ndarray, cells: np.ndarray, half: int) -> Counts:
+    """The model of one half, or of both (2), from distinct n-grams and their counts by class and half."""
+    by_class = cells.reshape(-1, 2, 2)[:, :, [0, 1] if half == 2 else [half]].sum(2)
+    there = by_class.any(1)
+    codes, by_class = codes[there], by_class[there].astype(float)
+    context, _, sums = _grouped(_hashed(codes[:, :-1]), *by_class.T, *(by_class > 0).T.astype(float))
+    own = Table(_hashed(codes), by_class), Table(context, sums)
+    shared, level = [], codes
+    for _ in range(ORDER - 2):
+        level = level[:, 1:]
+        keys, first, n = _grouped(_hashed(level), np.ones(len(level)))
+        level = level[first]
+        context, _, sums = _grouped(_hashed(level[:, :-1]), n[:, 0], np.ones(len(level)))
+        shared.append((Table(keys, n), Table(context, sums)))
+    return Counts(own, shared, 1 + len(shared[-1][0]))
+
+
+def fit_counts(grams: DataFrame) -> list[Counts]:
+    """The models of half 0, of half 1, and of all training documents, on the driver. Collected: a row for each distinct n-gram of the highest order."""
+    found = grams.toArrow()
+    codes, cells = _codes(found["gram"].to_pylist()), np.stack([found[f"c{i}"].to_numpy() for i in range(4)], axis=1)
+    return [_counts(codes, cells, half) for half in range(3)]
+
+
+class Tables:
+    """The same counts as rows on shared storage, for n-grams too many to be broadcast: ``(number, key, n, types)``, and each half's ``base``."""
+
+    def __init__(self, grams: DataFrame):
+        halves = [grams.select("gram", F.lit(h).alias("half"), *[(F.col(f"c{2 * y}") + F.col(f"c{2 * y + 1}") if h == 2 else F.col(f"c{2 * y + h}")).alias(f"n{y}") for y in (0, 1)]) for h in range(3)]
+        own = halves[0].union(halves[1]).union(halves[2]).where("n0 + n1 > 0")
+        kinds = own.select(F.explode(F.array(*[F.struct(F.lit(y).alias("kind"), F.col("half"), F.col("gram"), F.col(f"n{y}").alias("n")) for y in (0, 1)])).alias("r")).select("r.*").where("n > 0")
+        level = own.select("half", "gram")
+        for k in range(ORDER - 2):
+            lower = level.groupBy("half", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+            kinds, level = kinds.union(lower.select(F.lit(2 + k), "half", "gram", "n")), lower.select("half", "gram")
+        grown = kinds.mapInPandas(_numbered, "number int, key long, n long, types long")
+        self.rows, self.path = materialize(grown.groupBy("number", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types")), "toxicity-tables")
+        last = {r["number"]: r["n"] for r in self.rows.groupBy("number").agg(F.count("*").alias("n")).collect()}  # a row for each table
+        self.base = [1 + last.get(_number(ORDER - 1, h, 0), 0) for h in range(3)]
+
+    def evidence(self, words: DataFrame) -> DataFrame:
+        """``(word, half, evidence)`` of distinct ``words (word, half)``: every count is looked up by an equi-join, then added up by word."""
+
+        def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if not len(part):
+                    continue
+                lists = [_grams(w, ORDER) for w in part["word"]]
+                size = np.array([len(g) for g in lists])
+                codes = _codes([g for gs in lists for g in gs])
+                at = np.concatenate([np.arange(n) for n in size])
+                word, half = np.repeat(part["word"].to_numpy(), size), np.repeat(part["half"].to_numpy(), size)
+                for kind in range(ORDER):
+                    own = codes[:, max(0, kind - 1) :]
+                    for table, keys in ((0, _hashed(own)), (1, _hashed(own[:, :-1]))):
+                        yield pd.DataFrame({"word": word, "half": half, "at": at, "field": kind * 2 + table, "number": _number(kind, half, table), "key": keys.view(np.int64)})
+
+        rows = words.mapInPandas(asked, "word string, half int, at int, field int, number int, key long").join(self.rows, ["number", "key"], "left")
+        wide = rows.groupBy("word", "half", "at").agg(*[F.coalesce(F.max(F.when(F.col("field") == f, F.col(c))), F.lit(0)).alias(f"{c}{f}") for f in range(2 * ORDER) for c in (("n", "types") if f % 2 else ("n",))])
+
+        def level(kind: int, low: Column) -> Column:
+            count, total, types = (F.col(c).cast("double") for c in (f"n{2 * kind}", f"n{2 * kind + 1}", f"types{2 * kind + 1}"))
+            some = F.when(total > 0, (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * types * low) / total).otherwise(low)
+            return F.greatest(some, F.lit(1e-12))
+
+        low = 1.0 / F.element_at(F.array(*[F.lit(float(b)) for b in self.base]), F.col("half") + 1)
+        wide = wide.withColumn("low", low)
+        for kind in range(ORDER - 1, 1, -1):
+            wide = wide.withColumn("low", level(kind, F.col("low")))
+        return wide.groupBy("word", "half").agg(F.sum(F.ln(level(1, F.col("low")) / level(0, F.col("low")))).alias("evidence"))
+
+    def judged(self, docs: DataFrame, text_col: str, half: Column) -> DataFrame:
+        """``(row, x)``: features of each row of ``docs``, which has a column ``row``. Words meet their evidence by a join; a text's own words come together again in one row, as its text did."""
+
+        def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for row, text, h in zip(part["row"], part["text"], part["half"], strict=True):
+                    words = words_of(text)
+                    for at in range(0, len(words), 10_000):
+                        some = words[at : at + 10_000]
+                        yield pd.DataFrame({"row": row, "half": h, "word": some, "at": np.arange(at, at + len(some))})
+
+        @F.pandas_udf("array<double>")
+        def said(evidence: pd.Series) -> pd.Series:
+            return pd.Series(list(features([np.asarray(v, float) for v in evidence])))
+
+        words, _ = materialize(bounded(docs).select("row", F.col(text_col).alias("text"), half.cast("int").alias("half")).mapInPandas(split, "row long, half int, word string, at long"), "toxicity-judged")
+        found = words.join(self.evidence(words.select("word", "half").distinct()), ["word", "half"])
+        by_row = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda v: v["evidence"]).alias("evidence"))
+        return docs.select("row").join(by_row, "row", "left").select("row", said(F.coalesce("evidence", F.array().cast("array<double>"))).alias("x"))
 
 
 def _number(kind, half, table):
@@ -173,48 +295,16 @@ def _number(kind, half, table):
     return (kind * 3 + half) * 2 + table
 
 
-def _summed(types: DataFrame) -> DataFrame:
-    """Counts of n-grams; counts of their contexts and types after them, summed within a batch first."""
-
-    def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            codes, n = _codes(part["gram"].tolist()), part["n"].to_numpy()
-            kind, half = part["kind"].to_numpy(), part["half"].to_numpy()
+def _numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of n-grams; counts of their contexts and types after them, summed within a batch first. A batch may hold several orders."""
+    for part in parts:
+        for _, some in part.groupby(part["gram"].str.len()):
+            codes, n = _codes(some["gram"].tolist()), some["n"].to_numpy()
+            kind, half = some["kind"].to_numpy(), some["half"].to_numpy()
             yield pd.DataFrame({"number": _number(kind, half, 0), "key": _hashed(codes).view(np.int64), "n": n, "types": 0})
             contexts = pd.DataFrame({"number": _number(kind, half, 1), "key": _hashed(codes[:, :-1]).view(np.int64), "n": n, "types": 1})
             yield contexts.groupby(["number", "key"], sort=False, as_index=False).sum()
 
-    return types.mapInPandas(hashed, "number int, key long, n long, types long")
-
-
-def fit_counts(words: DataFrame) -> list[Counts]:
-    """The models of half 0, of half 1, and of all training documents. Collected: a row for each distinct n-gram and context of each."""
-    found = _tables(words).toArrow()
-    number, key, n, types = (found[c].to_numpy() for c in ("number", "key", "n", "types"))
-    order = np.argsort(number, kind="stable")
-    starts = np.searchsorted(number[order], np.arange(ORDER * 6 + 1))
-
-    def rows(kind: int, half: int, table: int) -> tuple[np.ndarray, np.ndarray]:
-        at = _number(kind, half, table)
-        own = order[starts[at] : starts[at + 1]]
-        return key[own].view(np.uint64), np.c_[n[own], types[own]].astype(float)[:, : 1 + table]
-
-    def both(half: int, table: int) -> Table:
-        sides = [rows(c, half, table) for c in (0, 1)]
-        keys, where = np.unique(np.concatenate([k for k, _ in sides]), return_inverse=True)
-        values = np.zeros((len(keys), 2 + 2 * table))
-        for c, at in enumerate(np.split(where, [len(sides[0][0])])):
-            values[at, c::2] = sides[c][1]
-        return Table(keys, values)
-
-    models = []
-    for half in range(3):
-        shared = [(Table(*rows(2 + k, half, 0)), Table(*rows(2 + k, half, 1))) for k in range(ORDER - 2)]
-        models.append(Counts((both(half, 0), both(half, 1)), shared, 1 + len(shared[-1][0])))
-    return models
-
 
 def features(evidence: list[np.ndarray]) -> np.ndarray:
     """What a document's words say, a row each."""
@@ -278,6 +368,8 @@ class Model:
     counts: Counts | None
     link: Logistic | None
     prior: float
+    #: In place of ``counts`` where these would be too large to broadcast.
+    tables: Tables | None = None
 
     def scores(self, judge: Judge | None, texts: list[str | None]) -> np.ndarray:
         if judge is None or self.link is None:
@@ -285,36 +377,47 @@ class Model:
         return self.link(features(judge.evidence(texts)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", broadcast_grams: int | None = None) -> Model:
     """``docs (doc_id, text)`` and ``labels (doc_id, label)``: all rows given are training rows."""
-    from loomgraph.plans.storage import discard, materialize
-
+    spark, most = docs.sparkSession, BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams
     known = known_labels(labels.select("doc_id", label), label)
-    words, path = materialize(training_words(docs, known), "toxicity-words")
+    grams, path = materialize(training_grams(training_words(docs, known)), "toxicity-grams")
     totals = {r["y"]: r["n"] for r in docs.join(known, "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
+        discard(spark, path)
         return Model(None, None, totals.get(1, 0) / sum(totals.values()) if totals else 0.5)
-    models = fit_counts(words)
-    discard(docs.sparkSession, path)
-    few = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
-    cross = docs.sparkSession.sparkContext.broadcast(models[:2])
+    prior = totals[1] / sum(totals.values())
+    few = F.broadcast(known.select("doc_id", "y").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS))
+    other = 1 - F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    if grams.count() > most:
+        tables = Tables(grams)
+        discard(spark, path)
+        own, own_path = materialize(docs.join(few, "doc_id").select(F.monotonically_increasing_id().alias("row"), "doc_id", "y", "text"), "toxicity-fit")
+        rows = tables.judged(own, "text", other).join(own.select("row", "y"), "row").select("y", "x").toPandas()
+        discard(spark, own_path)
+        return Model(None, fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy(float)), prior, tables)
+    models = fit_counts(grams)
+    discard(spark, path)
+    cross = spark.sparkContext.broadcast(models[:2])
 
     @F.pandas_udf("array<double>")
     def judged(half: pd.Series, text: pd.Series) -> pd.Series:
         out: list = [None] * len(text)
         for h in (0, 1):
             own = np.nonzero(half.to_numpy() == h)[0]
-            for i, row in zip(own, features(Judge(cross.value[1 - h]).evidence([text.iloc[i] for i in own])), strict=True):
+            for i, row in zip(own, features(Judge(cross.value[h]).evidence([text.iloc[i] for i in own])), strict=True):
                 out[i] = row
         return pd.Series(out)
 
-    rows = bounded(docs).join(F.broadcast(few), "doc_id").select("y", judged(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"), "text").alias("x")).toPandas()
+    rows = bounded(docs).join(few, "doc_id").select("y", judged(other, "text").alias("x")).toPandas()
     cross.unpersist()
-    return Model(models[2], fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy(float)), totals[1] / sum(totals.values()))
+    return Model(models[2], fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy(float)), prior)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the score of each whole text. A map without a shuffle."""
+    """``docs`` with a column ``name``: the score of each whole text. A map without a shuffle, unless the model is too large to broadcast."""
+    if model.tables is not None:
+        return _with_joined_score(docs, model, text_col, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -328,6 +431,18 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     return bounded(docs).withColumn(name, score(F.col(text_col)))
 
 
+def _with_joined_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    link, names = model.link, docs.columns
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(link(np.array(x.tolist(), float).reshape(len(x), -1)))
+
+    held, _ = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"), F.col(text_col).alias("text")), "toxicity-docs")
+    found = model.tables.judged(held.select("row", "text"), "text", F.lit(2))
+    return held.join(found.select("row", score("x").alias("own_score")), "row").select("all.*", F.col("own_score").alias(name))
+
+
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows judged not toxic, with the columns they came with; all rows if the labels were too few to train a model."""
     if model.link is None:

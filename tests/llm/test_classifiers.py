@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from helpers import ROWS, clashing, docs, table
 
 from loomgraph.llm import quality, toxicity
@@ -68,13 +69,97 @@ def test_tables_add_up():
     assert np.allclose(m.score(x), 1 / (1 + np.exp(-total)))
 
 
+def grams_of(spark, words):
+    """Distinct n-grams with their counts by class and half, of rows (y, half, word, n)."""
+    cells = pd.DataFrame([(w, *(n if 2 * y + h == i else 0 for i in range(4))) for y, h, w, n in words], columns=["word", "c0", "c1", "c2", "c3"])
+    return toxicity.training_grams(spark.createDataFrame(cells.groupby("word", as_index=False).sum()))
+
+
+def test_joined_counts_give_the_broadcast_scores(spark):
+    """Beyond the bound on what is broadcast, n-grams and words meet their counts by joins: the same scores, row by row."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    text = d.select("doc_id", "text").union(docs(spark).select(F.col("doc_id") + 10**6, "text"))
+    a, b = (toxicity.train(text, labels.where(~toxicity.held_out()), broadcast_grams=n) for n in (None, 0))
+    assert a.tables is None and b.counts is None and np.allclose(a.link.weight, b.link.weight, atol=1e-6)
+    df = clashing(text)
+    got = [sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or ""), r["own"]) for r in toxicity.with_score(df, m, name="own").collect()) for m in (a, b)]
+    assert [k for k, _ in got[0]] == [k for k, _ in got[1]] and np.allclose([v for _, v in got[0]], [v for _, v in got[1]], atol=1e-9)
+    assert toxicity.keep(df, b).columns == df.columns
+
+
+def test_scores_against_a_plain_version(spark):
+    """The whole query, recomputed with dictionaries and Newton's method written out."""
+    from collections import Counter
+    from math import exp, log
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None and r["doc_id"] in rows and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    half = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in y], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+
+    def model(ids):
+        levels = [Counter(), Counter()]
+        for i in ids:
+            for w in toxicity.words_of(rows[i]):
+                levels[y[i]].update(toxicity._grams(w, n))
+        level = set(levels[0]) | set(levels[1])
+        for _ in range(n - 2):
+            levels.append(Counter(g[1:] for g in level))
+            level = set(levels[-1])
+        follow = []
+        for c in levels:
+            t = {}
+            for g, m in c.items():
+                a, b = t.get(g[:-1], (0, 0))
+                t[g[:-1]] = a + m, b + 1
+            follow.append(t)
+
+        def p(i, g, below):
+            total, types = follow[i].get(g[:-1], (0, 0))
+            return (max(levels[i][g] - d, 0) + d * types * below) / total if total else below
+
+        def shared(g, i=2):
+            return max(p(i, g, shared(g[1:], i + 1)), 1e-12) if i < len(levels) else 1 / (1 + len(levels[-1]))
+
+        known = {}
+
+        def word(w):
+            if w not in known:
+                known[w] = sum(log(max(p(1, g, low), 1e-12) / max(p(0, g, low), 1e-12)) for g in toxicity._grams(w, n) for low in [shared(g[1:])])
+            return known[w]
+
+        return word
+
+    def said(word, text):
+        v = [word(w) for w in toxicity.words_of(text)] or [0.0]
+        k, beyond = min(toxicity.WINDOW, len(v)), sum(max(x - toxicity.MARGIN, 0) for x in v)
+        second = sorted(v)[-2] if len(v) > 1 else -toxicity.MARGIN
+        windows = [sum(v[i : i + k]) / k for i in range(len(v) - k + 1)]
+        return [sum(v) / len(v), log(1 + beyond), log(1 + 100 * beyond / len(v)), min(max(max(v), -5), 15), min(max(second, -5), 15), max(windows), log(1 + len(v))]
+
+    ids = sorted(y)
+    of_half = [model([i for i in ids if half[i] == h]) for h in (0, 1)]
+    x = np.array([said(of_half[1 - half[i]], rows[i]) for i in ids])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z, weight, target = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(8), np.array([y[i] for i in ids], float)
+    ridge = np.diag([1e-6] + [1.0] * 7)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-z @ weight))
+        weight -= np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + ridge, z.T @ (q - target) + ridge @ weight)
+    every = model(ids)
+    want = {i: 1 / (1 + exp(-(weight[0] + (np.array(said(every, t)) - mean) / scale @ weight[1:]))) for i, t in rows.items()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.op7_toxicity(spark, sf).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-5
+
+
 def test_evidence_is_kneser_ney(spark):
     """The hashed, distributed counts give the probabilities of a plain model with dictionaries."""
     from collections import Counter
     from math import log
 
     words = [(0, 0, "calm", 5), (0, 1, "calmly", 3), (1, 0, "rude", 4), (1, 1, "ruder", 2), (0, 0, "rudder", 1)]
-    model = toxicity.fit_counts(spark.createDataFrame(words, "y int, half int, word string, n long"))[2]
+    model = toxicity.fit_counts(grams_of(spark, words))[2]
     n, d = toxicity.ORDER, toxicity.DISCOUNT
     top = [Counter(), Counter()]
     for y, _, w, c in words:
@@ -106,7 +191,7 @@ def test_evidence_of_many_ngrams(spark):
     rng = np.random.default_rng(1)
     letters = rng.integers(0, 26, (70_000, 14))
     words = [(i % 2, i // 2 % 2, "".join(chr(97 + c) for c in row), 1 + i % 3) for i, row in enumerate(letters)]
-    model = toxicity.fit_counts(spark.createDataFrame(pd.DataFrame(words, columns=["y", "half", "word", "n"])))[2]
+    model = toxicity.fit_counts(grams_of(spark, words))[2]
     n, d = toxicity.ORDER, toxicity.DISCOUNT
     levels = [Counter(), Counter()]
     for y, _, w, c in words:
