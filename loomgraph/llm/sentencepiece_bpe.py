@@ -7,9 +7,10 @@ that would have come first. The table holds one last token for each prefix; ids
 
 No piece has a space mark behind another character or a line end, so texts are cut there and each distinct chunk is encoded once per
 worker (memory starts anew beyond ``REMEMBERED`` chunks). Pieces made of several space marks share one rank, for which the
-pair test does not hold: chunks with such runs are merged step by step. Characters without a piece become their bytes' pieces.
+pair test does not hold: chunks with such runs are merged step by step from a heap of pairs. Characters without a piece become their bytes' pieces.
 
-Null text counts as empty; an empty text has no ids and decodes to an empty text. Repeated rows each get a row; ids of rows
+Null text counts as empty; an empty text has no ids and decodes to an empty text. Texts and chunks of any length are encoded whole, in time near their length.
+Pairs of one rank are merged leftmost first. Repeated rows each get a row; ids of rows
 may be null. Only id and text are read.
 """
 
@@ -19,12 +20,14 @@ import hashlib
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
 from loomgraph.llm.tokens import vocabulary
 
 REMEMBERED = 500_000
@@ -59,18 +62,27 @@ class PieceBpe:
         self.automaton.make_automaton()
 
     def _merged(self, chunk: str) -> tuple[list[str], tuple[str, str] | None]:
-        """Merging step by step, best rank and then leftmost first: the tokens, and the two halves merged last."""
-        parts, last = list(chunk), None
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if at < 0:
-                return parts, last
-            last = (parts[at], parts[at + 1])
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merging step by step, best rank and then leftmost first: the tokens, and the two halves merged last. A heap of pairs over linked parts."""
+        parts: list[str | None] = list(chunk)
+        after, before, last = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1)), None
+        rank = self.rank.get
+        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, both = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != len(both):
+                continue  # one of the two is part of another piece by now
+            last = (parts[i], parts[j])
+            parts[i], parts[j], after[i] = both, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+                if (r := rank(both + parts[after[i]])) is not None:
+                    heappush(heap, (r, i, both + parts[after[i]]))
+            h = before[i]
+            if h >= 0 and (r := rank(parts[h] + both)) is not None:
+                heappush(heap, (r, h, parts[h] + both))
+        return [x for x in parts if x is not None], last
 
     def _split(self, piece: str) -> tuple[str, str] | None:
         """The halves a piece is merged from; none for a character or a piece that merging does not reach."""
@@ -180,7 +192,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series([coder(model).encode(t) for t in texts])
 
-    return docs.select(F.col(id_col).alias("doc_id"), ids(F.col(text_col)).alias("ids"))
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), ids(F.col(text_col)).alias("ids"))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -190,7 +202,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def text(ids: pd.Series) -> pd.Series:
         return pd.Series(["" if i is None else coder(model).decode([int(x) for x in i]) for i in ids])
 
-    return encoded.select("doc_id", text("ids").alias("text"))
+    return bounded(encoded).select("doc_id", text("ids").alias("text"))
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +216,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col)).alias("d")).select("doc_id", "d.*")
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), both(F.col(text_col)).alias("d")).select("doc_id", "d.*")
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
