@@ -4,16 +4,16 @@ Fitting (k-means for the coarse centroids, then for each part of the residuals)
 hashed id. Every usable row is indexed: the number of its nearest centroid, and a code of one byte a part. A query looks into
 its nearest lists, as many as the fit found to hold ``COVERED`` of the neighbours in its sample (clustered vectors need few, scattered
 ones many), and into more while these hold too few rows; candidates are ranked by asymmetric distance (a table
-for each query and list: exact query residual against coded parts), and the best ``RERANK`` of each block are measured again on the
-original vectors in double precision.
+for each query and list: exact query residual against coded parts); the best ``RERANK`` of a query are joined to their original vectors and measured
+again in double precision. Only codes cross the search's shuffle.
 
-Lists are dealt in blocks of at most ``BLOCK_ROWS`` rows, queries on a list in blocks of ``BLOCK_QUERIES``: a hot list
+Lists are dealt in bundles, and large ones in blocks, of about ``BLOCK_ROWS`` rows; queries on a bundle in turns of ``BLOCK_QUERIES``: a hot list
 becomes many small tasks, each of which keeps its own best, so nothing is left out by splitting. Copies of a vector share a code; ties
 go to the smaller id at every step, so the smallest ids among copies stay.
 
 Defined cases: vectors that are null, zero, of another length than the first usable one, or hold null or non-finite parts take no
-part, nor do rows with a null id. With fewer candidates than asked for, all are returned. Repeated ids are rows of their own; rows
-with the query's id are left out of its answer. An empty table gives no rows. Only id and vector are read.
+part, nor do rows with a null id. With fewer candidates than asked for, all are returned. Repeated ids are rows of their own (a query id given twice
+answers for each of its vectors together); rows with the query's id are left out of its answer. An empty table gives no rows. Only id and vector are read.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.storage import materialize
 
-FIT_ROWS = 20_000
-#: Lists: the square root of the rows, up to this.
-MOST_LISTS = 4096
+FIT_ROWS = 65_536
+#: Sampled vectors a list, up to ``FIT_ROWS``; the sample is no smaller than ``LEAST_SAMPLE``.
+SAMPLE_A_LIST, LEAST_SAMPLE = 64, 20_000
+#: Lists: the square root of the rows, up to this, so that the sample holds 8 vectors a list at least; beyond, lists grow and are dealt in more blocks.
+MOST_LISTS = 8192
 #: The fit finds how many lists must be probed so that this share of a sample's true neighbours lies in them.
 COVERED, SAMPLE_QUERIES = 0.97, 256
 PARTS, CODES = 16, 256
-RERANK = 100
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 512
+RERANK = 300
+BLOCK_ROWS, BLOCK_QUERIES = 50_000, 128
 
 
 def usable(vector: Column) -> Column:
@@ -92,11 +94,12 @@ class Index:
 
 def fit(vectors: DataFrame, n: int) -> Index | None:
     """``vectors (id, v)``, all usable, ``n`` of them."""
-    few = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(FIT_ROWS).toPandas()
+    lists = max(1, min(MOST_LISTS, math.isqrt(n)))
+    few = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(min(FIT_ROWS, max(LEAST_SAMPLE, SAMPLE_A_LIST * lists))).toPandas()
     if few.empty:
         return None
     x = np.array(few["v"].tolist(), float)
-    centres = kmeans(x, max(1, min(MOST_LISTS, len(x), math.isqrt(n))))
+    centres = kmeans(x, min(lists, len(x)))
     rest = x - centres[_nearest(x, centres)]
     parts = min(PARTS, x.shape[1])
     edges = [(x.shape[1] * p // parts, x.shape[1] * (p + 1) // parts) for p in range(parts)]
@@ -128,22 +131,35 @@ def build(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInPandas(run, "id long, v array<double>, list long, codes binary")
 
 
-def _probes(queries: DataFrame, index: Index, sizes: np.ndarray, probes: int, k: int) -> DataFrame:
-    """``(query_id, q, list)``: a query's nearest lists, at least ``probes`` of those in use and until they hold k + 1 rows or more."""
-    shared = queries.sparkSession.sparkContext.broadcast((index.centres, sizes))
+def _bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its bundle, and for each bundle its blocks: neighbouring small lists share a bundle, a list of over ``BLOCK_ROWS`` rows has its own and several blocks."""
+    bundle, blocks, held = np.zeros(len(sizes), np.int64), [1], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > BLOCK_ROWS:
+            blocks.append(1)
+            held = 0
+        bundle[i], held = len(blocks) - 1, held + n
+        blocks[-1] = max(1, -(-held // BLOCK_ROWS))
+    return bundle, np.array(blocks, np.int64)
+
+
+def _probes(queries: DataFrame, index: Index, sizes: np.ndarray, bundle: np.ndarray, probes: int, k: int) -> DataFrame:
+    """``(query_id, q, bundle, lists)``: a query's nearest lists by bundle, at least ``probes`` of those in use and until they hold k + 1 rows or more."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centres, sizes, bundle))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, size = shared.value
+        centres, size, of = shared.value
         used = np.nonzero(size)[0]
         for part in parts:
             rows = []
             for query_id, q in zip(part["query_id"], part["q"], strict=True):
                 order = used[((centres[used] - np.asarray(q, float)) ** 2).sum(1).argsort(kind="stable")]
                 enough = int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1
-                rows += [(query_id, q, int(c)) for c in order[: max(probes, enough)]]
-            yield pd.DataFrame(rows, columns=["query_id", "q", "list"])
+                wanted = order[: max(probes, enough)]
+                rows += [(query_id, q, int(b), wanted[of[wanted] == b].tolist()) for b in np.unique(of[wanted])]
+            yield pd.DataFrame(rows, columns=["query_id", "q", "bundle", "lists"])
 
-    return queries.mapInPandas(run, "query_id long, q array<double>, list long")
+    return queries.mapInPandas(run, "query_id long, q array<double>, bundle long, lists array<long>")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -165,43 +181,50 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
     held = table.groupBy("list").agg(F.count("*").alias("n")).toPandas()  # at most MOST_LISTS rows
     sizes = np.zeros(len(index.centres), np.int64)
     sizes[held["list"].to_numpy(int)] = held["n"].to_numpy(int)
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    probed, _ = materialize(_probes(asked, index, sizes, probes or index.probes, k), "ann-probes")
-    wanted = probed.groupBy("list").agg(F.count("*").alias("n")).toPandas()
-    turns = np.ones(len(index.centres), np.int64)
-    turns[wanted["list"].to_numpy(int)] = np.maximum(1, -(-wanted["n"].to_numpy(int) // BLOCK_QUERIES))
-    plan = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes)), "blocks": blocks, "turns": turns})))
-    # A row goes to one block and to every turn; a query to one turn and to every block.
+    bundle, blocks = _bundles(sizes)
+    probed, _ = materialize(_probes(asked, index, sizes, bundle, probes or index.probes, k), "ann-probes")
+    wanted = probed.groupBy("bundle").agg(F.count("*").alias("n")).toPandas()  # no more rows than lists
+    turns = np.ones(len(blocks), np.int64)
+    turns[wanted["bundle"].to_numpy(int)] = np.maximum(1, -(-wanted["n"].to_numpy(int) // BLOCK_QUERIES))
+    plan = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes)), "bundle": bundle, "blocks": blocks[bundle], "turns": turns[bundle]})))
+    each = F.broadcast(spark.createDataFrame(pd.DataFrame({"bundle": np.arange(len(blocks)), "blocks": blocks, "turns": turns})))
+    # A row's codes go to one block and to every turn; a query to one turn and to every block. Vectors stay where they are.
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     turn = F.pmod(F.xxhash64("query_id"), F.col("turns"))
-    left = table.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "id", "v", "codes")
-    right = probed.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "query_id", "q")
-    shared = spark.sparkContext.broadcast(index)
+    left = table.join(plan, "list").select("bundle", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "list", "id", "codes")
+    right = probed.join(each, "bundle").select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "query_id", "q", "lists")
+    shared, most = spark.sparkContext.broadcast(index), max(rerank, k)
 
     def best(key: tuple, held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = []
         if len(held) and len(asking):
-            held = held.sort_values("id", kind="stable")
-            ids, v = held["id"].to_numpy(), np.array(held["v"].tolist(), float)
-            codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
+            held = held.sort_values(["list", "id"], kind="stable")
+            ids, codes, own = held["id"].to_numpy(), np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1), held["list"].to_numpy()
             parts = np.arange(codes.shape[1])
-            for at in range(0, len(asking), 64):
-                some = asking.iloc[at : at + 64]
-                q = np.array(some["q"].tolist(), float)
-                tables = shared.value.tables(q, np.full(len(q), key[0]))
-                for query_id, one, table in zip(some["query_id"], q, tables, strict=True):
-                    other = ids != query_id
-                    far = table[parts, codes].sum(1)
-                    # Rows are in id order, so a stable sort breaks ties by id.
-                    first = np.nonzero(other)[0]
-                    first = first[far[first].argsort(kind="stable")[: max(rerank, k)]]
-                    exact = np.sqrt(((v[first] - one) ** 2).sum(1))
-                    top = np.lexsort((ids[first], exact))[:k]
-                    rows += [(query_id, int(ids[first[t]]), float(exact[t])) for t in top]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    by = ["list", "block", "turn"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "query_id long, vec_id long, score double")
+            for query_id, q, lists in zip(asking["query_id"], asking["q"], asking["lists"], strict=True):
+                lists = np.sort(np.asarray(lists))
+                begin, end = np.searchsorted(own, lists), np.searchsorted(own, lists, "right")
+                tables = shared.value.tables(np.repeat(np.asarray(q, float)[None], len(lists), 0), lists)
+                far = np.concatenate([t[parts, codes[a:b]].sum(1) for t, a, b in zip(tables, begin, end, strict=True)])
+                near = np.concatenate([ids[a:b] for a, b in zip(begin, end, strict=True)])
+                far = np.where(near == query_id, np.inf, far)
+                first = np.lexsort((near, far)) if len(far) <= most else (lambda x: x[np.lexsort((near[x], far[x]))])(np.nonzero(far <= np.partition(far, most - 1)[most - 1])[0])
+                first = first[far[first] < np.inf][:most]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": near[first], "far": far[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "far": []})
+
+    by = ["bundle", "block", "turn"]
+    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "query_id long, vec_id long, far double")
+    order = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    # The survivors, a fixed number a query, meet their vectors for the exact distance. A repeated id brings each of its vectors once.
+    pairs = near.select("query_id", "vec_id").distinct().join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.distinct(), "query_id")
+
+    @F.pandas_udf("double")
+    def exact(v: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(((np.array(v.tolist(), float).reshape(len(v), -1) - np.array(q.tolist(), float).reshape(len(q), -1)) ** 2).sum(1)))
+
+    found = pairs.select("query_id", "vec_id", exact("v", "q").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -156,3 +156,26 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
 
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "packing"]
+
+
+def test_op8_against_brute_force(spark):
+    """The query itself, with production parameters: exact scores and ranks, and nine of ten true neighbours."""
+    sf = "/root/testdata/sf0.01"
+    got, found = ann.op8_ann(spark, sf).collect(), {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float32).astype(float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = []
+    for q in ids[ids % 100 == 0]:
+        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        want = [i for i in ids[np.lexsort((ids, far))] if i != q][:10]
+        assert [r for r, _, _ in found[q]] == list(range(1, 11)) and all(abs(s - far[ids == i][0]) < 1e-12 for _, i, s in found[q])
+        assert [(s, i) for _, i, s in found[q]] == sorted((s, i) for _, i, s in found[q])
+        hits.append(len(set(want) & {i for _, i, _ in found[q]}) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_pipeline_and_keep_one_of_nothing(spark, tmp_path):
+    path = table(spark, tmp_path, documents=docs(spark, []), labels=spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert simhash.keep_one(docs(spark, [])).collect() == [] and corpus_pipeline.run(spark, path).collect() == []
