@@ -8,7 +8,7 @@ counts per input partition, without a global sort) and each number names its bin
 
 Defined cases: null text counts as empty; an empty text is its end id alone. A null id is kept. Repeated rows are packed each.
 Texts over ``capacity`` ids, and only those, are cut; only the last piece of a text may be shorter. An empty table gives
-no rows. Extra columns are not read.
+no rows. Extra columns are not read. Texts of any length are encoded whole. Pieces of equal length are alike; which goes where is no matter.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id
             kept = [batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = cut.join(base, ["length", "part"]).select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", (F.col("base") + F.col("number")).alias("number"))
+    # As many rows as lengths times partitions: it grows with the input, so it is never broadcast.
+    numbered = cut.hint("merge").join(base, ["length", "part"]).select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", (F.col("base") + F.col("number")).alias("number"))
     return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
