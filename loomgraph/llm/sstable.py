@@ -12,7 +12,7 @@ own writer (with its commit protocol, on any file system) can produce it row by
 ``TableReader.get`` asks the filter, bisects the index and scans one block. Keys: one byte 0 for a null id, else 1 and
 the id in big-endian order with its sign bit flipped. Values: ids of 2 or 4 bytes. Repeated ids keep all their entries,
 ordered by text. Null text counts as empty and still gets the end id. An empty table gives empty shards. Extra columns
-are not read.
+are not read. A text of any length is one entry; a shard holds whole entries. Ids wider than the shard's width are refused, never cut.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.batches import bounded
 from loomgraph.llm.tokens import encoder, vocabulary
-from loomgraph.plans.storage import fresh_path, materialize
+from loomgraph.plans.storage import discard, fresh_path, materialize
 
 BLOCK_BYTES = 1 << 16
 BITS_A_KEY, PROBES = 10, 7
@@ -100,6 +100,8 @@ class TableWriter:
         shared = 0
         while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
             shared += 1
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.block.append(entry)
@@ -176,11 +178,12 @@ class TableReader:
         return found
 
 
-def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 0, width: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 0, width: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts, appends ``end_id`` and writes shards in ascending id order below ``path``.
 
-    ``width``: bytes of an id (2 up to 65,536 ids). Memory: one Arrow batch and one open block a task.
+    ``width``: bytes of an id, 2 or 4; by default as many as the vocabulary and ``end_id`` need. An id that doesn't fit is an error. Memory: one Arrow batch and one open block a task.
     """
+    width = width or (2 if max(encoder(vocabulary_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
     spark = docs.sparkSession
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -202,7 +205,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
         yield pa.record_batch([pa.array(list(table.finish()), pa.binary())], ["section"])
 
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, "section binary").select(F.col("section").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(write, "section binary").select(F.col("section").cast("string").alias("value")).write.option("compression", "none").text(path)
 
 
 def read_tables(spark, path: str) -> DataFrame:
@@ -227,6 +230,7 @@ def op2_sstable(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "sstable")
     write_tables(docs, path, vocabulary("byte_bpe_50k.json"))
     entries, _ = materialize(read_tables(spark, path), "sstable-entries")
+    discard(spark, path)  # the query's result has been read back; write_tables leaves its files to callers
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = entries.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return entries.join(sums, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -115,3 +115,12 @@ def test_packing_against_the_library(spark, tmp_path):
 
 def test_packing_of_nothing(spark, tmp_path):
     assert packing.op9_packing(spark, table(spark, tmp_path, documents=docs(spark, []))).collect() == []
+
+
+def test_wide_ids(spark):
+    """Ids that don't fit are refused; with four bytes they come back as they were."""
+    with pytest.raises(ValueError):
+        list(sstable.TableWriter(0, 2).add(sstable.key_of(1), np.array([70_000], "<u4")))
+    w = sstable.TableWriter(0, 4)
+    data = b"".join(s + b"\n" for s in [*w.add(sstable.key_of(1), np.array([70_000, 3], "<u4")), *w.finish()])
+    assert [list(map(int, ids)) for ids in sstable.TableReader(data).get(sstable.key_of(1))] == [[70_000, 3]]
