@@ -11,7 +11,8 @@ the shorter passage or the longer window, then the earlier, then by name).
 Full texts of licences (``license_texts/``) are compared first, by windows alone; what they cover is not searched for notices, as
 they quote notices and share clauses with each other.
 
-Null text counts as empty; an empty text, or one of a single word, has no bigrams and no finds. Repeated rows are scanned
+Null text counts as empty; an empty text, or one of a single word, has no bigrams and no finds. Texts of any length are scanned whole. Of licences
+with one coefficient on one span the first by name is reported. Repeated rows are scanned
 each. Ids may be null. Only id and text are read.
 """
 
@@ -31,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
+
 THRESHOLD = 0.8
 #: Statements and notices of common licences; callers may pass their own.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -55,14 +58,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc0-1.0": ("Released under CC0 1.0 Universal.",),
     "epl-1.0": ("Licensed under the Eclipse Public License, Version 1.0.",),
     "epl-2.0": ("Licensed under the Eclipse Public License, Version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "bsl-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "lgpl-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.",),
-    "lgpl-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "lgpl-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "lgpl-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -241,7 +258,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
             rows = [(d, *f) for d, t in zip(part["doc_id"], part["text"], strict=True) for f in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # An id that may be null must not pass through a float column.
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     found = rows.mapInPandas(run, "doc_id string, license string, start long, end long, score double")

@@ -154,3 +154,28 @@ def test_full_texts(spark):
     assert [f[0] for f in s.scan(opening)] == ["bsd"]
     rows = [(i, full[n][0], "en", "a", 1) for i, n in enumerate(("gpl-3.0", "agpl-3.0", "bsd-2-clause"))]
     assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows)).collect()) == [(0, "gpl-3.0"), (1, "agpl-3.0"), (2, "bsd-2-clause")]
+
+
+SIBLINGS = {
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_siblings_are_told_apart():
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD, licenses.full_texts())
+    full = {n: licenses.full_texts()[n][0] for n in ("bsd-2-clause", "bsd-3-clause", "mit", "isc", "bsl-1.0", "gpl-2.0", "gpl-3.0", "agpl-3.0")}
+    for name, text in [*SIBLINGS.items(), *full.items()]:
+        assert [f[0] for f in s.scan(f"# Some project\n\nWords before it.\n\n{text}\n\nAnd after.")] == [name]
+
+
+def test_long_runs_of_spaces():
+    import time
+
+    coder = sentencepiece_bpe.coder(vocabulary("piece_bpe_32k.model"))
+    text = " " * 200_000 + "end  of it"
+    began = time.perf_counter()
+    ids = coder.encode(text)
+    assert time.perf_counter() - began < 5 and ids == coder.library.encode(text)
