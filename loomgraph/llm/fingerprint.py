@@ -5,8 +5,11 @@ and the sketch of a union is the union of sketches (``merge``). The smallest has
 it merges by minimum and leaves no text with shingles an empty sketch. The share of one sketch found in the other
 estimates containment, also between very unequal documents; ``likeness`` takes it in the smaller of the two.
 
+An estimate of a containment c strays from it by about the square root of c (1 - c) / m, with m retained hashes of the document: with one in four, 0.03 at
+most for 1,000 words, 0.06 with one in sixteen (``fraction_bits=4``) and a quarter of the size.
+
 Shingles are runs of five words (ASCII white space separates, letters lower-cased); a text of one to four words is one
-shingle. Null text counts as empty; an empty text has the empty sketch. Two empty sketches have likeness 1, an
+shingle. Texts of any length are taken whole; their sketches grow with them. Null text counts as empty; an empty text has the empty sketch. Two empty sketches have likeness 1, an
 empty and another 0. Equal texts have equal sketches. Repeated rows each get a row. Only id and text are read.
 """
 

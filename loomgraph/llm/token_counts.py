@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import bounded
 from loomgraph.llm.tokens import vocabulary
 
 REMEMBERED = 700_000
@@ -98,7 +99,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([counter(model).count(t) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), count(F.col(text_col)).alias("n_tokens"))
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), count(F.col(text_col)).alias("n_tokens"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
