@@ -26,6 +26,16 @@ NOISE_LABELS = (
     "Int", "Int8", "Int16", "Int32", "Int64", "UInt", "UInt8", "UInt16", "UInt32", "UInt64", "Float", "Float32", "Float64", "Double", "Character", "Void",
     "String", "Bool", "AnyObject", "i8", "i16", "i32", "i64", "u8", "u16", "u32", "u64", "f32", "f64", "rune", "byte",
 )
+# Keys of JSON files that never count as entities.
+JSON_NOISE = (
+    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version",
+    "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies",
+    "scripts", "main", "bin", "engines", "keywords", "author", "license", "repository", "private", "workspaces",
+)
+# States of pull requests in the order they are worked on.
+PR_ORDER = ("WRONG-BASE", "CI-FAIL", "CHANGES-REQ", "DRAFT", "STALE", "PENDING", "APPROVED", "READY")
+# Limits of a fragment from outside.
+MOST_BYTES, MOST_NODES, MOST_EDGES, MOST_HYPEREDGES, MOST_MEMBERS, MOST_ID = 25 * 1024 * 1024, 10_000, 100_000, 10_000, 256, 256
 # Relations along which a change is felt.
 AFFECTED_RELATIONS = ("calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds")
 # Language families, for dropping calls at build time and for scoring.
@@ -58,6 +68,11 @@ def is_file_node(label: Column, source_file: Column, degree: Column) -> Column:
     return F.coalesce((label == base_name(source_file)) | (label.startswith(".") & call) | (call & (degree <= 1)), F.lit(False))
 
 
+def is_json_key(label: Column, source_file: Column) -> Column:
+    """A key that any JSON file may have."""
+    return F.coalesce(F.lower(source_file).endswith(".json") & F.lower(F.trim(label)).isin(*JSON_NOISE), F.lit(False))
+
+
 def is_concept_node(source_file: Column) -> Column:
     """No source, or a source without an extension."""
     return F.coalesce(source_file == "", F.lit(True)) | ~base_name(source_file).contains(".")
@@ -87,34 +102,66 @@ def is_test_path(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    """Files that may hold secrets: by folder or by name."""
-    p = F.lower(path)
-    return p.rlike(r"(^|/)\.(ssh|gnupg|aws|gcloud)(/|$)") | base_name(p).rlike(r"^\.env(\..*)?$|\.(pem|key|p12|pfx|cert|crt|der|p8)$|^(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$|(^|[_.-])(credentials?|secrets?|passwords?|passwd)([_.-]|$)")
+    """Files that may hold secrets: by a folder above them, by name, or by a word for secrets that the name ends on, or that is one of two words."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    folders = p.rlike(r"(^|/)(\.ssh|\.gnupg|\.aws|\.gcloud|secrets|\.secrets|credentials)/")
+    name = base_name(p)
+    # Names of files that hold secrets, and words for secrets.
+    named = name.rlike(r"(?i)(^|[\\/])\.(env|envrc)(\.|$)|\.(pem|key|p12|pfx|cert|crt|der|p8)$|(\.netrc|\.pgpass|\.htpasswd)$|aws_credentials|gcloud_credentials|service.account") | name.rlike(r"(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$")
+    word = r"(?i)(?<![a-zA-Z0-9])((credential|secret|passwd|password|private_key)s?|tokens?)(?![a-zA-Z])"
+    stem = F.element_at(F.split(F.regexp_replace(name, r"^\.+", ""), r"\."), 1)
+    few = F.size(F.filter(F.split(stem, r"[-_\s]+"), lambda w: w != "")) <= 2
+    return folders | named | stem.rlike(word + "$") | (stem.rlike(word) & few)
+
+
+# Folders that are never walked, and files that are generated.
+NOISE_DIRS = (
+    "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs",
+    "coverage", "lcov-report", "visual-tests", "visual-test", "__snapshots__", "snapshots", "storybook-static", "dist-protected",
+    ".next", ".nuxt", ".turbo", ".angular", ".idea", ".cache", ".parcel-cache", ".svelte-kit", ".terraform", ".serverless", ".worktrees",
+)
+NOISE_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum")
 
 
 def is_noise_path(path: Column) -> Column:
-    """Any folder that holds no sources of its own."""
-    # Folders that are never walked.
-    noise = ("venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs")
+    """Any folder that holds no sources of its own, or a generated file."""
     parts = F.split(path, "/")
-    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, noise)))
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    own = F.exists(folders, lambda d: d.isin(*NOISE_DIRS) | d.endswith("_venv") | d.endswith("_env") | d.endswith(".egg-info"))
+    return own | path.rlike(r"(^|/)\.[^/]+/worktrees/") | base_name(path).isin(*NOISE_FILES)
 
 
-def doc_type(path: Column) -> Column:
-    """What a file is, by extension and name; null for what isn't read."""
-    s = suffix(path)
-    # Extensions of sources.
-    code = (
-        ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".cc", ".hpp", ".rb", ".swift", ".kt", ".cs", ".scala", ".php",
-        ".lua", ".zig", ".ps1", ".ex", ".exs", ".m", ".jl", ".vue", ".svelte", ".dart", ".v", ".sql", ".r", ".sh", ".json", ".yaml", ".yml", ".toml", ".css", ".scss",
-    )
-    return F.when(s.isin(*code) | base_name(path).isin("Dockerfile", "Makefile", "Gemfile"), "code").when(s.isin(*PAPERS), "paper").when(s.isin(*IMAGES), "image").when(s.isin(*DOCS), "document").when(s.isin(".mp4", ".mov", ".webm", ".mkv", ".mp3", ".wav", ".m4a"), "video")
+# Extensions of sources; names and interpreters that make a source of a file without one.
+CODE = (
+    ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".gs", ".ejs", ".ets", ".go", ".rs", ".java", ".groovy", ".gradle", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".cu", ".cuh", ".metal", ".rb", ".swift", ".kt", ".kts", ".cs",
+    ".scala", ".php", ".lua", ".luau", ".toc", ".zig", ".ps1", ".psm1", ".psd1", ".ex", ".exs", ".m", ".mm", ".jl", ".vue", ".svelte", ".astro", ".dart", ".v", ".sv", ".svh", ".sql", ".r", ".f", ".f90", ".f95", ".f03", ".f08",
+    ".pas", ".pp", ".dpr", ".dpk", ".lpr", ".inc", ".dfm", ".lfm", ".lpk", ".sh", ".bash", ".fish", ".json", ".hook", ".toml", ".yaml", ".yml", ".css", ".scss", ".html", ".htm", ".robot", ".resource", ".feature", ".tf", ".tfvars", ".hcl",
+    ".dm", ".dme", ".dmi", ".dmm", ".dmf", ".sln", ".slnx", ".csproj", ".fsproj", ".vbproj", ".xaml", ".razor", ".cshtml", ".cls", ".trigger",
+)
+TEXTS, OFFICE, VIDEOS = (".md", ".mdx", ".qmd", ".txt", ".rst"), (".docx", ".xlsx"), (".mp4", ".mov", ".webm", ".mkv", ".avi", ".m4v", ".mp3", ".wav", ".m4a", ".ogg")
+MANIFESTS = ("apm.yml", "pyproject.toml", "go.mod", "pom.xml")
+INTERPRETERS = ("python", "python3", "python2", "ruby", "perl", "node", "nodejs", "bash", "sh", "dash", "zsh", "fish", "ksh", "tcsh", "lua", "php", "julia", "Rscript")
+ASSETS = (".imageset", ".xcassets", ".appiconset", ".colorset", ".launchimage")
+
+
+def doc_type(path: Column, text: Column | None = None) -> Column:
+    """What a file is, by name and extension; without an extension by the interpreter its first line names. A paper's marks make a paper of a document.
+    Null for what isn't read."""
+    s, name = suffix(path), base_name(path)
+    named = F.lower(name).isin(*MANIFESTS) | name.rlike(r"^(Dockerfile|Containerfile)(\..+)?$|\.[Dd]ockerfile$") | F.lower(name).endswith(".blade.php")
+    asset = F.exists(F.split(path, "/"), lambda d: d.rlike("(" + "|".join(a.replace(".", r"\.") for a in ASSETS) + ")$"))
+    out = F.when(named | s.isin(*CODE), "code").when(s.isin(*PAPERS) & ~asset, "paper").when(s.isin(*IMAGES), "image")
+    if text is not None:
+        first = F.regexp_extract(text, r"\A#!\s*(\S+)(?:[ \t]+(\S+))?", 1)
+        called = F.when(first.rlike("(^|/)env$"), F.regexp_extract(text, r"\A#!\s*(\S+)(?:[ \t]+(\S+))?", 2)).otherwise(base_name(first))
+        out = out.when((s == "") & called.isin(*INTERPRETERS), "code").when(s.isin(*TEXTS) & (paper_signals(text) >= 3), "paper")
+    return out.when(s.isin(*TEXTS, *OFFICE), "document").when(s.isin(*VIDEOS), "video")
 
 
 def paper_signals(text: Column) -> Column:
     """How many marks of a paper the beginning of a text has; three make one."""
     # Marks of a paper.
-    marks = (r"\barxiv\b", r"\bdoi\s*:", r"\babstract\b", r"\bproceedings\b", r"\bjournal\b", r"\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"\bwe propose\b", r"\bliterature\b", r"\breferences\b")
+    marks = (r"\barxiv\b", r"\bdoi\s*:", r"\babstract\b", r"\bproceedings\b", r"\bjournal\b", r"\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]", r"eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"\bwe propose\b", r"\bliterature\b")
     head = F.lower(F.substring(text, 1, 3000))
     return sum((head.rlike(m).cast("int") for m in marks), F.lit(0))
 

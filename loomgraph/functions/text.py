@@ -97,6 +97,12 @@ def escape_html(value: Column) -> Column:
     return out
 
 
+def sanitize_metadata(values: Column, length: int = 512, most: int = 50) -> Column:
+    """A map of strings without control characters, each capped, then escaped; no more than ``most`` entries."""
+    cleaned = F.transform_values(values, lambda k, v: escape_html(sanitize_label(v, length)))
+    return F.map_from_entries(F.slice(F.map_entries(cleaned), 1, most))
+
+
 def escape_cypher(value: Column) -> Column:
     """For a single-quoted literal: backslashes and quotes escaped, control characters gone."""
     out = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1f\x7f]", " ")

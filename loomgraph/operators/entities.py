@@ -42,26 +42,43 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return first_by(named, ["name"], "seq", "id").where(text.entropy(F.col("name")) >= ENTROPY)
 
 
-def _bands(names: pd.Series) -> pd.Series:
+def signatures(names: list[str]) -> np.ndarray:
+    """A min-hash signature a row: SHA-1's first four bytes of each run of three characters, under fixed random coefficients modulo 2^61 - 1."""
     rng = np.random.RandomState(1)
-    a, b = rng.randint(1, 1 << 31, PERMUTATIONS).astype(np.uint64), rng.randint(0, 1 << 31, PERMUTATIONS).astype(np.uint64)
+    a, b = rng.randint(1, int(_PRIME), PERMUTATIONS, dtype=np.uint64), rng.randint(0, int(_PRIME), PERMUTATIONS, dtype=np.uint64)
+    out = np.empty((len(names), PERMUTATIONS), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, name in enumerate(names):
+            bare = name.replace(" ", "")
+            grams = sorted({bare[k : k + 3] for k in range(max(1, len(bare) - 2))})
+            h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], np.uint64)
+            out[i] = (((h[:, None] * a + b) % _PRIME) & _MASK).min(0)
+    return out
+
+
+def _bands(names: pd.Series) -> pd.Series:
     out = []
-    for name in names:
-        bare = name.replace(" ", "")
-        grams = sorted({bare[i : i + 3] for i in range(max(1, len(bare) - 2))})
-        h = pd.util.hash_array(np.array(grams, dtype=object)) & _MASK
-        least = (((h[:, None] * a + b) % _PRIME) & _MASK).min(0)
+    for least in signatures(names.tolist()):
         parts = (bytes([i]) + least[i * ROWS : (i + 1) * ROWS].tobytes() for i in range(BANDS))
         out.append([int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts])
     return pd.Series(out)
 
 
-def alike_pairs(named: DataFrame) -> DataFrame:
-    """``(a, b)``: candidates that share a band, once."""
+#: Names in a band up to which all its pairs are looked at in one task; larger bands are dealt out as pairs of chunks.
+BAND_CHUNK = 2000
+
+
+def alike_pairs(named: DataFrame, chunk: int | None = None) -> DataFrame:
+    """``(a, b)``: candidates that share a band, once. A hot band becomes pairs of chunks, each a join key of its own, so no task has it whole."""
+    chunk = chunk or BAND_CHUNK
     bands = F.pandas_udf(_bands, T.ArrayType(T.LongType()))
     keyed = named.select("id", F.explode(bands("name")).alias("band"))
-    a, b = keyed.toDF("a", "band"), keyed.toDF("b", "band")
-    return a.join(b, "band").where("a < b").select("a", "b").distinct()
+    size = keyed.groupBy("band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1").select("band", "chunks")
+    own = keyed.join(size, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = own.select("band", "id", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id")
+    a, b = dealt.toDF("band", "lo", "hi", "x", "a"), dealt.toDF("band", "lo", "hi", "y", "b")
+    return a.join(b, ["band", "lo", "hi"]).where("a < b AND (lo = hi OR x <> y)").select("a", "b").distinct()
 
 
 def _numbers(name: str) -> list[str]:
@@ -83,23 +100,24 @@ def accepted(a: str, b: str, same_file: bool, anchored: bool, same_community: bo
             return False
     elif a.startswith(b) or b.startswith(a):
         return False
-    return score + (BONUS if same_community and longest >= LONG else 0) >= ACCEPT
+    return score + (BONUS if same_community and min(len(a), len(b)) >= LONG else 0) >= ACCEPT
 
 
-def alike_merges(nodes: DataFrame) -> DataFrame:
-    """``(a, b)`` of the candidates that are accepted."""
+def alike_merges(nodes: DataFrame, community: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` of the candidates that are accepted; of one community ``(id, community)`` a little more readily."""
     named = candidates(nodes)
     pairs = alike_pairs(named)
-    x = named.select(F.col("id").alias("a"), F.col("name").alias("name_a"), F.col("source_file").alias("file_a"), F.col("file_type").alias("type_a"))
-    y = named.select(F.col("id").alias("b"), F.col("name").alias("name_b"), F.col("source_file").alias("file_b"), F.col("file_type").alias("type_b"))
+    own = named.join(community, "id", "left") if community is not None else named.withColumn("community", F.lit(None).cast("long"))
+    x, y = (own.select(F.col("id").alias(i), F.col("name").alias(f"name_{i}"), F.col("source_file").alias(f"file_{i}"), F.col("file_type").alias(f"type_{i}"), F.col("community").alias(f"community_{i}")) for i in ("a", "b"))
 
     @F.pandas_udf(T.BooleanType())
-    def ok(p: pd.Series, q: pd.Series, same: pd.Series, anchored: pd.Series) -> pd.Series:
-        return pd.Series([accepted(*v) for v in zip(p, q, same, anchored, strict=True)], dtype=bool)
+    def ok(p: pd.Series, q: pd.Series, same: pd.Series, anchored: pd.Series, together: pd.Series) -> pd.Series:
+        return pd.Series([accepted(*v) for v in zip(p, q, same, anchored, together, strict=True)], dtype=bool)
 
     same = F.coalesce(F.col("file_a") == F.col("file_b"), F.lit(False))
     anchored = F.col("type_a").isin("rationale", "document") | F.col("type_b").isin("rationale", "document")
-    return pairs.join(x, "a").join(y, "b").where(ok("name_a", "name_b", same, anchored)).select("a", "b")
+    together = F.coalesce(F.col("community_a") == F.col("community_b"), F.lit(False))
+    return pairs.join(x, "a").join(y, "b").where(ok("name_a", "name_b", same, anchored, together)).select("a", "b")
 
 
 def merge_map(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -109,8 +127,10 @@ def merge_map(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(winner, "component").where("id <> new").select(F.col("id").alias("old"), "new")
 
 
-def deduplicate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges after merging, and the map of merged ids."""
+def deduplicate(nodes: DataFrame, edges: DataFrame, community: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges after merging, and the map of merged ids. Nodes of more than one repository are an error: they are merged one by one."""
+    if "repo" in nodes.columns and nodes.where("repo IS NOT NULL").select("repo").distinct().limit(2).count() > 1:
+        raise ValueError("nodes of several repositories: merge each by itself")
     firsts = first_by(nodes, ["id"], "seq")
-    moved = merge_map(firsts, exact_merges(firsts).union(alike_merges(firsts)))
+    moved = merge_map(firsts, exact_merges(firsts).union(alike_merges(firsts, community)))
     return firsts.join(moved, firsts["id"] == moved["old"], "left_anti"), rewire(edges, moved), moved

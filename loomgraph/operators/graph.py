@@ -142,14 +142,76 @@ def unexplained_losses(old: DataFrame, new: DataFrame, rebuilt: DataFrame) -> Da
     return old.join(new.select("id"), "id", "left_anti").join(rebuilt.select("source_file").distinct(), "source_file", "left_anti")
 
 
-def build(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Canonical types, one record an id, ghosts merged, ends resolved, impossible calls dropped, pairs folded."""
-    nodes = nodes_last(nodes.withColumns({"file_type": rules.file_type(F.col("file_type")), "source_file": text.norm_path(F.col("source_file"))}))
-    ghosts = ghost_targets(nodes) if "origin" in nodes.columns else None
-    if ghosts is not None:
-        edges = rewire(edges, ghosts.select(F.col("ghost").alias("old"), F.col("target").alias("new")))
-        nodes = nodes.join(ghosts, nodes["id"] == ghosts["ghost"], "left_anti")
-    return nodes, fold_pairs(drop_cross_language(resolve_endpoints(edges, nodes), nodes))
+def rekey(frame: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
+    """Ids in ``columns`` replaced by ``mapping (old, new)``; self loops stay."""
+    for c in columns:
+        m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        frame = frame.join(m, frame[c] == m["_old"], "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+    return frame
+
+
+def rekey_members(hyper: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Hyperedges whose members are replaced by ``mapping (old, new)``, in their order."""
+    others = [c for c in hyper.columns if c != "nodes"]
+    members = rekey(hyper.select(*others, F.posexplode("nodes").alias("place", "member")), mapping, "member")
+    return members.groupBy(*others).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "member"))), lambda m: m["member"]).alias("nodes"))
+
+
+def build(nodes: DataFrame, edges: DataFrame, hyper: DataFrame | None = None, root: str = "") -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph from records as they come: canonical types and paths, records without an id dropped, short ids made whole, one record an id (the last of
+    each attribute), ghosts merged, ends resolved, sources filled in, impossible calls dropped, pairs folded. With ``hyper`` also its hyperedges, cleaned.
+
+    ``validate`` reports what is wrong with the records; nothing but a missing id or end drops one.
+    """
+    nodes = nodes.where("id IS NOT NULL AND id <> ''").withColumns({"file_type": rules.file_type(F.col("file_type")), "source_file": text.norm_path(F.col("source_file"), root)})
+    if "origin" in nodes.columns:
+        moved = legacy_ids(nodes).groupBy("old").agg(F.min("new").alias("new"))
+        nodes, edges = rekey(nodes, moved, "id"), rekey(edges, moved, "src", "dst")
+        hyper = rekey_members(hyper, moved) if hyper is not None else None
+    nodes = merge_attributes(nodes, ["id"]) if "seq" in nodes.columns else nodes.dropDuplicates(["id"])
+    if "origin" in nodes.columns:
+        ghosts = ghost_targets(nodes).select(F.col("ghost").alias("old"), F.col("target").alias("new"))
+        edges = rewire(edges, ghosts)
+        hyper = rekey_members(hyper, ghosts) if hyper is not None else None
+        nodes = nodes.join(ghosts, nodes["id"] == ghosts["old"], "left_anti")
+    edges = resolve_endpoints(edges, nodes)
+    if "source_file" in edges.columns:
+        edges = backfill_source(edges, nodes)
+    folded = fold_pairs(drop_cross_language(edges, nodes))
+    return (nodes, folded) if hyper is None else (nodes, folded, clean_hyperedges(hyper, nodes))
+
+
+def attach_hyperedges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All of ``old`` and those of ``new`` with an id that it hasn't."""
+    return old.unionByName(first_by(new.where("id IS NOT NULL"), ["id"], *[c for c in ("label", "relation") if c in new.columns]).join(old.select("id"), "id", "left_anti").select(*old.columns))
+
+
+class Shrunk(ValueError):
+    """A write would lose nodes that nothing explains."""
+
+
+def build_merge(old: tuple[DataFrame, ...], new: tuple[DataFrame, ...], removed: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, ...]:
+    """``new`` nodes and edges (and hyperedges) in place of what the same sources gave before; those of ``removed (source_file)`` go; all else stays. The
+    whole is built again. Nodes that vanish without their source being rebuilt or removed are an error, unless forced.
+    """
+    rebuilt = new[0].select("source_file").where("coalesce(source_file, '') <> ''").distinct()
+    gone = rebuilt.union(removed.select("source_file")) if removed is not None else rebuilt
+    nodes, edges = (o.join(gone, "source_file", "left_anti").select(*n.columns).unionByName(n) for o, n in zip(old[:2], new[:2], strict=True))
+    parts: list[DataFrame] = [nodes, edges]
+    if len(old) > 2:
+        parts.append(attach_hyperedges(new[2], old[2].join(gone, "source_file", "left_anti").select(*new[2].columns)))
+    out = build(*parts)
+    if not force and (lost := unexplained_losses(old[0], out[0], gone).count()):
+        raise Shrunk(f"{lost} nodes would be lost although their sources were not rebuilt")
+    return out
+
+
+def merge_graphs(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], most_nodes: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Union of two versions of a graph: of each attribute the right one's value wins, each edge once. Refused beyond ``most_nodes`` nodes, as of a merge driver."""
+    if (n := left[0].select("id").union(right[0].select("id")).distinct().count()) > most_nodes:
+        raise ValueError(f"the merged graph has {n} nodes; max is {most_nodes}")
+    both = left[1].withColumn("seq", F.lit(0)).unionByName(right[1].withColumn("seq", F.lit(1)), allowMissingColumns=True)
+    return compose(left[0], right[0], ["id"]), first_by(both, ["src", "dst", "relation"], F.desc("seq")).drop("seq")
 
 
 def graph_diff(old_nodes: DataFrame, new_nodes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, directed: bool = True) -> DataFrame:
@@ -206,6 +268,25 @@ def add_to_global(total: DataFrame, graph: DataFrame, repo: str) -> DataFrame:
     return total.where(F.col("repo") != repo).unionByName(own)
 
 
+def add_graph_to_global(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a global graph with one repository's in place of those it had; nodes without a source that are another's by label become that one."""
+    kept = add_to_global(nodes, new_nodes, repo)
+    own = new_edges.select(*[F.concat(F.lit(f"{repo}::"), F.col(c)).alias(c) if c in ("src", "dst") else F.col(c) for c in new_edges.columns])
+    merged = edges.where(~F.col("src").startswith(f"{repo}::")).unionByName(own)
+    owned = kept.where("coalesce(source_file, '') <> ''").groupBy(F.lower("label").alias("low")).agg(F.min("id").alias("new"))
+    moved = kept.where("coalesce(source_file, '') = ''").select(F.col("id").alias("old"), F.lower("label").alias("low")).join(owned, "low").select("old", "new")
+    return kept.join(moved, kept["id"] == moved["old"], "left_anti"), rewire(merged, moved)
+
+
+def graph_hash(nodes: DataFrame, edges: DataFrame) -> str:
+    """A digest of a graph's rows, whatever their order: equal graphs need not be added again."""
+    parts = []
+    for df in (nodes, edges):
+        h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
+        parts += [str(v) for v in df.agg(F.count("*"), F.sum(F.shiftright(h, 24)), F.sum(h.bitwiseAND(F.lit(0xFFFFFF)))).first()]
+    return "-".join(parts)
+
+
 def legacy_ids(nodes: DataFrame) -> DataFrame:
     """``(old, new)``: ids that begin with a short form of their file (its name, or folder and name) get the whole path's form instead.
 
@@ -231,6 +312,20 @@ def merge_fragments(fragments: list[tuple[DataFrame, DataFrame]]) -> tuple[DataF
     return first_by(nodes, ["id"], "part", "seq").drop("part"), edges
 
 
+def token_sums(fragments: DataFrame) -> DataFrame:
+    """``(input_tokens, output_tokens)`` of all fragments; null counts as none."""
+    return fragments.agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens")])
+
+
+def by_label(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of one normalised label made one, of any type (a coarse cleaning that nothing calls by itself): no chunk suffix, then the shortest id, then the first."""
+    name = F.trim(F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", " "))
+    named = nodes.withColumn("_name", name).where("_name <> ''")
+    winner = first_by(named.withColumn("_chunk", F.col("id").rlike(r"_c\d+$").cast("int")), ["_name"], "_chunk", F.length("id"), "seq", "id").select("_name", F.col("id").alias("new"))
+    moved = named.join(winner, "_name").where("id <> new").select(F.col("id").alias("old"), "new")
+    return nodes.join(moved, nodes["id"] == moved["old"], "left_anti"), rewire(edges, moved)
+
+
 def expired(versions: DataFrame, today: str, keep_days: int = 14) -> DataFrame:
     """Dated snapshots ``(path, day)`` that are older than the days kept."""
     return versions.where(F.datediff(F.to_date(F.lit(today)), F.col("day")) > keep_days)

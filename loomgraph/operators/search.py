@@ -20,26 +20,49 @@ CONCEPT, PROSE, RANK_BOOST, VECTOR_BOOST = 0.85, 0.9, 0.15, 0.15
 MAX_SEEDS, SEED_GAP, MAX_COMMUNITIES, TIE_GAP = 3, 0.8, 5, 0.10
 FUSION_K, FUSION_TOP, LEAST_COSINE = 60, 20, 0.35
 # Words that say nothing in a question.
-STOPWORDS = frozenset(
-    "how does is are the a an to of in on for and or what which that do did will would should can could with from at by this why when where who whom whose was were be "
-    "been being shall may might must has have had but not without into onto off these those there here its their them they about any all some work works working".split()
-)
+STOPWORDS = frozenset((
+    "how", "does", "is", "are", "the", "a", "an", "to", "of", "in", "on", "for", "and", "or", "what", "which", "that", "do", "did", "will", "would",
+    "should", "can", "could", "with", "from", "at", "by", "this", "why", "when", "where", "who", "whom", "whose", "was", "were", "be", "been",
+    "being", "shall", "may", "might", "must", "has", "have", "had", "but", "not", "without", "into", "onto", "off", "these", "those", "there",
+    "here", "its", "their", "them", "they", "about", "any", "all", "some", "work", "works", "working",
+))
 # Words for one thing.
-SYNONYMS = tuple(
-    frozenset(g.split())
-    for g in (
-        "login signin logon authenticate auth", "logout signout", "register signup", "delete remove erase", "fetch retrieve get", "create add new", "update edit modify",
-        "start begin launch init initialize", "stop halt terminate kill", "config configuration settings options", "error exception fail failure",
-        "test spec check verify validate", "click tap press", "send submit dispatch", "show display render", "hide dismiss",
-    )
-)
+SYNONYMS = (
+    frozenset(("login", "signin", "logon", "authenticate", "auth")),
+    frozenset(("logout", "signout")),
+    frozenset(("register", "signup")),
+    frozenset(("delete", "remove", "erase")),
+    frozenset(("fetch", "retrieve", "get")),
+    frozenset(("create", "add", "new")),
+    frozenset(("update", "edit", "modify")),
+    frozenset(("start", "begin", "launch", "init", "initialize")),
+    frozenset(("stop", "halt", "terminate", "kill")),
+    frozenset(("config", "configuration", "settings", "options")),
+    frozenset(("error", "exception", "fail", "failure")),
+    frozenset(("test", "spec", "check", "verify", "validate")),
+    frozenset(("click", "tap", "press")),
+    frozenset(("send", "submit", "dispatch")),
+    frozenset(("show", "display", "render")),
+    frozenset(("hide", "dismiss")),
+)
 # Verbs with a particle, up to three words apart, and what they mean.
-PHRASES = {("log", "in"): "login authenticate", ("log", "on"): "login logon authenticate", ("sign", "in"): "login signin authenticate", ("log", "out"): "logout", ("sign", "out"): "logout signout", ("sign", "up"): "register signup"}
+PHRASES = {
+    ("log", "in"): ("login", "authenticate",),
+    ("log", "on"): ("login", "logon", "authenticate",),
+    ("sign", "in"): ("login", "signin", "authenticate",),
+    ("log", "out"): ("logout",),
+    ("sign", "out"): ("logout", "signout",),
+    ("sign", "up"): ("register", "signup",),
+}
 # Words of a question that restrict the kind of edge.
 CONTEXT_WORDS = {
-    "call": "call calls called invoke invokes invoked", "import": "import imports imported module modules", "field": "field fields member members property properties",
-    "parameter_type": "parameter parameters param params argument arguments", "return_type": "return returns returned", "generic_arg": "generic generics template templates",
-}
+    "call": ("call", "calls", "called", "invoke", "invokes", "invoked"),
+    "import": ("import", "imports", "imported", "module", "modules"),
+    "field": ("field", "fields", "member", "members", "property", "properties"),
+    "parameter_type": ("parameter", "parameters", "param", "params", "argument", "arguments"),
+    "return_type": ("return", "returns", "returned"),
+    "generic_arg": ("generic", "generics", "template", "templates"),
+}
 
 
 def query_terms(question: str) -> list[str]:
@@ -48,17 +71,28 @@ def query_terms(question: str) -> list[str]:
     words = [w for w in re.findall(r"\w+", low) if not (w.isascii() and len(w) <= 2)]
     terms = list(dict.fromkeys([w for w in words if w not in STOPWORDS] or words))
     more = [s for t in terms for g in SYNONYMS if t in g for s in sorted(g)]
-    more += [s for (verb, particle), names in PHRASES.items() if re.search(rf"\b{verb}\b(?:\s+\w+){{0,3}}\s+\b{particle}\b", low) for s in names.split()]
+    more += [s for (verb, particle), names in PHRASES.items() if re.search(rf"\b{verb}\b(?:\s+\w+){{0,3}}\s+\b{particle}\b", low) for s in names]
     return list(dict.fromkeys(terms + more))
 
 
 def question_contexts(question: str) -> list[str]:
     """Kinds of edges that a question's words ask for."""
     words = set(re.sub("[?,]", " ", question.lower()).split())
-    return [kind for kind, hints in CONTEXT_WORDS.items() if words & set(hints.split())]
+    return [kind for kind, hints in CONTEXT_WORDS.items() if words & set(hints)]
+
+
+# Other names of kinds of edges.
+CONTEXT_NAMES = {
+    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type", "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type",
+    "return": "return_type", "returns": "return_type", "returned": "return_type", "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg", "templates": "generic_arg",
+    "annotation": "attribute", "annotations": "attribute", "decorator": "attribute", "decorators": "attribute", "calls": "call", "called": "call", "invoke": "call", "invocation": "call",
+    "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import", "imported": "import", "module": "import", "modules": "import", "exports": "export", "exported": "export",
+}
 
 
 def filter_context(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges of the kinds asked for, by any of their names; all of them if none is."""
+    kinds = list(dict.fromkeys(CONTEXT_NAMES.get(k.strip().lower(), k.strip().lower()) for k in kinds if k.strip()))
     return edges.where(F.col("context").isin(*kinds)) if kinds else edges
 
 
@@ -167,35 +201,69 @@ def find_tiers(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: tokens and runs of two or three of them."""
-    def run(k: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, k), ""))
-        return F.when(F.size("tokens") >= k, joined).otherwise(F.array().cast("array<string>"))
-
-    runs = [run(2), run(3)]
-    return docs.select(F.explode(F.array_distinct(F.concat("tokens", *runs))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """``(word, n, span)``: tokens, whole labels, and runs of two or three tokens; ``span`` marks what is only such a run."""
+    plain = F.when((F.size("tokens") > 2) & (F.element_at("tokens", -1) == F.array_join(F.slice("tokens", 1, F.size("tokens") - 1), "")), F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
 
-
-def _abbreviates(short: str, word: str) -> bool:
-    rest = iter(word)
-    return word[:1] == short[:1] and all(c in rest for c in short)
+    def run(k: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size("plain") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("plain", i, k), ""))
+        return F.when(F.size("plain") >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    docs = docs.where(F.size("tokens") > 0).withColumn("plain", plain)
+    words = F.transform(F.array_distinct("tokens"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("span")))
+    spans = F.transform(F.array_except(F.concat(run(2), run(3)), "tokens"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("span")))
+    return docs.select(F.explode(F.concat(words, spans)).alias("w")).groupBy("w.word").agg(F.count("*").alias("n"), F.min("w.span").alias("span"))
+
+
+def osa(a: str, b: str) -> int:
+    """Edits with swaps of neighbours, no part edited twice."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[-2][j - 2] + (x != y))
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def abbreviation(short: str, word: str) -> int | None:
+    """How well the letters of ``short`` stand in ``word`` in their order: close together and at its beginning; None if they don't."""
+    total, last = 0, -1
+    for c in short:
+        at = word.find(c, last + 1)
+        if at < 0:
+            return None
+        skipped = at - last - 1
+        # A letter right behind the one before is worth 9, any other 3 less what was skipped.
+        total += 9 if not skipped else 3 - skipped
+        last = at
+    return total + (60 if word.startswith(short) else 0)
 
 
 def correct(term: str, words: DataFrame) -> DataFrame:
-    """``(word, distance)``: the closest words to a mistyped term, then words that it abbreviates."""
+    """``(word, distance)`` that a term no label has may stand for: the closest word by edits, ties by word; else, for up to five letters, the word it
+    abbreviates best (distance null), ties by word. None for a known word or one of less than three letters."""
     most = 1 if len(term) <= 4 else 2
+    none = words.select("word", F.lit(0).alias("distance")).limit(0)
+    if len(term) < 3 or not words.where(F.col("word") == term).isEmpty():
+        return none
 
     @F.pandas_udf(T.IntegerType())
     def far(values: pd.Series) -> pd.Series:
-        return values.map(lambda w: text.damerau(term, w) if abs(len(w) - len(term)) <= most else 99).astype("int32")
+        return values.map(lambda w: osa(term, w)).astype("int32")
 
-    @F.pandas_udf(T.BooleanType())
-    def short(values: pd.Series) -> pd.Series:
-        return values.map(lambda w: len(term) <= 5 and len(w) >= 2 * len(term) and _abbreviates(term, w)).astype(bool)
+    @F.pandas_udf(T.IntegerType())
+    def likely(values: pd.Series) -> pd.Series:
+        return pd.Series([abbreviation(term, w) for w in values], dtype="Int32")
 
-    near = words.where(F.abs(F.length("word") - len(term)) <= most).select("word", "n", far("word").alias("distance")).where(F.col("distance").between(1, most))
-    abbreviated = words.where(F.length("word") >= 2 * len(term)).where(short("word")).select("word", "n", F.lit(9).alias("distance"))
-    return near.union(abbreviated).orderBy("distance", F.desc("n"), "word").limit(1).select("word", "distance")
+    near = words.where(F.abs(F.length("word") - len(term)) <= most).select("word", far("word").alias("distance")).where(F.col("distance") <= most)
+    best = near.orderBy("distance", "word").limit(1)
+    if len(term) > 5 or not best.isEmpty():
+        return best
+    short = words.where(~F.col("span") & (F.length("word") >= 2 * len(term))).select("word", likely("word").alias("score")).where("score IS NOT NULL")
+    return short.orderBy(F.desc("score"), "word").limit(1).select("word", F.lit(None).cast("int").alias("distance"))
 
 
 def fuzzy_substring(nodes: DataFrame, term: str, top: int = 5) -> DataFrame:
@@ -225,18 +293,76 @@ def path_scope(nodes: DataFrame, include: tuple[str, ...] = (), exclude: tuple[s
     return out.where(~begins(exclude)) if exclude else out
 
 
-def ask(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2) -> DataFrame:
-    """``(id, label, hop, score)``: seeds by search (words, then a correction, then something similar), their surroundings, nearest and best first."""
+def fill_seeds(seeds: DataFrame, scored: DataFrame, community: DataFrame, covered: DataFrame, most: int = MAX_COMMUNITIES) -> DataFrame:
+    """Seeds and the best of further communities, by how many of the question's terms they cover ``(id, coverage)``, then by score."""
+    c = scored.join(community, "id").join(covered, "id", "left").fillna(0, ["coverage"])
+    used = c.join(seeds.select("id"), "id", "left_semi").select("community").distinct()
+    more = first_by(c.join(used, "community", "left_anti"), ["community"], F.desc("coverage"), F.desc("score"), "id").select("id", "score", F.lit(1).alias("later"), "coverage")
+    both = seeds.select("id", "score", F.lit(0).alias("later"), F.lit(0).alias("coverage")).union(more)
+    return both.orderBy("later", F.desc("coverage"), F.desc("score"), "id").limit(most).select("id", "score")
+
+
+def coverage(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """``(id, coverage)``: how many of the terms a node's label or source file holds."""
+    held = [(F.lower("label").contains(t) | F.lower(F.coalesce("source_file", F.lit(""))).contains(t)).cast("int") for t in terms]
+    return nodes.select("id", sum(held, F.lit(0)).alias("coverage"))
+
+
+def trigram_candidates(nodes: DataFrame, needles: list[str], share: float = 0.1) -> DataFrame | None:
+    """``(id)`` of labels that have every three-letter run of some needle, or None where the rarest run of one is in too many labels to be worth it.
+
+    A superset of the labels that hold a needle: it only narrows what is scored. The runs are few literals, so nothing is joined.
+    """
+    low = F.lower(F.coalesce("label", F.lit("")))
+    runs = {n: sorted({n[i : i + 3] for i in range(len(n) - 2)}) for n in needles}
+    if not needles or not all(runs.values()):
+        return None
+    every = sorted({r for rs in runs.values() for r in rs})
+    seen = nodes.agg(F.count("*").alias("n"), *[F.count_if(low.contains(r)).alias(f"r{i}") for i, r in enumerate(every)]).first()
+    if any(min(seen[f"r{every.index(r)}"] for r in rs) > share * seen["n"] for rs in runs.values()):
+        return None
+    hit = F.lit(False)
+    for rs in runs.values():
+        one = F.lit(True)
+        for r in rs:
+            one = one & low.contains(r)
+        hit = hit | one
+    return nodes.where(hit).select("id")
+
+
+def find_seeds(nodes: DataFrame, terms: list[str], vectors: DataFrame | None = None, query: list[float] | None = None) -> tuple[DataFrame, str]:
+    """Scored seeds and how they were found: by words, a correction, something similar in letters, or in meaning (``vectors (id, v)``)."""
+    scored = score(nodes, terms)
+    if not scored.isEmpty():
+        return scored, "words"
+    words = vocabulary(corpus(nodes))
+    fixed = [r["word"] for t in terms for r in correct(t, words).collect()]  # one row each
+    if fixed and not (scored := score(nodes, fixed)).isEmpty():
+        return scored, "correction"
+    long = [t for t in terms if len(t) >= 4]
+    near = [fuzzy_substring(nodes, t).select("id", (1.0 / (1 + F.col("distance"))).alias("score")) for t in long]
+    if near:
+        together = near[0]
+        for n in near[1:]:
+            together = together.union(n)
+        together = together.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(5)
+        if not together.isEmpty():
+            return together, "letters"
+    if vectors is not None and query is not None:
+        meant = cosine_top(vectors, query, 3, LEAST_COSINE).withColumnRenamed("similarity", "score")
+        if not meant.isEmpty():
+            return meant, "meaning"
+    return scored, "none"
+
+
+def ask(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, vectors: DataFrame | None = None, query: list[float] | None = None) -> DataFrame:
+    """``(id, label, hop, score, degree)``: seeds and their surroundings, nearest first, then best, then best connected, then by id."""
+    from loomgraph.operators.graph import degrees
     from loomgraph.operators.traversal import bfs
 
     terms = query_terms(question)
-    scored = score(nodes, terms)
-    if scored.isEmpty():
-        words = vocabulary(corpus(nodes))
-        fixed = [r["word"] for t in terms if len(t) >= 3 for r in correct(t, words).collect()]  # one row each
-        scored = score(nodes, fixed) if fixed else scored
-    if scored.isEmpty():
-        longest = max((t for t in terms if len(t) >= 4), key=len, default="")
-        scored = fuzzy_substring(nodes, longest).select("id", (1.0 / (1 + F.col("distance"))).alias("score")) if longest else scored
-    found, _ = bfs(filter_context(edges, question_contexts(question)) if "context" in edges.columns else edges, pick_seeds(scored), depth)
-    return found.join(nodes.select("id", "label"), "id").join(scored, "id", "left").select("id", "label", "hop", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy("hop", F.desc("score"), "id")
+    scored, _ = find_seeds(nodes, terms, vectors, query)
+    kept = filter_context(edges, question_contexts(question)) if "context" in edges.columns else edges
+    found, _ = bfs(kept, pick_seeds(scored), depth)
+    j = found.join(nodes.select("id", "label"), "id").join(scored, "id", "left").join(degrees(kept), "id", "left")
+    return j.select("id", "label", "hop", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("degree", F.lit(0)).alias("degree")).orderBy("hop", F.desc("score"), F.desc("degree"), "id")

@@ -6,7 +6,6 @@ hot keys.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.operators.graph import degrees, first_by, symmetric
-from loomgraph.plans.storage import discard, materialize
+from loomgraph.plans.storage import bucketed, discard, materialize
 
 
 def index_percentile(degree: DataFrame, share: float) -> int:
@@ -41,20 +40,42 @@ def frontier(seeds: DataFrame, step: Callable[[DataFrame, int], DataFrame], dept
     return seen
 
 
-def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+class Neighbours:
+    """A graph to be walked on, written once: both directions of every pair in buckets by ``src``, and the degrees of all nodes."""
+
+    def __init__(self, edges: DataFrame):
+        self.both = bucketed(symmetric(edges.select("src", "dst")).distinct(), "walk-both", "src")
+        self.degree, _ = materialize(degrees(edges), "walk-degrees")
+        self._cuts: dict[float, int] = {}
+
+    def cut(self, share: float) -> int:
+        """The degree at an index of the sorted list of degrees."""
+        if share not in self._cuts:
+            self._cuts[share] = index_percentile(self.degree, share)
+        return self._cuts[share]
+
+    def hubs(self, least: int, share: float) -> DataFrame:
+        """``(hub)``: nodes of at least that many ends and at least that degree."""
+        return self.degree.where(F.col("degree") >= max(least, self.cut(share))).select(F.col("id").alias("hub"))
+
+
+def neighbours(edges: DataFrame | Neighbours) -> Neighbours:
+    return edges if isinstance(edges, Neighbours) else Neighbours(edges)
+
+
+def hops(edges: DataFrame | Neighbours, seeds: DataFrame, depth: int) -> DataFrame:
     """``(id, hop)`` of all nodes within ``depth`` undirected steps."""
-    both = symmetric(edges.select("src", "dst")).distinct()
+    both = neighbours(edges).both
     return frontier(seeds, lambda level, _: level.join(both, level["id"] == both["src"]).select(F.col("dst").alias("id")), depth)
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_hub: int = 50, share: float = 0.99) -> tuple[DataFrame, DataFrame]:
+def bfs(edges: DataFrame | Neighbours, seeds: DataFrame, depth: int = 3, least_hub: int = 50, share: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(id, hop)`` and edges ``(src, dst, hop)`` found; a hub is reached but not expanded, unless it is a seed.
 
     The edges are those from a level to nodes that no earlier level had.
     """
-    both = symmetric(edges.select("src", "dst")).distinct()
-    degree = degrees(edges)
-    hubs = degree.where(F.col("degree") >= max(least_hub, index_percentile(degree, share))).select(F.col("id").alias("hub"))
+    walk = neighbours(edges)
+    both, hubs = walk.both, walk.hubs(least_hub, share)
 
     def step(level: DataFrame, hop: int) -> DataFrame:
         open_ = level if hop == 1 else level.join(hubs, level["id"] == hubs["hub"], "left_anti")
@@ -69,7 +90,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_hub: int = 50,
 
 def affected(edges: DataFrame, seeds: DataFrame, relations: tuple[str, ...] = rules.AFFECTED_RELATIONS, depth: int = 2) -> DataFrame:
     """``(id, hop, relation)``: what a change of the seeds reaches against the direction of its relations, and by which one first."""
-    e = edges.where(rules.relation_matches(F.col("relation"), relations)).select("src", "dst", "relation")
+    e = bucketed(edges.where(rules.relation_matches(F.col("relation"), relations)).select("src", "dst", "relation").distinct(), "walk-affected", "dst")
     found = frontier(seeds, lambda level, _: level.join(e, level["id"] == e["dst"]).select(F.col("src").alias("id")), depth)
     before = found.select(F.col("id").alias("dst"), (F.col("hop") + 1).alias("hop"))
     first = e.join(before, "dst").select(F.col("src").alias("id"), "hop", "relation").groupBy("id", "hop").agg(F.min("relation").alias("relation"))
@@ -77,16 +98,25 @@ def affected(edges: DataFrame, seeds: DataFrame, relations: tuple[str, ...] = ru
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int = 6, direction: str = "callers", cap: int = 200) -> DataFrame:
-    """``(id, hop)`` by direction (callers, callees, both), nearest first and then by id, as many as the report shows."""
-    e = edges.select("src", "dst")
-    forward = {"callees": e, "callers": e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": symmetric(e)}[direction].distinct()
-    found = frontier(seeds, lambda level, _: level.join(forward, level["id"] == forward["src"]).select(F.col("dst").alias("id")), depth)
-    return found.where("hop > 0").orderBy("hop", "id").limit(cap)
+    """``(id, hop)`` by direction (callers, callees, both), nearest first and then by id, as many as the report shows.
+
+    Of edges with a ``confidence`` also the first parent, by id, and the confidence of the step from it.
+    """
+    e = edges.select("src", "dst", *[c for c in ("confidence",) if c in edges.columns])
+    forward = {"callees": e, "callers": e.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in e.columns]), "both": symmetric(e)}[direction]
+    walk = bucketed(forward.distinct(), "walk-blast", "src")
+    found = frontier(seeds, lambda level, _: level.join(walk, level["id"] == walk["src"]).select(F.col("dst").alias("id")), depth)
+    near = found.where("hop > 0").orderBy("hop", "id").limit(cap)
+    if "confidence" not in e.columns:
+        return near
+    before = found.select(F.col("id").alias("src"), (F.col("hop") + 1).alias("hop"))
+    first = near.join(walk.withColumnRenamed("dst", "id"), "id").join(before, ["src", "hop"]).groupBy("id", "hop").agg(F.min(F.struct("src", "confidence")).alias("first"))
+    return near.join(first, ["id", "hop"]).select("id", "hop", F.col("first.src").alias("parent"), F.col("first.confidence").alias("confidence"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(id)`` of everything reachable along the edges' direction; stops when a level adds nothing."""
-    e = edges.select("src", "dst").distinct()
+    e = bucketed(edges.select("src", "dst").distinct(), "walk-reach", "src")
     return frontier(seeds, lambda level, _: level.join(e, level["id"] == e["src"]).select(F.col("dst").alias("id")), 1_000_000).select("id")
 
 
@@ -116,60 +146,119 @@ def import_cycles(file_edges: DataFrame, longest: int = 5) -> DataFrame:
     return found.select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
     """``(id, rank)`` by power iteration over weighted undirected edges; what has no neighbour gives its rank to all.
 
-    ``edges (src, dst, weight)``. Ends early when the summed change is below ``tolerance`` times the number of nodes.
+    ``edges (src, dst, weight)``. Ends early when the summed change is below ``tolerance`` times the number of nodes. The flows stay in
+    buckets by their source, so a round shuffles ranks and what they sum up to, never the edges.
     """
-    n = nodes.count()
+    spark = nodes.sparkSession
     both = symmetric(edges.select("src", "dst", "weight"))
-    total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    flow, _ = materialize(both.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("share")), "flow")
-    ranks, path = materialize(nodes.select("id", F.lit(1.0 / n).alias("rank")), "ranks")
-    for _ in range(rounds):
-        given = ranks.join(flow, ranks["id"] == flow["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        idle = ranks.join(total, ranks["id"] == total["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle")).first()["idle"]
-        new, new_path = materialize(ranks.select("id", F.col("rank").alias("old")).join(given, "id", "left").select("id", (F.lit((1 - damping) / n + damping * idle / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "old"), "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance else None
-        discard(nodes.sparkSession, path)
-        ranks, path = new.select("id", "rank"), new_path
-        if moved is not None and moved < n * tolerance:
+    total, total_path = materialize(both.groupBy("src").agg(F.sum("weight").alias("total")), "flow-totals")
+    flow = bucketed(both.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "flow", "src")
+    has = total.select(F.col("src").alias("id"), F.lit(False).alias("none"))
+    table = nodes.select("id").distinct().join(has, "id", "left").select("id", F.coalesce("none", F.lit(True)).alias("idle"))
+    table, table_path = materialize(table, "rank-nodes")
+    n = table.count()
+    ranks, path = materialize(table.select("id", "idle", F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
+    idle = table.where("idle").count() / max(n, 1)
+    discard(spark, total_path)
+    for _ in range(rounds if n else 0):
+        given = ranks.where("NOT idle").join(flow, ranks["id"] == flow["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new, new_path = materialize(ranks.select("id", "idle", F.col("rank").alias("old")).join(given, "id", "left").select("id", "idle", (F.lit((1 - damping) / n + damping * idle / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "old"), "ranks")
+        told = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.sum(F.when(F.col("idle"), F.col("rank"))).alias("idle")).first()
+        discard(spark, path)
+        ranks, path, idle = new.select("id", "idle", "rank"), new_path, told["idle"] or 0.0
+        if tolerance and told["moved"] < n * tolerance:
             break
-    return ranks
+    discard(spark, table_path)
+    return ranks.select("id", "rank")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, avoid: DataFrame | None = None, longest: int = 12) -> list[str]:
-    """A cheapest undirected path, a step costing one and both ends' degrees; empty if there is none.
+def path_costs(walk: Neighbours, source: str, avoid: DataFrame | None = None, keep: tuple[str, ...] = (), target: str | None = None) -> DataFrame:
+    """``(id, cost)``: the cheapest undirected way from ``source`` to every node, a step costing one and both ends' degrees.
 
-    Spark finds the nodes that can lie on a path (near enough to both ends); only their edges reach the driver.
+    Distances are improved level by level, from the nodes that the level before improved, until none is; a ``target``'s cost bounds
+    which are still worth following. ``avoid (id)`` are nodes not entered, but for those in ``keep``. Any length, nothing on the driver but a number.
     """
-    degree = degrees(edges)
-    open_ = edges.select("src", "dst")
+    spark = walk.both.sparkSession
+    d = walk.degree
+    start = d.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("cost"))
+    best, best_path = materialize(start, "path-costs")
+    level = best
+    open_ = walk.both
     if avoid is not None:
-        bad = avoid.where(~F.col("id").isin(source, target)).select(F.col("id").alias("bad"))
-        open_ = open_.join(bad, open_["src"] == bad["bad"], "left_anti").join(bad, open_["dst"] == bad["bad"], "left_anti")
-    ends = edges.sparkSession
-    a = hops(open_, ends.createDataFrame([(source,)], "id string"), longest).select("id", F.col("hop").alias("a"))
-    b = hops(open_, ends.createDataFrame([(target,)], "id string"), longest).select("id", F.col("hop").alias("b"))
-    on = a.join(b, "id").where(F.col("a") + F.col("b") <= longest).select("id")
-    held = open_.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    d1, d2 = degree.toDF("src", "ds"), degree.toDF("dst", "dd")
-    rows = held.join(d1, "src").join(d2, "dst").select("src", "dst", (1 + F.col("ds") + F.col("dd")).alias("cost")).collect()
-    near: dict[str, list[tuple[str, int]]] = {}
-    for r in rows:
-        near.setdefault(r["src"], []).append((r["dst"], r["cost"]))
-        near.setdefault(r["dst"], []).append((r["src"], r["cost"]))
-    queue, best = [(0, source, [source])], {}
-    while queue:
-        cost, at, path = heapq.heappop(queue)
-        if at == target:
-            return path
-        if best.get(at, 1 << 62) <= cost:
-            continue
-        best[at] = cost
-        for to, c in sorted(near.get(at, [])):
-            heapq.heappush(queue, (cost + c, to, [*path, to]))
-    return []
+        bad = avoid.where(~F.col("id").isin(source, *keep)).select(F.col("id").alias("dst"))
+        open_ = open_.join(bad, "dst", "left_anti")
+    from_, to = d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), d.select(F.col("id").alias("dst"), F.col("degree").alias("dd"))
+    while True:
+        step = level.withColumnRenamed("id", "src").join(open_.where("src <> dst"), "src").join(from_, "src").groupBy("dst").agg(F.min(F.col("cost") + 1 + F.col("ds")).alias("cost"))
+        step = step.join(to, "dst").select(F.col("dst").alias("id"), (F.col("cost") + F.col("dd")).alias("new"))
+        better = step.join(best, "id", "left").where("cost IS NULL OR new < cost").select("id", F.col("new").alias("cost"))
+        if target is not None:
+            reached = best.where(F.col("id") == target).first()
+            better = better.where(F.col("cost") <= reached["cost"]) if reached else better
+        level, level_path = materialize(better, "path-level")
+        if level.isEmpty():
+            discard(spark, level_path)
+            return best
+        merged, merged_path = materialize(best.union(level).groupBy("id").agg(F.min("cost").alias("cost")), "path-costs")
+        discard(spark, best_path)
+        best, best_path = merged, merged_path
+
+
+def shortest_path(edges: DataFrame | Neighbours, source: str, target: str, avoid: DataFrame | None = None) -> list[str]:
+    """A cheapest undirected path, a step costing one and both ends' degrees; of several the one whose nodes, seen from the target, are smallest. Empty if there is none."""
+    walk = neighbours(edges)
+    cost = path_costs(walk, source, avoid, (target,), target)
+    degree = walk.degree
+    here = cost.join(degree, "id").where(F.col("id") == target).first()
+    if here is None:
+        return []
+    path = [target]
+    while path[-1] != source:
+        into = walk.both.where(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(cost, "id").join(degree, "id")
+        best = into.where(F.col("cost") + 1 + F.col("degree") + here["degree"] == here["cost"]).orderBy("id").first()  # a step of the path at a time
+        path.append(best["id"])
+        here = best
+    return path[::-1]
+
+
+def path_noise(nodes: DataFrame, walk: Neighbours, least_hub: int = 10, share: float = 0.95) -> DataFrame:
+    """``(id)`` of nodes a path should not run through: modules, builtin names, and nodes of a degree that few have."""
+    named = nodes.where(F.col("label").isin(*rules.NOISE_LABELS) | (F.col("type").isin("module", "namespace") if "type" in nodes.columns else F.lit(False))).select("id")
+    return named.union(walk.hubs(least_hub, share).select(F.col("hub").alias("id"))).distinct()
+
+
+def find_path(nodes: DataFrame, edges: DataFrame | Neighbours, source: str, target: str, source_path: str = "", target_path: str = "") -> dict:
+    """The path between what two names stand for: every pair of near-tied candidates is tried, best ranks first, around noise and then through it.
+
+    A dictionary with ``error``, or ``path`` (None if no pair is connected), ``warnings``, ``used_noise`` and ``tried``.
+    Candidates and the path, few names each, are all that comes to the driver.
+    """
+    from loomgraph.operators.search import near_ties, score
+
+    found = []
+    for name, within in ((source, source_path), (target, target_path)):
+        scored = score(nodes, [t.lower() for t in name.split()])
+        if within:
+            scored = scored.join(nodes.where(F.col("source_file").startswith(within)).select("id"), "id", "left_semi")
+        tied = near_ties(scored).join(nodes.select("id", "label"), "id").orderBy(F.desc("score"), F.length("label"), "id")
+        found.append([r["id"] for r in tied.select("id").toLocalIterator()])
+        if not found[-1]:
+            return {"error": f"no node matches {name!r}" + (f" under {within!r}" if within else "")}
+    if found[0] == found[1] and len(found[0]) == 1:
+        return {"error": f"{source!r} and {target!r} are one node: {found[0][0]}"}
+    warnings = [f"{side} is ambiguous: {len(ids)} nodes match alike ({', '.join(ids[:5])})" for side, ids in zip(("source", "target"), found, strict=True) if len(ids) > 1]
+    walk = neighbours(edges)
+    noise, _ = materialize(path_noise(nodes, walk), "path-noise")
+    pairs = sorted(((i, j) for i in range(len(found[0])) for j in range(len(found[1]))), key=sum)
+    for tried, (i, j) in enumerate(pairs, 1):
+        a, b = found[0][i], found[1][j]
+        for avoid in (noise, None) if a != b else ():
+            if path := shortest_path(walk, a, b, avoid):
+                return {"path": path, "warnings": warnings, "used_noise": avoid is None, "tried": tried}
+    return {"path": None, "warnings": warnings, "used_noise": False, "tried": len(pairs)}
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, node_id: str, relation: str = "") -> DataFrame:

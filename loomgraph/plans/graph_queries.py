@@ -11,6 +11,7 @@ from loomgraph.operators import community as communities
 from loomgraph.plans.derived import COMMUNITY_SQL, DEGREE_SQL, GRAPH_SQL, SCORED_SQL
 from loomgraph.plans.derived import edges as derived_edges
 from loomgraph.plans.derived import graph as derived_graph
+from loomgraph.plans.derived import neighbourhood
 from loomgraph.plans.derived import nodes as derived_nodes
 from loomgraph.plans.registry import query
 from loomgraph.sources import graph_json
@@ -68,11 +69,7 @@ b AS (SELECT src AS id, count(DISTINCT y.community) AS bridged FROM both_ways JO
 SELECT n.id, label, bridged, degree FROM b JOIN nodes n USING (id) JOIN deg USING (id) WHERE label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1)
 ORDER BY bridged DESC, degree DESC, n.id LIMIT 10""")
 def cross_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.cross_cutting(*_part_communities(spark, sf_dir))
-
-
-def _part_communities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return derived_graph(spark, sf_dir)
+    return analysis.cross_cutting(*derived_graph(spark, sf_dir))
 
 
 @query(f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL}, pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
@@ -114,10 +111,14 @@ def community_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.overlap(c, c.select("id", (F.col("community") % 3).alias("community")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {COMMUNITY_SQL}, new AS (SELECT id, community * 2 + length(id) % 2 AS c FROM comm), ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, old, new) AS r FROM (SELECT community AS old, c AS new, count(*) AS n FROM comm JOIN new USING (id) GROUP BY 1, 2)),
+pick(r, olds, news) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT k.r, CASE WHEN list_contains(olds, k.old) OR list_contains(news, k.new) THEN olds ELSE list_append(olds, k.old) END, CASE WHEN list_contains(olds, k.old) OR list_contains(news, k.new) THEN news ELSE list_append(news, k.new) END FROM pick JOIN ranked k ON k.r = pick.r + 1),
+last AS MATERIALIZED (SELECT olds, news FROM pick ORDER BY r DESC LIMIT 1), kept AS (SELECT unnest(olds) AS k, unnest(news) AS c FROM last),
+rest AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS r FROM new WHERE c NOT IN (SELECT c FROM kept) GROUP BY c), free AS (SELECT k, row_number() OVER (ORDER BY k) AS r FROM generate_series(0, 100) t(k) WHERE k NOT IN (SELECT k FROM kept)),
+named AS (SELECT c, k FROM kept UNION ALL SELECT c, k FROM rest JOIN free USING (r)) SELECT id, k AS community FROM new JOIN named USING (c)""")
 def community_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = derived_graph(spark, sf_dir)[2]
-    return analysis.remap(c, c.select("id", (F.col("community") % 3).alias("community")))
+    return analysis.remap(c, c.select("id", (F.col("community") * 2 + F.length("id") % 2).alias("community")))
 
 
 _EVENT_NODES = "SELECT concat('u:', user_id) AS id, event_type AS label, CASE WHEN value > 50 THEN props END AS props, event_id AS seq FROM events"
@@ -307,14 +308,22 @@ def _one(spark: SparkSession, *ids: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {_BOTH}, walk(id, hop) AS (SELECT 'c:1', 0 UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = id WHERE hop < 2) SELECT id, min(hop) AS hop FROM walk GROUP BY id""")
 def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.hops(derived_edges(spark, sf_dir), _one(spark, "c:1"), 2)
+    return traversal.hops(neighbourhood(spark, sf_dir), _one(spark, "c:1"), 2)
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_BOTH}, {DEGREE_SQL}, sorted_ AS (SELECT degree, row_number() OVER (ORDER BY degree, id) - 1 AS i, count(*) OVER () AS n FROM deg),
+_WALK = f"""{GRAPH_SQL}, {_BOTH}, {DEGREE_SQL}, sorted_ AS (SELECT degree, row_number() OVER (ORDER BY degree, id) - 1 AS i, count(*) OVER () AS n FROM deg),
 cut AS (SELECT greatest(50, max(degree) FILTER (i = least(n - 1, CAST(floor(n * 0.99) AS BIGINT)))) AS hub FROM sorted_),
-walk(id, hop) AS (SELECT 'c:1', 0 UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = walk.id JOIN deg ON deg.id = walk.id WHERE hop < 3 AND (hop = 0 OR degree < (SELECT hub FROM cut))) SELECT id, min(hop) AS hop FROM walk GROUP BY id""")
+walk(id, hop) AS (SELECT 'c:1', 0 UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = walk.id JOIN deg ON deg.id = walk.id WHERE hop < 3 AND (hop = 0 OR degree < (SELECT hub FROM cut))), found AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT id, hop FROM found")
 def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.bfs(derived_edges(spark, sf_dir), _one(spark, "c:1"), 3)[0]
+    return traversal.bfs(neighbourhood(spark, sf_dir), _one(spark, "c:1"), 3)[0]
+
+
+@query(f"""WITH RECURSIVE {_WALK} SELECT b.src, b.dst, y.hop FROM both_ways b JOIN found x ON x.id = b.src JOIN found y ON y.id = b.dst AND y.hop = x.hop + 1 JOIN deg ON deg.id = b.src WHERE x.hop = 0 OR degree < (SELECT hub FROM cut)""")
+def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.bfs(neighbourhood(spark, sf_dir), _one(spark, "c:1"), 3)[1]
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT * FROM edges WHERE relation IN ('calls', 'references', 'imports_from')), walk(id, hop) AS (SELECT 's:1', 0 UNION SELECT src, hop + 1 FROM walk JOIN e ON dst = id WHERE hop < 2),
@@ -325,7 +334,14 @@ def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(id, hop) AS (SELECT 'p:1', 0 UNION SELECT src, hop + 1 FROM walk JOIN edges ON dst = id WHERE hop < 2) SELECT id, min(hop) AS hop FROM walk GROUP BY id HAVING min(hop) > 0 ORDER BY hop, id LIMIT 200""")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.blast_radius(derived_edges(spark, sf_dir), _one(spark, "p:1"), 2)
+    return traversal.blast_radius(derived_edges(spark, sf_dir), _one(spark, "p:1"), 2).select("id", "hop")
+
+
+@query(f"""WITH {GRAPH_SQL}, r AS (SELECT id, hop FROM (SELECT src AS id, 1 AS hop FROM edges WHERE dst = 'p:1' UNION SELECT src, 1 FROM edges WHERE dst = 'p:1') ORDER BY id LIMIT 200)
+SELECT id, 'p:1' AS parent, min(confidence) AS confidence FROM r JOIN edges ON src = id AND dst = 'p:1' GROUP BY id""")
+def blast_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step by which each node of the nearest ring is reached."""
+    return traversal.blast_radius(derived_edges(spark, sf_dir), _one(spark, "p:1"), 1).select("id", "parent", "confidence")
 
 
 @query(f"""WITH {GRAPH_SQL}, calls AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'calls') SELECT id, concat(CASE WHEN id LIKE '%5' THEN '_' ELSE '' END, label) AS label, source_file FROM nodes
@@ -336,50 +352,69 @@ def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.unreachable_functions(n, e)
 
 
-_FILE_EDGES = "SELECT DISTINCT concat('m', l_partkey % 23) AS src, concat('m', (l_partkey + l_suppkey) % 19) AS dst FROM lineitem WHERE l_quantity > 48"
+_FILE_EDGES = "SELECT DISTINCT concat('m', l_partkey % 23) AS src, concat('m', (l_partkey + l_suppkey) % 19) AS dst FROM lineitem"
 
 
-@query(f"""WITH RECURSIVE e AS ({_FILE_EDGES}), walk(first, path, tip) AS (SELECT src, [src], dst FROM e WHERE dst >= src UNION ALL SELECT first, list_append(path, tip), e.dst FROM walk JOIN e ON e.src = tip WHERE tip > first AND NOT list_contains(path, tip) AND len(path) < 3 AND e.dst >= first)
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_FILE_EDGES}), walk(first, path, tip) AS (SELECT src, [src], dst FROM e WHERE dst >= src UNION ALL SELECT first, list_append(path, tip), e.dst FROM walk JOIN e ON e.src = tip WHERE tip > first AND NOT list_contains(path, tip) AND len(path) < 5 AND e.dst >= first)
 SELECT array_to_string(path, ' > ') AS cycle, CAST(len(path) AS INTEGER) AS length FROM walk WHERE tip = first""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return traversal.import_cycles(spark.sql(_FILE_EDGES), 3)
+    return traversal.import_cycles(spark.sql(_FILE_EDGES))
 
 
-@query()
-def import_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all rows, up to the operator's own length."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return traversal.import_cycles(spark.sql(_FILE_EDGES.split(" WHERE ")[0]))
+_KEPT_BOTH = "both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT src, dst FROM edges WHERE relation = 'located_in' AND src LIKE 'c:%'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-walk(id, root) AS (SELECT src, src FROM b UNION SELECT dst, root FROM walk JOIN b ON src = id) SELECT id, min(root) AS component FROM walk GROUP BY id""")
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_KEPT_BOTH}, comp(id, component) USING KEY (id) AS (SELECT DISTINCT src, src FROM both_ways UNION
+(SELECT m.id, m.component FROM (SELECT b.src AS id, min(c.component) AS component FROM comp c JOIN both_ways b ON b.dst = c.id GROUP BY b.src) m LEFT JOIN recurring.comp r ON r.id = m.id WHERE m.component < r.component)) SELECT id, component FROM comp""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(derived_edges(spark, sf_dir).where("relation = 'located_in' AND src LIKE 'c:%'"))
-
-
-@query()
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(derived_edges(spark, sf_dir))
 
 
-_RANKS = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS rank FROM n)"] + [
-    f"r{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM out_)) / (SELECT count(*) FROM n) + 0.85 * coalesce(got, 0) AS rank FROM n LEFT JOIN (SELECT b.dst AS id, sum(r.rank / o.total) AS got FROM b JOIN out_ o ON o.src = b.src JOIN r{i - 1} r ON r.id = b.src GROUP BY b.dst) g ON g.id = n.id)"
-    for i in range(1, 6)
-]
+def _rank_sql(stop: str, most: int = 100) -> str:
+    """Power iteration until ``stop`` says that the change, in all, is small."""
+    return f"""WITH RECURSIVE {GRAPH_SQL}, n AS MATERIALIZED (SELECT DISTINCT id FROM nodes), k AS MATERIALIZED (SELECT count(*) AS k FROM n), b AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst), out_ AS MATERIALIZED (SELECT src, count(*) AS total FROM b GROUP BY src),
+flow AS MATERIALIZED (SELECT b.src, b.dst, count(*) / o.total AS share FROM b JOIN out_ o ON o.src = b.src GROUP BY b.src, b.dst, o.total),
+r(id, rank, moved, round) AS (SELECT id, 1.0 / k, 1e9, 0 FROM n, k UNION ALL SELECT x.id, x.rank, sum(abs(x.rank - x.old)) OVER (), x.round + 1 FROM (
+SELECT n.id, 0.15 / k + 0.85 * coalesce((SELECT sum(rank) FROM r WHERE id NOT IN (SELECT src FROM out_)), 0) / k + 0.85 * coalesce(g.got, 0) AS rank, o.rank AS old, o.round FROM r o JOIN n ON n.id = o.id, k LEFT JOIN (SELECT f.dst, sum(r.rank * f.share) AS got FROM r JOIN flow f ON f.src = r.id GROUP BY f.dst) g ON g.dst = n.id WHERE o.moved >= {stop} AND o.round < {most}) x),
+ranks AS (SELECT id, rank FROM r WHERE round = (SELECT max(round) FROM r))"""
 
 
-@query(f"WITH {GRAPH_SQL}, n AS (SELECT id FROM nodes), b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst), out_ AS (SELECT src, count(*) AS total FROM b GROUP BY src), {', '.join(_RANKS)} SELECT id, round(rank, 12) AS rank FROM r5")
+@query(f"{_rank_sql('1e-6 * (SELECT k FROM k)')} SELECT id, round(rank, 12) AS rank FROM ranks")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To a mean change of 1e-6 a node."""
     n, e, _ = derived_graph(spark, sf_dir)
-    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), rounds=5).select("id", F.round("rank", 12).alias("rank"))
+    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 12).alias("rank"))
 
 
-@query()
+@query(f"{_rank_sql('1e-6')} SELECT id, round(rank, 10) AS rank FROM ranks")
 def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To a change of 1e-6 over all nodes together."""
     n, e, _ = derived_graph(spark, sf_dir)
-    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), rounds=100, tolerance=1e-6 / n.count())
+    return traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)), tolerance=1e-6 / n.count()).select("id", F.round("rank", 10).alias("rank"))
+
+
+@query(f"""{_rank_sql('1e-6 * (SELECT k FROM k)')}, {DEGREE_SQL} SELECT id, label, degree, round(rank, 12) AS rank FROM ranks JOIN nodes USING (id) JOIN deg USING (id)
+WHERE source_file LIKE '%.%' AND label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1) AND label NOT IN ({_NOISE}) ORDER BY rank DESC, id LIMIT 10""")
+def central_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e, _ = derived_graph(spark, sf_dir)
+    return analysis.god_nodes(n, e, ranks=traversal.pagerank(n, e.withColumn("weight", F.lit(1.0)))).withColumn("rank", F.round("rank", 12))
+
+
+_COSTS = f"""{GRAPH_SQL}, {_KEPT_BOTH}, {DEGREE_SQL}, step AS MATERIALIZED (SELECT b.src, b.dst, 1 + x.degree + y.degree AS w FROM both_ways b JOIN deg x ON x.id = b.src JOIN deg y ON y.id = b.dst),
+cost(id, cost) USING KEY (id) AS (SELECT 'c:1', CAST(0 AS HUGEINT) UNION (SELECT s.dst, min(c.cost + s.w) FROM cost c JOIN step s ON s.src = c.id LEFT JOIN recurring.cost r ON r.id = s.dst WHERE r.cost IS NULL OR c.cost + s.w < r.cost GROUP BY s.dst))"""
+
+
+@query(f"WITH RECURSIVE {_COSTS} SELECT id, CAST(cost AS BIGINT) AS cost FROM cost")
+def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.path_costs(neighbourhood(spark, sf_dir), "c:1")
+
+
+@query(f"""WITH RECURSIVE {_COSTS}, last AS MATERIALIZED (SELECT * FROM cost), back(id, cost, n) AS (SELECT id, cost, 0 FROM last WHERE id = 's:1' UNION ALL SELECT arg_min(l.id, l.id), arg_min(l.cost, l.id), any_value(b.n) + 1 FROM back b JOIN step s ON s.dst = b.id JOIN last l ON l.id = s.src AND l.cost + s.w = b.cost WHERE b.id <> 'c:1' GROUP BY b.id)
+SELECT CAST((SELECT max(n) FROM back) - n AS INTEGER) AS step, id FROM back""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = traversal.shortest_path(neighbourhood(spark, sf_dir), "c:1", "s:1")
+    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT direction, relation, id, label FROM (SELECT 'out' AS direction, relation, dst AS id FROM edges WHERE src = 'n:3' UNION ALL SELECT 'in', relation, src FROM edges WHERE dst = 'n:3') JOIN nodes USING (id)""")
@@ -394,12 +429,6 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.explain(e, n, "p:7").select("id", "direction", "relation", "label", "degree")
 
 
-@query()
-def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = traversal.shortest_path(derived_edges(spark, sf_dir), "c:1", "s:1", longest=6)
-    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
-
-
 @query()
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, _ = derived_graph(spark, sf_dir)
@@ -426,7 +455,11 @@ def graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_json.graphml_elements(n, e)
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, m AS (SELECT c.community, c.id, n.label, n.source_file, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY c.community ORDER BY coalesce(degree, 0) DESC, c.id) AS r FROM comm c JOIN nodes n USING (id) LEFT JOIN deg USING (id)),
+hub AS (SELECT community, regexp_replace(label, '\\(\\)$', '') AS label FROM m WHERE r = 1), size AS (SELECT community, count(*) AS n FROM comm GROUP BY 1), body AS (SELECT community, string_agg(concat('- **', label, '** (', degree, ' connections) `', source_file, '`'), chr(10) ORDER BY r) AS members FROM m WHERE r <= 25 GROUP BY 1),
+cross_ AS (SELECT x.community AS a, y.community AS b, count(*) AS n FROM edges JOIN comm x ON x.id = src JOIN comm y ON y.id = dst WHERE x.community <> y.community GROUP BY 1, 2), near AS (SELECT community, other, sum(n) AS n FROM (SELECT a AS community, b AS other, n FROM cross_ UNION ALL SELECT b, a, n FROM cross_) GROUP BY 1, 2),
+links AS (SELECT near.community, string_agg(concat('- [[', hub.label, ']] (', n, ')'), chr(10) ORDER BY n DESC, hub.label) AS links FROM near JOIN hub ON hub.community = other GROUP BY 1)
+SELECT community, hub.label AS title, concat('# ', hub.label, chr(10), chr(10), size.n, ' members', chr(10), chr(10), members, chr(10), chr(10), '## Links', chr(10), coalesce(links, 'none')) AS body FROM body JOIN hub USING (community) JOIN size USING (community) LEFT JOIN links USING (community)""")
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, c = derived_graph(spark, sf_dir)
     return graph_json.wiki_articles(n, e, c, analysis.hub_labels(n, e, c))
@@ -455,12 +488,13 @@ def concept_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.concept_anchor(bare, e)
 
 
-@query(f"WITH {GRAPH_SQL} SELECT concat('shop::', id) AS id, label, source_file, 'shop' AS repo, id AS local_id FROM nodes WHERE id LIKE 's:%' UNION ALL SELECT concat('other::', id), label, source_file, 'other', id FROM nodes WHERE id LIKE 'n:%'")
+@query(f"WITH {GRAPH_SQL} SELECT concat('shop::', id) AS id, label, source_file, 'shop' AS repo, id AS local_id FROM nodes UNION ALL SELECT concat('other::', id), upper(label), source_file, 'other', id FROM nodes WHERE id NOT LIKE 'o:%'")
 def global_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository is added, another one, and the first again in place of what it had."""
     n = derived_nodes(spark, sf_dir)
     none = n.limit(0).select("id", "label", "source_file", F.lit("").alias("repo"), F.col("id").alias("local_id"))
-    total = graph.add_to_global(none, n.where("id LIKE 'r:%'"), "shop")
-    return graph.add_to_global(graph.add_to_global(total, n.where("id LIKE 'n:%'"), "other"), n.where("id LIKE 's:%'"), "shop")
+    total = graph.add_to_global(none, n.withColumn("label", F.lit("old")), "shop")
+    return graph.add_to_global(graph.add_to_global(total, n.where("id NOT LIKE 'o:%'").withColumn("label", F.upper("label")), "other"), n, "shop")
 
 
 @query(f"WITH {GRAPH_SQL}, n AS (SELECT o_orderkey % 9 AS seed, count(*) FILTER (o_orderkey % 9 >= 3 AND (o_orderkey % 9 > 5 OR o_orderkey < 40)) AS n FROM orders GROUP BY 1) SELECT CAST(seed AS BIGINT) AS seed, n, CASE WHEN n = 0 THEN 'isolated' WHEN n <= 5 THEN 'contained' ELSE 'high' END AS risk FROM n")
@@ -482,7 +516,9 @@ def keyword_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.keyword_archetypes(docs, {"en": ("the", "that"), "fr": ("les",)})
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL}, {DEGREE_SQL}, {COMMUNITY_SQL}, gods AS (SELECT n.id FROM nodes n JOIN deg USING (id) WHERE source_file LIKE '%.%' AND label <> string_split(source_file, '/')[-1] AND label NOT LIKE '.%()' AND NOT (label LIKE '%()' AND degree <= 1) AND label NOT IN ({_NOISE}) ORDER BY degree DESC, n.id LIMIT 10),
+h AS (SELECT c.community, n.id, left(trim(trim(label), '()'), 60) AS name, CASE WHEN n.id IN (SELECT id FROM gods) THEN 0 ELSE 1 END AS god FROM comm c JOIN nodes n USING (id)), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community, lower(name) ORDER BY god, id) AS k FROM h WHERE name <> '') WHERE k = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY god, id) AS r FROM once) SELECT community, string_agg(name, ', ' ORDER BY r) AS names FROM r WHERE r <= 12 GROUP BY community""")
 def community_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, c = derived_graph(spark, sf_dir)
     return analysis.community_samples(n, c, analysis.god_nodes(n, e))

@@ -45,6 +45,15 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Writes ``df`` in buckets by ``keys``: joins and aggregations on these read it without a shuffle, however often."""
+    spark = df.sparkSession
+    path, n = fresh_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"loomgraph_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes intermediate results that no later plan reads."""
     for path in paths:

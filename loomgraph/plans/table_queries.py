@@ -106,7 +106,7 @@ def manifest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.file_changes(once(old), once(new))
 
 
-@query()
+@query("""WITH k AS (SELECT concat('site/page', page_id, '.html') AS source_file, len(regexp_extract_all(html, '<\\w+[^>]*\\sid=["'']([^"'']+)["'']')) AS ids FROM pages) SELECT source_file, 'node' AS kind, 1 + ids AS n FROM k UNION ALL SELECT source_file, 'edge', ids FROM k WHERE ids > 0""")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select(F.concat(F.lit("site/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     return extractors.extract(pages).groupBy("source_file", "kind").agg(F.count("*").alias("n"))
@@ -165,7 +165,8 @@ def find_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_tiers(derived_nodes(spark, sf_dir), "Supplier#000000001")
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL}, {_CORPUS}, w AS (SELECT unnest(tokens) AS word FROM corp UNION SELECT concat(t[i], t[i + 1]) FROM base, generate_series(1, 20) s(i) WHERE i < len(t) UNION SELECT concat(t[i], t[i + 1], t[i + 2]) FROM base, generate_series(1, 20) s(i) WHERE i + 1 < len(t))
+SELECT word, CAST(damerau_levenshtein(word, 'suplier') AS INTEGER) AS distance FROM w WHERE damerau_levenshtein(word, 'suplier') <= 2 ORDER BY 2, 1 LIMIT 1""")
 def typo_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = search.vocabulary(search.corpus(derived_nodes(spark, sf_dir), text.ascii_tokens(F.col("label"))))
     return search.correct("suplier", words)
@@ -264,8 +265,8 @@ def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = derived_nodes(spark, sf_dir)
-    return n, spark.sql(_CHANGED)
+    _read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return derived_nodes(spark, sf_dir), spark.sql(_CHANGED)
 
 
 @query(f"""WITH {GRAPH_SQL}, {_HITS}, h AS (SELECT DISTINCT pr, source_file FROM m), c AS (SELECT pr, string_agg(CAST(community AS VARCHAR), ',' ORDER BY community) AS communities FROM (SELECT DISTINCT pr, community FROM h JOIN nodes USING (source_file) WHERE community IS NOT NULL) GROUP BY pr)
@@ -279,7 +280,7 @@ def pr_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.pr_conflicts(*_changed(spark, sf_dir))
 
 
-_VALUES = "SELECT concat('unit', l_suppkey % 7, '.v', l_partkey % 61) AS value, concat('n', l_orderkey % 40) AS node_id, concat('f', l_orderkey % 40, '.yaml') AS source_file FROM lineitem WHERE l_quantity > 49"
+_VALUES = "SELECT concat('unit', l_suppkey, '.v', l_partkey) AS value, concat('n', l_orderkey) AS node_id, concat('f', l_orderkey, '.yaml') AS source_file FROM lineitem"
 
 
 @query(f"""WITH v AS (SELECT value, source_file, min(node_id) AS id FROM ({_VALUES}) GROUP BY 1, 2), k AS (SELECT value FROM v GROUP BY value HAVING count(*) BETWEEN 2 AND 5)
@@ -289,15 +290,8 @@ def shared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.shared_values(spark.sql(_VALUES))
 
 
-@query()
-def shared_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all rows; values and files grow with them."""
-    _read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return resolve.shared_values(spark.sql("SELECT concat('unit', l_suppkey, '.v', l_partkey) AS value, concat('n', l_orderkey) AS node_id, concat('f', l_orderkey, '.yaml') AS source_file FROM lineitem"))
-
-
 _RELATIONS = "SELECT DISTINCT concat('o', l_orderkey) AS src, concat('d', l_orderkey % 10) AS document, concat('sym', l_partkey % 400) AS symbol FROM lineitem"
-_SYMBOLS = "SELECT concat('S', p_partkey) AS id, concat('d', p_partkey % 10) AS document, concat('sym', p_partkey * 7 % 350) AS symbol FROM part WHERE p_partkey <= 600"
+_SYMBOLS = "SELECT concat('S', p_partkey) AS id, concat('d', p_partkey % 10) AS document, concat('sym', p_partkey * 7 % 350) AS symbol FROM part"
 
 
 @query(f"""WITH r AS ({_RELATIONS}), s AS ({_SYMBOLS}), l AS (SELECT document, symbol, min(id) AS local FROM s GROUP BY 1, 2), u AS (SELECT symbol, min(id) AS alone FROM s GROUP BY 1 HAVING count(*) = 1)
@@ -308,14 +302,6 @@ def scip_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.scip_relations(spark.sql(_RELATIONS), spark.sql(_SYMBOLS))
 
 
-@query()
-def scip_relations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the symbols of all parts."""
-    for name in ("lineitem", "part"):
-        _read(spark, sf_dir, name).createOrReplaceTempView(name)
-    return resolve.scip_relations(spark.sql(_RELATIONS), spark.sql(_SYMBOLS.split(" WHERE ")[0]))
-
-
 @query(f"WITH {GRAPH_SQL}, own AS (SELECT lower(label) AS low, min(id) AS new FROM nodes WHERE id NOT LIKE 'p:%' GROUP BY 1), ext AS (SELECT id AS old, lower(CASE WHEN id LIKE 'p:%1' THEN concat('supplier#', lpad(substr(id, 3), 9, '0')) ELSE label END) AS low FROM nodes WHERE id LIKE 'p:%') SELECT old, new FROM ext JOIN own USING (low)")
 def merge_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived_nodes(spark, sf_dir)
@@ -336,13 +322,19 @@ def turns_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.within_budget(lines, 100).select(F.col("group").alias("conv_id"), F.col("place").alias("turn"), "used")
 
 
-@query()
+@query("""WITH RECURSIVE u AS MATERIALIZED (SELECT source AS folder, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CAST(floor(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+w(folder, k, path, used, chunk) AS (SELECT folder, k, path, tokens, CAST(0 AS BIGINT) FROM u WHERE k = 1 UNION ALL SELECT u.folder, u.k, u.path, CASE WHEN used > 0 AND used + u.tokens > 60000 THEN u.tokens ELSE used + u.tokens END, chunk + CASE WHEN used > 0 AND used + u.tokens > 60000 THEN 1 ELSE 0 END FROM w JOIN u ON u.folder = w.folder AND u.k = w.k + 1)
+SELECT folder, path, chunk FROM w""")
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.floor(F.length("text") / 4).alias("tokens"))
     return file_ops.pack_chunks(docs)
 
 
-@query()
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+w(path, start, "end", index) AS (SELECT path, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM d UNION ALL SELECT path, pos, CASE WHEN stop = n THEN n WHEN h > 0 THEN pos + 2000 + (length(v) - h - 1) + 1 WHEN b > 0 THEN pos + 2000 + (length(v) - b - 1) + 2 WHEN l > 0 THEN pos + 2000 + (length(v) - l) + 1 ELSE stop END, index + 1 FROM (
+SELECT *, strpos(reverse(v), '#' || chr(10)) AS h, strpos(reverse(v), chr(10) || chr(10)) AS b, strpos(reverse(v), chr(10)) AS l FROM (
+SELECT w.path, w."end" AS pos, d.n, least(d.n, w."end" + 4000) AS stop, substr(d.text, w."end" + 2001, least(d.n, w."end" + 4000) - w."end" - 2000) AS v, index FROM w JOIN d USING (path) WHERE w."end" < d.n OR index = -1)))
+SELECT path, start, "end", index FROM w WHERE index >= 0""")
 def document_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_ops.slices(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), 4000)
 
@@ -359,10 +351,11 @@ def exact_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.exact_merges(spark.sql(_ENTITIES))
 
 
-@query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(jaro_winkler_similarity(a.s_name, b.s_name), 9) AS winkler, round(jaro_similarity(a.s_name, b.s_name), 9) AS jaro, damerau_levenshtein(a.s_name, b.s_name) AS edits FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 9) AS winkler, round(jaro_similarity(a.p_name, b.p_name), 9) AS jaro, damerau_levenshtein(a.p_name, b.p_name) AS edits FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name")
-    pairs = s.toDF("k", "a", "x").join(s.toDF("k", "b", "y"), "k").where("a < b")
+    """Each name against its successor's."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    pairs = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), (F.col("p_partkey") + 1).alias("b")).join(p.toDF("b", "y"), "b")
     return pairs.select("a", "b", F.round(text.jaro_winkler_similarity("x", "y"), 9).alias("winkler"), F.round(text.jaro_similarity("x", "y"), 9).alias("jaro"), text.damerau_distance("x", "y").cast("long").alias("edits"))
 
 

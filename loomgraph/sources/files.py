@@ -113,9 +113,9 @@ def pack_chunks(units: DataFrame, budget: int = 60_000) -> DataFrame:
     return units.groupBy("folder").applyInPandas(run, "folder string, path string, chunk long")
 
 
-def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """``(question, outcome, date, correction, source_nodes)`` of Markdown records with front matter."""
-    raw = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"\A---\n"))
+def parse_memories(raw: DataFrame) -> DataFrame:
+    """``(question, outcome, date, correction, source_nodes)`` of Markdown records ``(value)`` with front matter; others are skipped."""
+    raw = raw.where(F.col("value").rlike(r"\A---\n"))
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---", 1)
     get = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1), r'^"|"$', "")), F.lit(""))
     listed = F.regexp_extract(front, r"(?m)^source_nodes:[ \t]*\[(.*)\]", 1)
@@ -123,12 +123,37 @@ def read_memories(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(get("question").alias("question"), get("outcome").alias("outcome"), F.try_to_timestamp(get("date")).alias("date"), get("correction").alias("correction"), nodes.alias("source_nodes"))
 
 
+def read_memories(spark: SparkSession, path: str) -> DataFrame:
+    """The records below a folder, a file each."""
+    return parse_memories(spark.read.text(path, wholetext=True))
+
+
+def memory_text() -> Column:
+    """A record's Markdown, from the columns ``question, outcome, date, correction, source_nodes, answer``."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.regexp_replace(c, r"[\r\n]+", " "), F.lit('"'), F.lit("'")), F.lit('"'))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("source_nodes", quoted), ", "), F.lit("]"))
+    line = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v))
+    front = F.concat_ws("\n", line("type", F.lit("query")), line("date", quoted(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))), line("question", quoted(F.col("question"))), line("outcome", quoted(F.col("outcome"))), line("correction", quoted(F.col("correction"))), line("source_nodes", listed))
+    return F.concat(F.lit("---\n"), front, F.lit("\n---\n\n# Q: "), "question", F.lit("\n\n"), F.coalesce("answer", F.lit("")), F.lit("\n"))
+
+
+def save_memory(spark: SparkSession, path: str, question: str, answer: str, source_nodes: list[str], outcome: str | None = None, correction: str | None = None) -> None:
+    """Adds one record below a folder."""
+    row = spark.createDataFrame([(question, outcome, correction, source_nodes, answer)], "question string, outcome string, correction string, source_nodes array<string>, answer string").withColumn("date", F.current_timestamp())
+    row.select(memory_text().alias("value")).coalesce(1).write.mode("append").text(path)
+
+
 def log_query(spark: SparkSession, path: str, kind: str, question: str, nodes_returned: int, duration_ms: float) -> None:
     """Appends one record to the query log."""
     row = spark.range(1).select(F.current_timestamp().alias("ts"), F.lit(kind).alias("kind"), F.lit(question).alias("question"), F.lit(nodes_returned).alias("nodes_returned"), F.lit(duration_ms).alias("duration_ms"))
     row.coalesce(1).write.mode("append").json(path)
 
 
+def first_object(value: Column) -> Column:
+    """``parse_model_json`` of a column."""
+    return F.pandas_udf(lambda s: s.fillna("").map(parse_model_json), T.StringType())(value)
+
+
 def parse_model_json(value: str) -> str | None:
     """The first balanced object of a model's answer, without code fences; null if there is none that parses."""
     import json

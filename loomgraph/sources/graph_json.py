@@ -40,6 +40,26 @@ def graph_document(nodes: DataFrame, edges: DataFrame, directed: bool = False) -
     return n.crossJoin(e).select(F.to_json(F.struct(F.lit(directed).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "links")).alias("value"))
 
 
+def write_lines(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Node-link records as JSON lines, ``nodes`` and ``links`` below ``path``: graphs of any size, a part a task."""
+    nodes.select("id", "label", "file_type", "source_file", "source_location", F.col("community").cast("string").alias("community"), F.lower("label").alias("norm_label")).write.json(f"{path}/nodes")
+    edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "confidence", F.coalesce("confidence_score", default_score(F.col("confidence"))).alias("confidence_score")).write.json(f"{path}/links")
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``write_lines`` wrote, as ``read_graph`` gives it (no hyperedges)."""
+    one = lambda t: T.StructType(t.elementType.fields)
+    n = spark.read.schema(one(_NODE)).json(f"{path}/nodes")
+    nodes = n.select("id", F.coalesce("label", "id").alias("label"), "file_type", F.coalesce("source_file", "source").alias("source_file"), "source_location", F.col("community").try_cast("int").alias("community"))
+    e = spark.read.schema(one(_EDGE)).json(f"{path}/links")
+    edges = e.select(F.coalesce("source", "from").alias("src"), F.coalesce("target", "to").alias("dst"), "relation", F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence"), "source_file", "context", F.coalesce(F.col("weight").try_cast("double"), F.lit(1.0)).alias("weight"), F.col("confidence_score").try_cast("double").alias("confidence_score"))
+    return nodes, edges, spark.createDataFrame([], "id string, label string, relation string, nodes array<string>")
+
+
+#: Bytes of a node-link document that is read or written in one piece.
+MOST_DOCUMENT = 512 << 20
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = False) -> None:
     """Writes the document; refuses to replace a graph by a smaller one unless forced."""
     if not force:

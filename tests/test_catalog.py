@@ -58,7 +58,7 @@ def test_components_of_the_whole_graph(spark):
     for e in derived.edges(spark, SF).select("src", "dst").collect():
         a, b = sorted((root(e["src"]), root(e["dst"])))
         above[b] = a
-    assert dict(_rows(spark, "connected_components_all")) == {i: root(i) for i in list(above)}
+    assert dict(_rows(spark, "connected_components")) == {i: root(i) for i in list(above)}
 
 
 def test_cycles_of_all_rows(spark):
@@ -76,7 +76,7 @@ def test_cycles_of_all_rows(spark):
 
     for first in near:
         walk([first])
-    got = [r["cycle"] for r in _rows(spark, "import_cycles_all")]
+    got = [r["cycle"] for r in _rows(spark, "import_cycles")]
     assert len(got) == len(want) and set(got) == want and max(c.count(">") for c in got) == 4
 
 
@@ -86,7 +86,7 @@ def test_values_and_symbols_of_all_rows(spark):
     for o, p, s in lines:
         held.setdefault(f"unit{s}.v{p}", set()).add(o)
     want = sorted((f"n{a}", f"n{b}", f"shares_value:{v}") for v, os in held.items() if 2 <= len(os) <= 5 for a in os for b in os if f"f{a}.yaml" < f"f{b}.yaml")
-    assert sorted(map(tuple, _rows(spark, "shared_values_all"))) == want
+    assert sorted(map(tuple, _rows(spark, "shared_values"))) == want
     local, everywhere = {}, {}
     for (p,) in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect():
         local.setdefault((p % 10, p * 7 % 350), []).append(f"S{p}")
@@ -95,7 +95,7 @@ def test_values_and_symbols_of_all_rows(spark):
     for o, d, s in {(o, o % 10, p % 400) for o, p, _ in lines}:
         here, all_ = local.get((d, s)), everywhere.get(s, [])
         want.add((f"o{o}", f"d{d}", f"sym{s}", min(here) if here else all_[0] if len(all_) == 1 else f"stub:sym{s}"))
-    assert sorted((r["src"], r["target"]) for r in _rows(spark, "scip_relations_all")) == sorted((a, t) for a, _, _, t in want)
+    assert sorted((r["src"], r["target"]) for r in _rows(spark, "scip_relations")) == sorted((a, t) for a, _, _, t in want)
 
 
 def test_pagerank_is_converged(spark):
