@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import graph_queries, rule_queries, table_queries  # noqa: F401  they register their queries
+from loomgraph.plans import extract_queries, graph_queries, rule_queries, table_queries  # noqa: F401  they register their queries
 from loomgraph.plans.registry import Query, query
 
 

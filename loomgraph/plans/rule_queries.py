@@ -338,3 +338,42 @@ def contested_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("event_type") == "click", "useful").when(F.col("event_type") == "error", "dead_end").otherwise("seen")
     docs = e.select(outcome.alias("outcome"), F.col("ts").cast("timestamp").alias("date"), F.array(F.concat(F.lit("u:"), F.col("user_id").cast("string"))).alias("source_nodes"))
     return feedback.verdicts(feedback.node_scores(docs, F.to_timestamp(F.lit("2024-03-01")))).where("status = 'contested'").select("node")
+
+
+# Names across files.
+
+
+@query("""SELECT concat('src/a', p_partkey, '.ts') AS file, './b' || p_partkey AS spec, CASE WHEN p_partkey % 3 = 0 THEN concat('src/b', p_partkey, '.ts') ELSE concat('src/b', p_partkey, '/index.ts') END AS target FROM part WHERE p_partkey % 3 <> 2
+UNION ALL SELECT concat('src/a', p_partkey, '.ts'), '@/c' || p_partkey, concat('lib/c', p_partkey, '.js') FROM part""")
+def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative and aliased imports by the first ending that exists; some files are missing."""
+    key, p = F.col("p_partkey").cast("string"), _read(spark, sf_dir, "part")
+    file = F.concat(F.lit("src/a"), key, F.lit(".ts")).alias("file")
+    imports = p.select(file, F.concat(F.lit("./b"), key).alias("spec")).union(p.select(file, F.concat(F.lit("@/c"), key)))
+    own = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("src/b"), key, F.lit(".ts"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("src/b"), key, F.lit("/index.ts")))
+    known = p.select(own.alias("path")).where("path IS NOT NULL").union(p.select(F.concat(F.lit("lib/c"), key, F.lit(".js"))))
+    return resolve.import_targets(imports, known, {"@/": "lib"})
+
+
+@query("""WITH d AS (SELECT concat('N', p_partkey % 3) AS namespace, concat('T', p_partkey % 101) AS name, min(concat('d', p_partkey)) AS id FROM part GROUP BY 1, 2), u AS (SELECT concat('u', p_partkey) AS src, concat('F', p_partkey % 10) AS file, concat('T', p_partkey % 120) AS name FROM part),
+s AS (SELECT DISTINCT concat('F', f) AS file, concat('N', (f + i) % 3) AS namespace FROM generate_series(0, 9) a(f), generate_series(0, 1) b(i) WHERE f % 2 = 1 OR i = 0), h AS (SELECT src, u.name, count(DISTINCT id) AS n, min(id) AS id FROM u JOIN s USING (file) JOIN d ON d.namespace = s.namespace AND d.name = u.name GROUP BY 1, 2)
+SELECT DISTINCT u.src, u.name, CASE WHEN n = 1 THEN id ELSE concat('stub:', u.name) END AS dst FROM u LEFT JOIN h ON h.src = u.src AND h.name = u.name""")
+def types_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type's one definition in the namespaces that a file sees; with none or several a stub."""
+    p, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    text_of = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    definitions = p.select(text_of("d", k).alias("id"), text_of("N", k % 3).alias("namespace"), text_of("T", k % 101).alias("name"))
+    uses = p.select(text_of("u", k).alias("src"), text_of("F", k % 10).alias("file"), text_of("T", k % 120).alias("name"))
+    f = spark.range(10).select(F.col("id").alias("f"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).where("f % 2 = 1 OR i = 0")
+    scopes = f.select(text_of("F", F.col("f")).alias("file"), text_of("N", (F.col("f") + F.col("i")) % 3).alias("namespace"))
+    return resolve.types_in_scope(uses, scopes, definitions)
+
+
+@query("""SELECT concat('f', p_partkey) AS src, concat('class', p_partkey) AS dst FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0 UNION ALL SELECT concat('f', p_partkey), concat('m', p_partkey) FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 5 <> 0""")
+def member_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``Name.new`` and methods of a receiver whose type is known; every fifth class has a namesake, so nothing is told of it."""
+    p, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    t = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    classes = p.select(t("class").alias("id"), t("C").alias("name")).union(p.where(k % 5 == 0).select(t("twin"), t("C")))
+    calls = p.select(t("f").alias("caller"), t("C").alias("receiver"), t("C").alias("receiver_type"), F.when(k % 2 == 0, "new").otherwise("run").alias("method"))
+    return resolve.member_calls(calls, classes, p.select(t("m").alias("id"), t("class").alias("class_id"), F.lit("run").alias("name")))

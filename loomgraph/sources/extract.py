@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import plain_id
 
-NODE, EDGE, CALL = "node", "edge", "call"
+NODE, EDGE, CALL, VALUE = "node", "edge", "call", "value"
 SCHEMA = "kind string, id string, label string, file_type string, src string, dst string, relation string, source_file string, source_location string"
 Extractor = Callable[[str, str], Iterator[tuple]]
 _BY_SUFFIX: dict[str, Extractor] = {}
@@ -55,9 +55,13 @@ def _link(path: str, src: str, dst: str, relation: str, line: str) -> tuple:
     return (EDGE, None, None, None, src, dst, relation, path, line)
 
 
-@register(".py", ".pyw")
+#: Marks of comments that say why.
+_NOTE = re.compile(r"#\s*(NOTE|WHY|HACK|IMPORTANT|RATIONALE|TODO|FIXME):?\s*(.+)")
+
+
+@register(".py", ".pyw", ".pyi")
 def python(path: str, text: str) -> Iterator[tuple]:
-    """Classes, functions, methods, imports, calls by name, references passed as arguments, docstrings."""
+    """Classes, functions, methods (nested ones too), imports, calls by name, functions named as values, docstrings and notes."""
     tree, me = ast.parse(text), file_id(path)
 
     def why(node: ast.AST, owner: str) -> Iterator[tuple]:
@@ -67,37 +71,84 @@ def python(path: str, text: str) -> Iterator[tuple]:
             yield (NODE, own, doc.split("\n\n")[0][:80], "rationale", None, None, None, path, f"L{getattr(node, 'lineno', 1)}")
             yield _link(path, own, owner, "rationale_for", f"L{getattr(node, 'lineno', 1)}")
 
-    def walk(body: list[ast.stmt], owner: str, in_class: bool) -> Iterator[tuple]:
+    scopes: list[tuple[int, int, str]] = []
+
+    def own_nodes(body: list[ast.AST]) -> Iterator[ast.AST]:
+        """All below, but not what belongs to a class or function within."""
         for x in body:
+            yield x
+            if not isinstance(x, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                yield from own_nodes(list(ast.iter_child_nodes(x)))
+            else:
+                yield from own_nodes(list(x.decorator_list))
+
+    def uses(body: list[ast.stmt], owner: str, bound: set[str]) -> Iterator[tuple]:
+        """Calls by name, and names that stand as values where a function may be meant: arguments, values of collections, assignments, results, attributes by name."""
+
+        def named(value: ast.AST | None) -> Iterator[tuple]:
+            if isinstance(value, ast.Name) and value.id not in bound:
+                yield (CALL, None, value.id, None, owner, None, "indirect_call", path, f"L{value.lineno}")
+
+        for n in own_nodes(body):
+            if isinstance(n, ast.Call):
+                f = n.func
+                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                if name and name not in bound:
+                    yield (CALL, None, name, None, owner, None, "calls", path, f"L{n.lineno}")
+                if name == "getattr" and len(n.args) > 1 and isinstance(n.args[1], ast.Constant) and isinstance(n.args[1].value, str):
+                    yield (CALL, None, n.args[1].value, None, owner, None, "indirect_call", path, f"L{n.lineno}")
+                for a in (*n.args, *(k.value for k in n.keywords)):
+                    yield from named(a)
+            elif isinstance(n, ast.Dict):
+                for v in n.values:
+                    yield from named(v)
+            elif isinstance(n, (ast.List, ast.Tuple, ast.Set)) and isinstance(getattr(n, "ctx", ast.Load()), ast.Load):
+                for v in n.elts:
+                    yield from named(v)
+            elif isinstance(n, (ast.Assign, ast.Return)):
+                yield from named(n.value)
+
+    def assigned(body: list[ast.stmt]) -> set[str]:
+        return {n.id for n in own_nodes(body) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+
+    def walk(body: list[ast.stmt], owner: str, in_class: bool, bound: set[str]) -> Iterator[tuple]:
+        for x in own_nodes(body):
             if isinstance(x, ast.ClassDef):
                 yield from _child(path, x.name, f"L{x.lineno}", owner)
                 own = plain_id(f"{owner}_{x.name}")
+                scopes.append((x.lineno, x.end_lineno or x.lineno, own))
                 yield from why(x, own)
                 for base in x.bases:
                     if isinstance(base, (ast.Name, ast.Attribute)):
                         yield (CALL, None, ast.unparse(base), None, own, None, "inherits", path, f"L{x.lineno}")
-                yield from walk(x.body, own, True)
+                yield from walk(x.body, own, True, bound)
             elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 yield from _child(path, x.name, f"L{x.lineno}", owner, "method" if in_class else "contains", label=f".{x.name}()" if in_class else f"{x.name}()")
                 own = plain_id(f"{owner}_{x.name}")
+                scopes.append((x.lineno, x.end_lineno or x.lineno, own))
                 yield from why(x, own)
-                local = {a.arg for a in (*x.args.args, *x.args.kwonlyargs, *x.args.posonlyargs)}
-                for call in (n for n in ast.walk(x) if isinstance(n, ast.Call)):
-                    f = call.func
-                    name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                    if name:
-                        yield (CALL, None, name, None, own, None, "calls", path, f"L{call.lineno}")
-                    for arg in (*call.args, *(k.value for k in call.keywords)):
-                        if isinstance(arg, ast.Name) and arg.id not in local:
-                            yield (CALL, None, arg.id, None, own, None, "indirect_call", path, f"L{arg.lineno}")
+                a = x.args
+                local = bound | {v.arg for v in (*a.args, *a.kwonlyargs, *a.posonlyargs, *filter(None, (a.vararg, a.kwarg)))} | assigned(x.body)
+                yield from uses(x.body, own, local)
+                yield from walk(x.body, own, False, local)
             elif isinstance(x, ast.Import):
                 for name in x.names:
                     yield _link(path, me, plain_id(name.name), "imports", f"L{x.lineno}")
             elif isinstance(x, ast.ImportFrom):
-                yield _link(path, me, plain_id("." * 0 + (x.module or "")), "imports_from", f"L{x.lineno}")
+                folder = path.split("/")[: -x.level] if x.level else []
+                module = [x.module.replace(".", "/")] if x.module else []
+                for to in ["/".join(folder + module)] if module or not x.level else ["/".join([*folder, n.name]) for n in x.names]:
+                    yield _link(path, me, plain_id(to), "imports_from", f"L{x.lineno}")
 
     yield from why(tree, me)
-    yield from walk(tree.body, me, False)
+    yield from walk(tree.body, me, False, set())
+    yield from uses(tree.body, me, assigned(tree.body))
+    for number, line in enumerate(text.split("\n"), 1):
+        if (m := _NOTE.search(line)) and len(m[2]) >= 20:
+            owner = max(((a, own) for a, b, own in scopes if a <= number <= b), default=(0, me))[1]
+            own = f"{owner}_rationale_{number}"
+            yield (NODE, own, m[2].strip()[:80], "rationale", None, None, None, path, f"L{number}")
+            yield _link(path, own, owner, "rationale_for", f"L{number}")
 
 
 def by_patterns(*patterns: tuple[str, str, str], imports: str | None = None) -> Extractor:
@@ -116,31 +167,12 @@ def by_patterns(*patterns: tuple[str, str, str], imports: str | None = None) ->
     return run
 
 
-_NAME = r"([A-Za-z_$][\w$]*)"
-register(".js", ".jsx", ".mjs", ".ts", ".tsx", ".vue", ".svelte")(by_patterns((rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}", "{}", "contains"), (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}", "{}()", "contains"), (rf"^\s*(?:export\s+)?(?:const|let)\s+{_NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "{}()", "contains"), (rf"^\s*(?:export\s+)?(?:interface|enum)\s+{_NAME}", "{}", "contains"), imports=r"""^\s*(?:import|export)\b[^'"\n]*['"]([^'"]+)['"]|require\(['"]([^'"]+)['"]\)"""))
-register(".go")(by_patterns((rf"^func\s+(?:\([^)]*\)\s*)?{_NAME}", "{}()", "contains"), (rf"^type\s+{_NAME}\s+(?:struct|interface)", "{}", "contains"), imports=r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"\s]+)"\s*$'))
-register(".rs")(by_patterns((rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_NAME}", "{}()", "contains"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+{_NAME}", "{}", "contains"), imports=r"^\s*(?:pub\s+)?use\s+([\w:]+)"))
-register(".java", ".kt", ".scala", ".cs")(by_patterns((rf"^\s*(?:[\w@]+\s+)*?(?:class|interface|enum|record|object|trait)\s+{_NAME}", "{}", "contains"), (rf"^\s+(?:(?:public|private|protected|internal|static|final|override|async|virtual)\s+)+[\w<>\[\],? ]+\s+{_NAME}\s*\(", ".{}()", "contains"), (rf"^\s*(?:override\s+)?fun\s+{_NAME}", "{}()", "contains"), imports=r"^\s*(?:import|using)\s+(?:static\s+)?([\w.]+)"))
-register(".c", ".h", ".cpp", ".cc", ".hpp")(by_patterns((rf"^(?:[A-Za-z_][\w<>:*&]*\s+)+\*?{_NAME}\s*\([^;]*\)\s*(?:const)?\s*\{{", "{}()", "contains"), (rf"^\s*(?:struct|class|enum|union)\s+{_NAME}\s*[:{{]", "{}", "contains"), imports=r'^\s*#\s*include\s+[<"]([^>"]+)[>"]'))
-register(".rb")(by_patterns((rf"^\s*(?:class|module)\s+{_NAME}", "{}", "contains"), (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", "{}()", "contains"), imports=r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]"))
-register(".php")(by_patterns((rf"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+{_NAME}", "{}", "contains"), (rf"^\s*(?:(?:public|private|protected|static)\s+)*function\s+{_NAME}", "{}()", "contains"), imports=r"^use\s+([\w\\]+)"))
-register(".swift")(by_patterns((rf"^\s*(?:\w+\s+)*?(?:class|struct|enum|protocol|extension)\s+{_NAME}", "{}", "contains"), (rf"^\s*(?:\w+\s+)*?func\s+{_NAME}", "{}()", "contains"), imports=r"^import\s+(\w+)"))
-register(".lua", ".jl", ".sh", ".fish", ".zig", ".dart")(by_patterns((r"^\s*(?:pub\s+|local\s+)?(?:function|fn)\s+([\w.:]+)", "{}()", "contains"), (r"^([A-Za-z_]\w*)\s*\(\)\s*\{", "{}()", "contains"), (rf"^\s*(?:class|struct)\s+{_NAME}", "{}", "contains"), imports=r"^\s*(?:source|\.|import)\s+['\"]?([\w./]+)"))
-register(".ex", ".exs")(by_patterns((r"^\s*defmodule\s+([\w.]+)", "{}", "contains"), (r"^\s*defp?\s+(\w+[?!]?)", "{}()", "contains"), imports=r"^\s*(?:alias|import|use|require)\s+([\w.]+)"))
-register(".cls", ".trigger")(by_patterns((rf"^\s*(?:\w+\s+)*?(?:class|interface|enum)\s+{_NAME}", "{}", "contains"), (rf"^\s*trigger\s+{_NAME}", "{}", "contains"), (rf"^\s+(?:(?:public|private|global|protected|static)\s+)+[\w<>,]+\s+{_NAME}\s*\(", ".{}()", "contains")))
-register(".feature")(by_patterns((r"^\s*Feature:\s*(.+?)\s*$", "{}", "contains"), (r"^\s*Scenario(?: Outline)?:\s*(.+?)\s*$", "{}", "contains")))
-register(".css", ".scss")(by_patterns((r"^\s*([.#@][\w-]+[^{;\n]*?)\s*\{", "{}", "contains"), imports=r"""@(?:import|use)\s+['"]([^'"]+)['"]"""))
-register(".html")(by_patterns((r"""<\w+[^>]*\sid=["']([^"']+)["']""", "#{}", "contains")))
-register(".blade.php")(by_patterns((r"@include\(['\"]([^'\"]+)['\"]", "{}", "includes"), (r"<x-([\w.-]+)", "{}", "uses_component")))
-register(".razor")(by_patterns((r"<([A-Z]\w+)", "{}", "uses_component"), (rf"^\s*(?:private|public|protected)\s+[\w<>]+\s+{_NAME}\s*\(", ".{}()", "contains")))
-register(".robot")(by_patterns((r"^(?!\*|\s|#)(\S.*?)\s*$", "{}", "contains"), imports=r"^(?:Resource|Library)\s{2,}(\S+)"))
+register(".html", ".htm")(by_patterns((r"""<\w+[^>]*\sid=["']([^"']+)["']""", "#{}", "contains")))
 register(".sql")(by_patterns((r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)", "{}", "contains"), imports=r"(?i)\breferences\s+([\w.\"]+)"))
-register(".tf")(by_patterns((r'^\s*(?:resource|data)\s+"\w+"\s+"(\w+)"', "{}", "contains"), (r'^\s*(?:module|variable|output)\s+"(\w+)"', "{}", "contains")))
-register(".md", ".mdx")(by_patterns((r"^#{1,6}\s+(.+?)\s*$", "{}", "contains"), imports=r"\]\(([^)\s#]+\.md)"))
-register(".yaml", ".yml")(by_patterns((r"^([A-Za-z_][\w.-]*):", "{}", "contains"), (r"^kind:\s*(\w+)", "{}", "contains")))
+register(".md", ".mdx", ".qmd")(by_patterns((r"^#{1,6}\s+(.+?)\s*$", "{}", "contains"), imports=r"\]\(([^)\s#]+\.md)"))
 
 
-@register(names=("Dockerfile",))
+@register(".dockerfile", names=("Dockerfile", "Containerfile"))
 def dockerfile(path: str, text: str) -> Iterator[tuple]:
     """Stages and their images."""
     for i, m in enumerate(re.finditer(r"(?im)^FROM\s+(\S+)(?:\s+AS\s+(\S+))?", text)):
@@ -151,16 +183,12 @@ def dockerfile(path: str, text: str) -> Iterator[tuple]:
 
 @register(".toml")
 def toml(path: str, text: str) -> Iterator[tuple]:
-    """Tables; packages and what they depend on."""
+    """Tables and their keys."""
     data = tomllib.loads(text)
     for name, value in data.items():
         yield from _child(path, name, "L1")
         for key in value if isinstance(value, dict) else ():
             yield from _child(path, key, "L1", plain_id(f"{file_id(path)}_{name}"))
-    package = (data.get("project") or data.get("package") or {}).get("name")
-    wanted = [re.split(r"[\s<>=!~;\[]", d)[0] for d in (data.get("project") or {}).get("dependencies", [])] + list(data.get("dependencies") or {})
-    for d in wanted if package else ():
-        yield _link(path, plain_id(f"pkg_{package}"), plain_id(f"pkg_{d}"), "depends_on", "L1")
 
 
 @register(".json")
@@ -179,20 +207,6 @@ def json_keys(path: str, text: str) -> Iterator[tuple]:
                 yield _link(path, own, plain_id(f"env_{variable}"), "requires_env", "L1")
 
 
-@register("go.mod", names=("go.mod",))
-def go_module(path: str, text: str) -> Iterator[tuple]:
-    own = re.search(r"(?m)^module\s+(\S+)", text)
-    for m in re.finditer(r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w./-]+)\s+v\S+", text) if own else ():
-        yield _link(path, plain_id(f"pkg_{own[1]}"), plain_id(f"pkg_{m[1]}"), "depends_on", _line(text, m.start()))
-
-
-@register(names=("pom.xml",))
-def maven(path: str, text: str) -> Iterator[tuple]:
-    names = re.findall(r"<artifactId>([^<]+)</artifactId>", text)
-    for d in names[1:]:
-        yield _link(path, plain_id(f"pkg_{names[0]}"), plain_id(f"pkg_{d}"), "depends_on", "L1")
-
-
 def one_file(path: str, text: str) -> list[tuple]:
     """All rows of one file, its own node first."""
     name = path.rsplit("/", 1)[-1]
@@ -220,3 +234,11 @@ def fragments(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = rows.where(F.col("kind") == NODE).select("id", "label", "file_type", "source_file", "source_location").dropDuplicates(["id"])
     edges = rows.where(F.col("kind") == EDGE).select("src", "dst", "relation", F.lit("EXTRACTED").alias("confidence"), "source_file", "source_location").distinct()
     return nodes, edges, rows.where(F.col("kind") == CALL).select(F.col("src").alias("caller"), F.col("label").alias("callee"), "relation", F.col("source_file").alias("file")).distinct()
+
+
+def values(rows: DataFrame) -> DataFrame:
+    """``(value, node_id, source_file, line)``: values of extracted rows that name things elsewhere."""
+    return rows.where(F.col("kind") == VALUE).select(F.col("label").alias("value"), F.col("src").alias("node_id"), "source_file", F.substring("source_location", 2, 12).cast("int").alias("line"))
+
+
+from loomgraph.sources import formats  # noqa: E402, F401  it registers its extractors
