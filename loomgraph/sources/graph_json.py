@@ -112,6 +112,21 @@ def wiki_articles(nodes: DataFrame, edges: DataFrame, community: DataFrame, labe
     return j.select("community", F.col("label").alias("title"), F.concat(F.lit("# "), "label", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" members\n\n"), "members", F.lit("\n\n## Links\n"), F.coalesce("links", F.lit("none"))).alias("body"))
 
 
+def wiki_index(nodes: DataFrame, edges: DataFrame, community: DataFrame, labels: DataFrame, gods: DataFrame) -> DataFrame:
+    """``(title, body)``: an article for each central entity with its connections by relation, and an index of all articles."""
+    from loomgraph.operators.graph import symmetric
+
+    own = gods.select("id", F.col("label").alias("title"), "degree")
+    around = symmetric(edges.select("src", "dst", "relation")).join(own, F.col("src") == F.col("id")).join(nodes.select(F.col("id").alias("dst"), F.col("label").alias("other")), "dst")
+    line = F.concat(F.lit("- "), "relation", F.lit(": [["), "other", F.lit("]]"))
+    told = around.groupBy("id", "title", "degree").agg(F.array_join(F.slice(F.array_sort(F.collect_set(line)), 1, 25), "\n").alias("lines"))
+    where = told.join(community, "id", "left").join(labels.toDF("community", "home"), "community", "left")
+    articles = where.select("title", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.col("degree").cast("string"), F.lit(" connections"), F.coalesce(F.concat(F.lit(", in [["), "home", F.lit("]]")), F.lit("")), F.lit("\n\n"), "lines").alias("body"))
+    index = labels.select(F.lit(0).alias("part"), F.concat(F.lit("- [["), "label", F.lit("]]")).alias("line")).union(gods.select(F.lit(1), F.concat(F.lit("- [["), "label", F.lit("]]")))).orderBy("part", "line").limit(10_000)
+    whole = index.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    return articles.union(whole.select(F.lit("index"), F.concat(F.lit("# Index\n\n"), "lines")))
+
+
 def mermaid(edges: DataFrame, top: int = 40) -> DataFrame:
     """``(value)``: lines of a diagram of the strongest edges."""
     kept = edges.withColumn("score", rules.edge_score(F.col("relation"), F.col("confidence"), F.col("confidence_score"))).orderBy(F.desc("score"), "src", "dst", "relation").limit(top)
