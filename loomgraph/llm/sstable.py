@@ -78,8 +78,8 @@ def _probes(key: bytes, bits: int) -> list[int]:
 class TableWriter:
     """Sections of one shard, in order: ``add`` gives the blocks that became full, ``finish`` the rest."""
 
-    def __init__(self, shard: int, width: int):
-        self.shard, self.width = shard, width
+    def __init__(self, shard: int, width: int, checked: bool = True):
+        self.shard, self.width, self.checked = shard, width, checked
         self.block, self.last, self.size = [], b"", 0
         self.offset = self.entries = self.ids = 0
         self.index: list[bytes] = []
@@ -100,7 +100,7 @@ class TableWriter:
         shared = 0
         while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
             shared += 1
-        if len(ids) and int(ids.max()) >> 8 * self.width:
+        if self.checked and len(ids) and int(ids.max()) >> 8 * self.width:
             raise ValueError(f"id {int(ids.max())} doesn't fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
@@ -183,7 +183,8 @@ def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
 
     ``width``: bytes of an id, 2 or 4; by default as many as the vocabulary and ``end_id`` need. An id that doesn't fit is an error. Memory: one Arrow batch and one open block a task.
     """
-    width = width or (2 if max(encoder(vocabulary_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+    needed = 2 if max(encoder(vocabulary_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = width or needed
     spark = docs.sparkSession
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -191,7 +192,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        table, encode = TableWriter(context.partitionId() if context else 0, width), encoder(vocabulary_path)
+        table, encode = TableWriter(context.partitionId() if context else 0, width, width < needed), encoder(vocabulary_path)
         end = np.array([end_id], "<u4").tobytes()
         out: list[bytes] = []
         for batch in batches:
