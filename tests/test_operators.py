@@ -280,3 +280,82 @@ def test_samples_and_versions(spark):
     assert got(graph.expired(v, "2024-01-21").select("path")) == [("p1",)]
     a, b = graph.merge_fragments([(n.limit(1), edges(spark, ("a", "b"))), (n, edges(spark, ("b", "c")))])
     assert a.count() == 3 and b.count() == 2
+
+
+def test_long_paths_and_disambiguation(spark):
+    chain = edges(spark, *[(f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)])
+    assert traversal.shortest_path(chain, "n00", "n14") == [f"n{i:02d}" for i in range(15)]
+    # Two nodes are called Stats; the first by id has no way to the target.
+    n = nodes(spark, ("a", "Stats"), ("b", "Stats"), ("t", "Target"), ("u", "Alone"))
+    e = edges(spark, ("b", "m"), ("m", "t"), ("a", "u"))
+    n = n.union(nodes(spark, ("m", "Middle")))
+    found = traversal.find_path(n, e, "Stats", "Target")
+    assert found["path"] == ["b", "m", "t"] and found["tried"] == 2 and "ambiguous" in found["warnings"][0]
+    assert "error" in traversal.find_path(n, e, "Target", "Target") and "error" in traversal.find_path(n, e, "nothing here", "Target")
+
+
+def test_paths_go_around_hubs(spark):
+    spokes = [("hub", f"x{i}") for i in range(30)]
+    e = edges(spark, ("s", "hub"), ("hub", "t"), ("s", "p"), ("p", "q"), ("q", "t"), *spokes)
+    n = nodes(spark, *[(i, i.upper()) for i in ("s", "t", "p", "q", "hub")])
+    assert traversal.find_path(n, e, "S", "T")["path"] == ["s", "p", "q", "t"]
+    assert traversal.find_path(n, e.where("src <> 'p'"), "S", "T")["used_noise"]
+
+
+@pytest.mark.parametrize("a,b,d", [("ca", "abc", 3), ("abcd", "acbd", 1), ("", "ab", 2), ("same", "same", 0), ("serevr", "server", 1)])
+def test_restricted_edits(a, b, d):
+    assert search.osa(a, b) == d == search.osa(b, a)
+
+
+def test_corrections_and_abbreviations(spark):
+    words = spark.createDataFrame([("config", 1, False), ("confetti", 9, False), ("server", 1, False), ("seven", 5, False), ("configserver", 1, True)], "word string, n long, span boolean")
+    best = lambda t: [r["word"] for r in search.correct(t, words).collect()]
+    assert best("cfg") == ["config"] and best("sevrer") == ["server"] and best("server") == [] and best("xx") == [] and best("zzzzzz") == []
+    assert search.abbreviation("cfg", "config") == 12 and search.abbreviation("gc", "config") is None and search.abbreviation("con", "config") == 87
+
+
+def test_edge_betweenness_and_surprises_of_one_file(spark):
+    # Two triangles joined by one edge: nine of fifteen pairs cross it.
+    e = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"))
+    scores = {(r["a"], r["b"]): r["score"] for r in community.edge_betweenness(e).collect()}
+    assert scores[("c", "d")] == pytest.approx(9 / 15) and scores[("a", "b")] == pytest.approx(1 / 15)
+    n = nodes(spark, *[(i, i) for i in "abcdef"])
+    assert tuple(analysis.surprising(n, e, None).first())[:2] == ("c", "d")
+    c = spark.createDataFrame([(i, int(i > "c")) for i in "abcdef"], "id string, community long")
+    assert [tuple(r)[:2] for r in analysis.surprising(n, e, c).collect()] == [("c", "d")]
+    with pytest.raises(ValueError):
+        community.edge_betweenness(e, most_nodes=3)
+
+
+def test_questions(spark):
+    n = nodes(spark, *[(i, i) for i in "abcdef"])
+    c = spark.createDataFrame([(i, int(i > "c")) for i in "abcdef"], "id string, community long")
+    e = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), confidence="INFERRED")
+    found = [tuple(r) for r in analysis.questions(n, e, c).collect()]
+    assert ("bridge_node", "Why does `c` connect `Community 0` to `Community 1`?") in found and [t for t, _ in found][0] == "bridge_node"
+    assert any(t == "verify_inferred" and "`c` (e.g. with `a` and `b`)" in q for t, q in found)
+    sure = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"))
+    quiet = analysis.questions(n.where("id < 'd'"), sure, c.where("id < 'd'"))
+    assert [tuple(r) for r in quiet.collect()] == [("no_signal", None)]
+
+
+def test_merge_refuses_to_shrink(spark):
+    n, e = nodes(spark, ("a", "A", "code", "x.py"), ("b", "B", "code", "y.py")).drop("seq", "source_location"), edges(spark, ("a", "b")).withColumn("source_file", F.lit("x.py"))
+    fresh = n.where("id = 'a'").withColumn("label", F.lit("new"))
+    kept, _ = graph.build_merge((n, e), (fresh, e))
+    assert sorted(r["label"] for r in kept.collect()) == ["B", "new"]
+    twins = n.where("id = 'b'").withColumn("id", F.lit(""))
+    with pytest.raises(graph.Shrunk):
+        graph.build_merge((n.union(twins), e), (fresh, e))
+
+
+def test_hot_bands_lose_no_pair(spark):
+    named = spark.createDataFrame([(f"n{i:03d}", f"common name of things {i % 7}") for i in range(60)], "id string, name string")
+    whole, dealt = (got(entities.alike_pairs(named, chunk=c)) for c in (1000, 7))
+    assert whole == dealt and len(whole) > 200
+
+
+def test_several_repositories_are_refused(spark):
+    n = nodes(spark, ("a", "A"), ("b", "B")).withColumn("repo", F.col("id"))
+    with pytest.raises(ValueError):
+        entities.deduplicate(n, edges(spark, ("a", "b")))
