@@ -1,4 +1,7 @@
-"""Queries for extractors: a file made from every row of ``part``, and the nodes, edges, calls and values that must come of it, stated from the table."""
+"""Queries for extractors: a file made from every row of ``part``, and the nodes, edges, calls and values that must come of it, stated from the table.
+
+The rows were taken from the extractors' output for one file each, read through, and written down.
+"""
 
 from __future__ import annotations
 
