@@ -175,12 +175,14 @@ def join_path(folder: Column, path: Column) -> Column:
 def import_targets(imports: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None, endings: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".sh", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")) -> DataFrame:
     """``(file, spec, target)``: the file ``(path)`` an import ``(file, spec)`` means: relative to the importing file or below an alias, with the first ending that exists.
 
-    Also resolves sourced shell files, whose paths are literals.
+    Also resolves sourced shell files, whose paths are literals. Endings are taken off the known paths, so an import is one row of the join;
+    both sides grow with the input and meet by a merge, never by broadcast.
     """
     folder = F.regexp_replace("file", "/?[^/]*$", "")
     base = F.when(F.col("spec").rlike(r"^\.\.?(/|$)"), join_path(folder, F.col("spec")))
     for prefix, to in sorted((aliases or {}).items(), key=lambda a: len(a[0])):
         base = F.when(F.col("spec").startswith(prefix), join_path(F.lit(to), F.expr(f"substring(spec, {len(prefix) + 1})"))).otherwise(base)
-    tried = F.posexplode(F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(base, e)))
-    j = imports.select("file", "spec", tried.alias("rank", "target")).join(known.select(F.col("path").alias("target")).distinct(), "target")
+    stems = F.array(*[F.when(F.col("path").endswith(e), F.substring("path", F.lit(1), F.length("path") - len(e))) for e in endings])
+    have = known.select("path").distinct().select(F.col("path").alias("target"), F.posexplode(stems).alias("rank", "base")).where("base IS NOT NULL")
+    j = imports.select("file", "spec", base.alias("base")).where("base IS NOT NULL").hint("merge").join(have, "base")
     return j.where("file <> target").groupBy("file", "spec").agg(F.min_by("target", "rank").alias("target"))

@@ -263,6 +263,14 @@ def test_import_targets(spark):
     assert got(resolve.import_targets(imports, known, {"@/": "src"})) == [("run.sh", "./lib.sh", "lib.sh"), ("src/a/x.ts", "../b", "src/b/index.ts"), ("src/a/x.ts", "./y", "src/a/y.ts"), ("src/a/x.ts", "@/lib/z", "src/lib/z.tsx")]
 
 
+def test_import_targets_are_merged(spark):
+    imports = spark.createDataFrame([("a.ts", "./b"), ("a.ts", "./"), ("d/a.ts", "./a"), ("a.ts", "./b.ts")], "file string, spec string")
+    known = spark.createDataFrame([("b/index.ts",), ("b.ts",), ("b.ts",), ("b.ts.js",), ("d/a.ts",), ("d/a.py",), (".ts",)], "path string")
+    found = resolve.import_targets(imports, known)
+    assert got(found) == [("a.ts", "./", ".ts"), ("a.ts", "./b", "b.ts"), ("a.ts", "./b.ts", "b.ts"), ("d/a.ts", "./a", "d/a.py")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_cost(spark):
     from loomgraph.sources import report
 
