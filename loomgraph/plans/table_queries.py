@@ -216,9 +216,10 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH v AS (SELECT DISTINCT event_id AS doc, x AS id FROM (SELECT event_id, unnest([user_id, q, (user_id + 1) % 150]) AS x FROM ({_SIGNALS}))), c AS (SELECT doc, id % 3 AS community, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT doc, community FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, community) AS r FROM c) WHERE r = 1""")
 def doc_community(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir)
-    ids = spark.range(200).select("id", (F.col("id") % 3).alias("community"))
-    return feedback.doc_community(s.select(F.col("event_id").alias("doc"), F.array("user_id", F.col("q"), (F.col("user_id") + 1) % 150).alias("source_nodes")), ids)
+    """Every source that a signal names has a community, however many users there are."""
+    s = _signals(spark, sf_dir).select(F.col("event_id").alias("doc"), F.array("user_id", F.col("q"), (F.col("user_id") + 1) % 150).alias("source_nodes"))
+    ids = s.select(F.explode("source_nodes").alias("id")).distinct().select("id", (F.col("id") % 3).alias("community"))
+    return feedback.doc_community(s, ids)
 
 
 # Resolution and change.
