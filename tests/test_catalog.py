@@ -40,6 +40,7 @@ def _other(tmp_path, name, sql):
     ("name", "table", "sql"),
     [
         ("doc_community", "events", f"SELECT * REPLACE (user_id * 7 + 200 AS user_id) FROM '{SF}/events.parquet'"),
+        ("unreachable", "orders", f"SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 5 THEN 7 WHEN o_custkey = 7 THEN 8 ELSE o_custkey END AS o_custkey) FROM '{SF}/orders.parquet'"),
     ],
 )
 def test_same_rows_of_other_tables(spark, tmp_path, name, table, sql):
