@@ -271,6 +271,14 @@ def test_import_targets_are_merged(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_http_links_compare_only_pairs_that_may_repeat(spark):
+    fetches = spark.createDataFrame([("f", "/a"), ("f", "/b"), ("f", "/b"), ("g", "/a"), ("g", "/a"), ("i", "/${x}"), ("i", None)], "id string, action string")
+    handlers = spark.createDataFrame([("h", "/a"), ("h", "/b"), ("k", "/b"), ("k", "/b"), ("l", None)], "id string, action string")
+    found = resolve.http_links(fetches, handlers)
+    assert got(found) == [("f", "h", "http_calls"), ("f", "k", "http_calls"), ("g", "h", "http_calls")]
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # no rows are compared above both kinds of pairs
+
+
 def test_large_graphs_are_merged(spark):
     n = spark.range(100_001).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("x").alias("label"))
     e = n.select(F.col("id").alias("src"), F.lit("n0").alias("dst"), F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
