@@ -289,6 +289,18 @@ def test_large_graphs_are_merged(spark):
         graph.merge_graphs((n, e), (n, right), most_nodes=100_000)
 
 
+def test_ranks_in_one_task_and_over_tables_agree(spark, monkeypatch):
+    n = nodes(spark, *[(i, i) for i in "abcdefz"])
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("e", "a"), ("a", "e"), ("f", "gone")).withColumn("weight", F.when(F.col("src") == "a", 2.5).otherwise(1.0))
+    got_of = lambda: dict(got(traversal.pagerank(n, e, tolerance=1e-9).select("id", F.round("rank", 12))))
+    written = []
+    monkeypatch.setattr(traversal, "bucketed", lambda *a, f=traversal.bucketed: (written.append(a), f(*a))[1])
+    in_task = got_of()
+    assert not written  # no table of flows, no table a round
+    monkeypatch.setattr(traversal, "TASK_EDGES", 0)
+    assert in_task == got_of() and written and len(in_task) == 7
+
+
 def test_token_cost(spark):
     from loomgraph.sources import report
 
