@@ -138,6 +138,21 @@ def test_large_components_are_clustered_as_well_as_small_ones(spark, monkeypatch
     assert modularity(pairs, found) > 0.95 * in_task
 
 
+def test_numbered_communities():
+    import numpy as np
+
+    cliques = [(i, j) for base in (10, 20, 30) for i in range(base, base + 6) for j in range(i + 1, base + 6)] + [(15, 20), (25, 30)]
+    ids, found = community._split(*np.array(cliques).T, 100)
+    assert dict(zip(ids.tolist(), found.tolist(), strict=True)) == {i: i // 10 * 10 for b in (10, 20, 30) for i in range(b, b + 6)}
+    rng = np.random.default_rng(1)
+    a, b = np.array(sorted({(min(p), max(p)) for p in rng.integers(0, 200, (1500, 2)).tolist() if p[0] != p[1]})).T
+    own, k = community._moves(a, b, np.ones(len(a)), 200, 1.0, 2000), np.bincount(np.r_[a, b], minlength=200)
+    for v in range(200):  # none gains by moving, although only nodes beside moved ones were looked at again
+        near = own[np.r_[b[a == v], a[b == v]]]
+        gain = {c: (near == c).sum() - k[v] * (k[own == c].sum() - k[v] * (c == own[v])) / k.sum() for c in {*near.tolist(), int(own[v])}}
+        assert max(gain.values()) <= gain[int(own[v])] + 1e-9
+
+
 def test_betweenness(spark):
     found = community.betweenness(edges(spark, ("a", "b"), ("b", "c"), ("c", "d")))
     assert {k: v for k, v in got(found) if v} == {"b": 2.0, "c": 2.0}
