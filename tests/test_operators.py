@@ -158,6 +158,22 @@ def test_betweenness(spark):
     assert {k: v for k, v in got(found) if v} == {"b": 2.0, "c": 2.0}
 
 
+def test_betweenness_of_graphs_too_large_for_names(spark, monkeypatch):
+    pairs = sorted({(f"n{i // 3:02}", f"n{i:02}") for i in range(1, 40)} | {(f"n{i:02}", f"n{i + 7:02}") for i in range(0, 30, 3)})
+    want, names = dict.fromkeys((x for p in pairs for x in p), 0.0), sorted({x for p in pairs for x in p})
+    near = {x: [b if a == x else a for a, b in pairs if x in (a, b)] for x in names}
+    for s in names:
+        for v, _, share in community._shares(near, s):
+            want[v] += share / 2 if v != s else 0
+
+    def refuse(*_):
+        raise ValueError("by name")
+
+    monkeypatch.setattr(community, "_adjacency", refuse)
+    found = dict(got(community.betweenness(edges(spark, *pairs, ("n01", "n01"), ("n03", "n01")))))
+    assert {i: found.get(i, 0.0) for i in names} == pytest.approx(want)
+
+
 def test_depth_first(spark):
     assert community.depth_first(edges(spark, ("a", "b"), ("b", "d"), ("a", "c")), ["a"], 1) == ["a", "b", "c"]
 
