@@ -118,11 +118,11 @@ def fragment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.token_sums(_read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("input_tokens"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey").cast("long")).alias("output_tokens")))
 
 
-@query(f"""WITH {GRAPH_SQL}, e2 AS (SELECT src, dst, relation, CASE WHEN relation = 'in_region' THEN 'INFERRED' ELSE confidence END AS confidence FROM edges WHERE relation NOT IN ('references')) SELECT * FROM e2""")
+@query(f"""WITH {GRAPH_SQL}, e2 AS (SELECT src, dst, relation, CASE WHEN relation = 'in_region' THEN 'INFERRED' ELSE confidence END AS confidence FROM edges) SELECT * FROM e2""")
 def merged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a graph: the right one's edges win, each once."""
     n, e, _ = derived_graph(spark, sf_dir)
-    n, e = n.where("id NOT LIKE 'o:%'").select("id", "label"), e.where("relation <> 'references'")
+    n = n.select("id", "label")
     return graph.merge_graphs((n, e), (n, e.where("relation = 'in_region'").withColumn("confidence", F.lit("INFERRED"))))[1]
 
 

@@ -137,3 +137,10 @@ def test_pagerank_is_converged(spark):
         rank = (0.15 + 0.85 * rank[out == 0].sum()) / len(ids) + 0.85 * np.bincount(dst, rank[src] / out[src], len(ids))
     got = dict(_rows(spark, "pagerank_converged"))
     assert set(got) == set(ids) and sum(abs(got[i] - rank[k]) for i, k in ids.items()) < 1e-6 * 0.85 / 0.15
+
+
+def test_merged_graphs_hold_every_edge(spark):
+    from loomgraph.plans import derived
+
+    edges, found = derived.edges(spark, SF), catalog.queries()["merged_graphs"](spark, SF)
+    assert sorted(found.groupBy("relation").count().collect()) == sorted(edges.groupBy("relation").count().collect())
