@@ -1,5 +1,6 @@
 """Operators on hand-made graphs."""
 
+import time
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules, text
 from loomgraph.operators import analysis, community, components, entities, feedback, graph, resolve, search, traversal
+from loomgraph.plans import storage
 from loomgraph.sources import extract, files, graph_json
 
 NODE = "id string, label string, file_type string, source_file string, source_location string, seq long"
@@ -428,3 +430,35 @@ def test_several_repositories_are_refused(spark):
     n = nodes(spark, ("a", "A"), ("b", "B")).withColumn("repo", F.col("id"))
     with pytest.raises(ValueError):
         entities.deduplicate(n, edges(spark, ("a", "b")))
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    before = _shuffle_files(spark)
+    storage.materialize(spark.range(1000).groupBy("id").count(), "swept")
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_edges_are_joined_apart_from_their_folding(spark):
+    n = spark.createDataFrame([("a", "A", "code", "x.py"), ("b", "B", "code", "y.py"), ("c_d", "C", "code", "z.go")], "id string, label string, file_type string, source_file string")
+    e = spark.createDataFrame([("a", "b", "calls", "EXTRACTED"), ("b", "a", "calls", "EXTRACTED"), ("C-D", "a", "uses", "EXTRACTED"), ("a", "c_d", "calls", "INFERRED"), ("a", "gone", "uses", "EXTRACTED"), (None, "a", "uses", "EXTRACTED")], "src string, dst string, relation string, confidence string")
+    folded = graph.build(n, e)[1]
+    assert got(folded) == [("a", "b", "calls", "EXTRACTED"), ("c_d", "a", "uses", "EXTRACTED")]
+    exact = graph.build(n, e.where("src IN ('a', 'b') AND dst IN ('a', 'b', 'c_d')"))[1]
+    assert "Join" not in exact._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cross_cutting_writes_what_it_counts(spark):
+    n = spark.createDataFrame([(i, i.upper(), "x.py") for i in "abcd"], "id string, label string, source_file string")
+    e = edges(spark, ("a", "b"), ("b", "a"), ("a", "b"), ("a", "c"), ("d", "a"))
+    found = analysis.cross_cutting(n, e, spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 3)], "id string, community long"))
+    assert got(found)[0] == ("a", "A", 2, 5)
+    assert any("cut-bridged" in f for f in found.inputFiles())
