@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules, text
 from loomgraph.operators.graph import degrees, first_by, simple, symmetric
+from loomgraph.plans.storage import discard, materialize
 
 
 def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10, ranks: DataFrame | None = None) -> DataFrame:
@@ -50,8 +51,13 @@ def cohesion(edges: DataFrame, community: DataFrame) -> DataFrame:
 
 def cross_cutting(nodes: DataFrame, edges: DataFrame, community: DataFrame, top: int = 10) -> DataFrame:
     """Nodes whose neighbours lie in the most communities other than their own."""
-    own, other = community.toDF("src", "own"), community.toDF("dst", "other")
-    bridged = symmetric(edges.select("src", "dst")).distinct().join(own, "src").join(other, "dst").where("own <> other").groupBy(F.col("src").alias("id")).agg(F.count_distinct("other").alias("bridged"))
+    # Both directions share the joins, and repeats don't change a count of distinct communities: edges are shuffled once an end, one at a time.
+    left, path = materialize(edges.select("src", "dst").join(community.toDF("src", "own"), "src"), "cut-src")
+    ends, ends_path = materialize(left.join(community.toDF("dst", "other"), "dst").where("own <> other").select("src", "own", "dst", "other"), "cut-both")
+    discard(edges.sparkSession, path)
+    seen = ends.select(F.col("src").alias("id"), F.col("other").alias("c")).union(ends.select("dst", "own")).distinct()
+    bridged, _ = materialize(seen.groupBy("id").agg(F.count("*").alias("bridged")), "cut-bridged")
+    discard(edges.sparkSession, ends_path)
     d = nodes.join(bridged, "id").join(degrees(edges), "id")
     real = d.where(~rules.is_file_node(F.col("label"), F.col("source_file"), F.col("degree")))
     return real.orderBy(F.desc("bridged"), F.desc("degree"), "id").limit(top).select("id", "label", "bridged", "degree")
